@@ -1,0 +1,26 @@
+"""Lists per file or feature, in pages of bounded length."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .joins import attach
+
+PAGE_SIZE = 10_000
+
+
+def paged_lists(rows: DataFrame, keys: list[str], value: Column, name: str, page_size: int = PAGE_SIZE) -> DataFrame:
+    """Sorted lists of ``value`` per key, split into pages of about ``page_size`` items.
+
+    Nearly every key has one page, its whole list. A key with very many items is spread over
+    several rows, so that no row and no task holds an unbounded list; all items are kept.
+    """
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / page_size).cast("bigint").alias("pages"))
+    paged = attach(rows.select(*keys, value.alias("_value")), sizes, keys)
+    page = F.when(F.col("pages") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("_value"), F.col("pages")))
+    return (
+        paged.groupBy(*keys, page.cast("bigint").alias("page"))
+        .agg(F.sort_array(F.collect_list("_value")).alias(name))
+        .select(*keys, "page", name)
+    )
