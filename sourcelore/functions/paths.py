@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .fixed import ENTRY_NAMES, TEST_SEGMENTS
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -58,7 +63,7 @@ def normalize_repo_path(path: Column, root: str) -> Column:
     Blank paths and paths outside ``root`` become the empty string.
     """
     base = root.replace("\\", "/").rstrip("/")
-    clean = F.replace(F.trim(path), F.lit("\\"), F.lit("/"))
+    clean = F.replace(strip(path), F.lit("\\"), F.lit("/"))
     absolute = clean.startswith("/")
     anchored = F.when(absolute, clean).otherwise(F.concat(F.lit(base + "/"), clean))
     full = F.concat(F.lit("/"), collapse_dots(anchored))

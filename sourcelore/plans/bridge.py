@@ -48,6 +48,16 @@ from (select {PART_FIELDS} from part) p
 join (select {PART_FIELDS} from part) q on q.pk = cast(floor(p.pk / 8.0) as bigint)
 """
 
+# The same parts laid out over all categories, with up to 20 importers per file.
+UP = "case p.pk % 7 when 1 then '../../' when 2 then './' when 4 then './' when 6 then '../../' else '../' end"
+LAYOUT_TARGET = f"""concat({UP}, case when p.pk % 2 = 0 then q.category_path
+   else substr(q.category_path, 1, length(q.category_path) - length(q.ext)) end)"""
+LAYOUT_FILES = f"""
+select 'r0' as repo_id, p.category_path as path, {_code(LAYOUT_TARGET)} as content
+from (select {PART_FIELDS} from part) p
+join (select {PART_FIELDS} from part) q on q.pk = cast(floor(p.pk / 20.0) as bigint)
+"""
+
 # One repository per brand. Files import '@/…' (alias), '~lib/…' (exact and wildcard alias with a second
 # target) or a path below the base URL; the imported part is any earlier part, often of another brand.
 BRAND_FILES = f"""
@@ -74,35 +84,35 @@ where c.path = 'tsconfig.json' or b.n % 2 = 0
 """
 
 
-def _log(days: str, ts: str) -> tuple[str, str]:
+def _log(days: str, ts: str) -> tuple[str, str, str]:
     position = f"-(cast({days} as bigint) * 10000000 + o_orderkey)"
     head = f"""'r0' as repo_id, concat('c', cast(o_orderkey as varchar(20))) as hash,
        concat('author_', cast(o_custkey % 25 as varchar(20))) as author, {ts} as ts, {position} as log_pos"""
-    commit_files = f"""select {head}, {PATH} as file
-from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey"""
+    touched = "from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey"
+    commit_files = f"select {head}, {PATH} as file {touched}"
+    layout_commit_files = f"select {head}, {CATEGORY_PATH} as file {touched}"
     commits = f"""select {head}, concat('order ', cast(o_orderkey as varchar(20)), ' ', o_orderpriority) as message
 from orders"""
-    return commit_files, commits
+    return commit_files, layout_commit_files, commits
 
 
-SPARK_COMMIT_FILES, SPARK_COMMITS = _log(
+SPARK_COMMIT_FILES, SPARK_LAYOUT_COMMIT_FILES, SPARK_COMMITS = _log(
     "datediff(o_orderdate, DATE'1995-01-01')",
     "cast(date_add(DATE'2024-01-01', cast(floor(datediff(o_orderdate, DATE'1995-01-01')/40.0) as int)) as timestamp_ntz)",
 )
 DUCK_DAYS = "date_diff('day', DATE '1995-01-01', cast(o_orderdate as date))"
-DUCK_COMMIT_FILES, DUCK_COMMITS = _log(
+DUCK_COMMIT_FILES, DUCK_LAYOUT_COMMIT_FILES, DUCK_COMMITS = _log(
     DUCK_DAYS, f"cast(DATE '2024-01-01' + cast(floor({DUCK_DAYS}/40.0) as integer) as timestamp)"
 )
 
-CATEGORY_PATHS = f"select 'r0' as repo_id, category_path as path, k, p_size from (select {PART_FIELDS} from part) f"
-
 ORACLE_VIEWS = {
     "commit_files": DUCK_COMMIT_FILES,
     "commits": DUCK_COMMITS,
     "code_files": CODE_FILES,
     "brand_files": BRAND_FILES,
     "brand_configs": BRAND_CONFIGS,
-    "category_paths": CATEGORY_PATHS,
+    "layout_files": LAYOUT_FILES,
+    "layout_commit_files": DUCK_LAYOUT_COMMIT_FILES,
 }
 
 
@@ -135,5 +145,9 @@ def brand_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, BRAND_CONFIGS)
 
 
-def category_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, CATEGORY_PATHS)
+def layout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, LAYOUT_FILES)
+
+
+def layout_commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, SPARK_LAYOUT_COMMIT_FILES)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import COMMIT_HASH
-from ..operators.joins import attach
+from ..functions.paths import strip
 
 
 def read_log_lines(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def read_log_lines(spark: SparkSession, path: str, repo_id: str | None = None) -
     ``block`` is the byte offset of the input split and ``seq`` ascends within it. Without
     ``repo_id`` the file name up to its first dot names the repository.
     """
-    lines = spark.read.text(path).select(
+    lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         # Ascends in reading order within a split, whichever task reads it.
@@ -61,7 +61,7 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
         lines.withColumn("is_header", is_header)
         .withColumn("log_pos", offset.cast("bigint"))
         .withColumn("header", F.when(F.col("is_header"), header.withField("log_pos", F.col("log_pos"))))
-        .filter(F.col("is_header") | (F.trim("value") != ""))
+        .filter(F.col("is_header") | (strip(F.col("value")) != ""))
     )
     filled = marked.withColumn("header", F.last("header", ignorenulls=True).over(in_split))
 
@@ -73,7 +73,7 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
         "repo_id",
         "header",
         "is_header",
-        F.replace(F.trim("value"), F.lit("\\"), F.lit("/")).alias("touched"),
+        F.replace(strip(F.col("value")), F.lit("\\"), F.lit("/")).alias("touched"),
     )
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import strip
+
 
 def load_source_files(spark: SparkSession, root: str, repo_id: str, glob: str | None = None) -> DataFrame:
     """All files below ``root`` as (repo_id, path, content).
@@ -49,5 +51,5 @@ def read_listed_files(paths: DataFrame, root: str) -> DataFrame:
 
 def load_tracked_paths(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
     """A text file with one path per line as (repo_id, path); blank lines are skipped."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = spark.read.option("lineSep", "\n").text(path).filter(strip(F.col("value")) != "")
     return lines.select(F.lit(repo_id).alias("repo_id"), F.col("value").alias("path"))
