@@ -32,7 +32,7 @@ UP = "regexp_replace({p}, '(^|/)[^/.][^/]*/\\.\\.(/|$)', '\\1')"
 def _up(p: str) -> str:
     for _ in range(3):
         p = UP.format(p=p)
-    return f"regexp_replace(replace({p}, '//', '/'), '^(\\./)+', '')"
+    return f"regexp_replace(replace({p}, '//', '/'), '^/?(\\./)*', '')"
 
 
 def _all(c: str, pattern: str, *groups: int) -> str:
@@ -84,7 +84,7 @@ def _resolution(view: str) -> str:
     joined = f"concat({DIRNAME.format(p='path')}, '/', import)"
     return f"""refs as (select repo_id, path as src, unnest(list_distinct({_all('content', "from ''(.+?)''|require\\(''(.+?)''\\)", 1, 2)})) as import
     from {view} where {LANGUAGE.format(p='path')} in ('javascript', 'typescript')),
-  relative as (select repo_id, src, import, regexp_replace({_up(joined.replace('path', 'src'))}, '^/', '') as base
+  relative as (select repo_id, src, import, {_up(joined.replace('path', 'src'))} as base
     from refs where import like '.%'),
   spelled as (select distinct repo_id, base, unnest(list_concat([{{'o': 0, 'p': base}}],
       case when {EXTNAME.format(p='base')} <> '' then [] else list_transform({EXTENSION_LIST}, lambda e, i: {{'o': i, 'p': base || e}}) end,

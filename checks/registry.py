@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,33 +21,53 @@ EXTRA_IGNORE = "src/utils, README"
 NAME_KINDS = ("imports", "functions", "classes", "exports", "interfaces", "structs")
 
 
+def once(method: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Build each (lazy) DataFrame of a ``Tables`` object once."""
+
+    @wraps(method)
+    def built(self: Tables, *args):
+        key = (method.__name__, *args)
+        if key not in self.known:
+            self.known[key] = method(self, *args)
+        return self.known[key]
+
+    return built
+
+
 class Tables:
     """The bridge tables of one data folder and what the operators make of them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.known: dict[tuple, DataFrame] = {}
 
+    @once
     def view(self, name: str) -> DataFrame:
         return getattr(bridge, name)(self.spark, self.sf_dir)
 
     def table(self, name: str) -> DataFrame:
         return bridge.table(self.spark, self.sf_dir, name)
 
+    @once
     def facts(self, tree: str = "layout_files", mode: str = "lexical") -> DataFrame:
         return files.file_facts(self.view(tree), mode)
 
+    @once
     def resolved(self, tree: str = "layout_files") -> DataFrame:
         return imports.resolve_imports(self.facts(tree), self.view(tree))
 
+    @once
     def edges(self, tree: str = "layout_files") -> DataFrame:
         return imports.import_edges(self.resolved(tree), self.facts(tree))
 
+    @once
     def degrees(self) -> DataFrame:
         return graph.degrees(self.facts(), self.edges())
 
     def dead(self, include_tests: bool = False) -> DataFrame:
         return graph.dead_code(self.facts(), self.edges(), include_tests)
 
+    @once
     def authors(self) -> DataFrame:
         return history.file_authors(self.view("layout_commit_files"))
 
@@ -69,9 +90,11 @@ class Tables:
         """Facts and degrees only, for what needs no history."""
         return summary.categorize(self.facts().join(self.degrees(), ["repo_id", "path"]))
 
+    @once
     def chain(self) -> DataFrame:
         return config.config_chain(self.view("brand_configs"))
 
+    @once
     def configured(self) -> tuple[DataFrame, DataFrame]:
         chain = self.chain()
         settings = config.path_config(chain)

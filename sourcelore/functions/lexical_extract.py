@@ -18,10 +18,7 @@ declarators of one statement behind brackets, and objects nested deeper than
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .text import no_names, regex_matches
+from .sqltext import NO_NAMES, captures, case, literal, names, regex_matches
 
 STRINGS = r""""(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\.|[^`\\])*+`"""
 REGEX_LITERAL = r"(?<=[=(,:\[!&|?{};]\s{0,2})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/[a-z]*+"
@@ -57,6 +54,8 @@ EXPORTED_VARIABLES = (
     rf"{HEAD}export\s++(?:declare\s++)?(?:const|let|var)\s++((?:[^,;\n(){{}}\[\]]|,\s*+)++)"
 )
 EXPORTED_LIST = rf"{HEAD}export\s*+(?:type\s*+)?\{{([^}}]*+)\}}"
+VARIABLE_NAME = rf"(?s)^\s*+{NAME}\s*+(?:$|[:=!])"
+LISTED_NAME = rf"(?s)^\s*+(?:.*\sas\s++|type\s++(?!as\s))?['\"]?{NAME}['\"]?\s*+$"
 EXPORTED_NAMESPACE = rf"{HEAD}export\s*+\*\s*+as\s++{NAME}"
 EXPORT_ALL = rf"{HEAD}export\s*+(?:type\s++)?\*\s*+from(?![\w$])"
 EXPORT_DEFAULT = rf"{HEAD}export\s++default(?![\w$])"
@@ -66,6 +65,8 @@ ASSIGNED_NAME = rf"{ASSIGNED}(?!function(?![\w$])|class(?![\w$])|async(?![\w$])|
 ASSIGNED_DEFINITION = rf"{ASSIGNED}(?:async\s++)?(?:function\s*+\*?\s*+|class\s++)(?!extends\b){NAME}"
 ASSIGNED_OBJECT = rf"{ASSIGNED}\{{"
 MEMBER = rf"{HEAD}(?:module\.)?exports\.{NAME}(?:\.[\w$]+)*+\s*+(?:[-+*/%&|^]|&&|\|\||\?\?)?=(?![=>])"
+ES_WORD = r"export[\s{*]"
+COMMONJS_WORD = rf"{HEAD}(?:module\.exports|exports\.|export\s*+=)"
 
 FOLD_DEPTH = 6
 OPENED = "\u0001"
@@ -75,106 +76,79 @@ OBJECT_BODY = rf"{OPENED}([^{{}}\[\]()]*+)"
 OBJECT_KEY = rf"(?s)^\s*+(?:(?:async|get|set|static)\s++(?=[\w$'\"*]))?\*?\s*+['\"]?{NAME}['\"]?\s*+(?:[:{FOLDED}=].*+)?$"
 
 
-def code_text(content: Column) -> Column:
-    return F.regexp_replace(content, NOISE, "$1 ")
-
-
-def bare_text(code: Column) -> Column:
-    return F.regexp_replace(code, QUOTED, "$1$2$1")
-
-
-def imports(code: Column) -> Column:
-    return regex_matches(code, IMPORTS)
-
-
-def functions(bare: Column) -> Column:
-    return regex_matches(bare, FUNCTIONS, 2)
-
+def code_text(content: str) -> str:
+    return f"regexp_replace({content}, {literal(NOISE)}, '$1 ')"
 
-def classes(bare: Column) -> Column:
-    return regex_matches(bare, CLASSES)
 
+def bare_text(code: str) -> str:
+    return f"regexp_replace({code}, {literal(QUOTED)}, '$1$2$1')"
 
-def interfaces(bare: Column) -> Column:
-    return regex_matches(bare, INTERFACES)
 
-
-def _pieces(blocks: Column, pattern: str) -> Column:
+def _pieces(blocks: str, pattern: str) -> str:
     """Split each block at commas and keep what the pattern captures of each piece."""
-    split = F.flatten(F.transform(blocks, lambda block: F.split(block, ",")))
-    return F.transform(split, lambda piece: F.regexp_extract(piece, pattern, 1))
-
+    split = f"flatten(transform({blocks}, b -> split(b, ',')))"
+    return f"transform({split}, p -> regexp_extract(p, {literal(pattern)}, 1))"
 
-def _blocks(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
+def _when_found(text: str, pattern: str, name: str) -> str:
+    return case({f"{text} rlike {literal(pattern)}": f"array('{name}')"}, NO_NAMES)
 
-def _when_found(text: Column, pattern: str, name: str) -> Column:
-    return F.when(text.rlike(pattern), F.array(F.lit(name))).otherwise(no_names())
 
-
-def es_exports(bare: Column) -> Column:
+def es_exports(bare: str) -> str:
     """Names of exported declarations and lists, ``default`` and ``*``."""
-    return F.concat(
+    parts = [
         _when_found(bare, EXPORT_DEFAULT, "default"),
-        regex_matches(bare, EXPORTED_DECLARATION),
-        _pieces(_blocks(bare, EXPORTED_VARIABLES), rf"(?s)^\s*+{NAME}\s*+(?:$|[:=!])"),
-        _pieces(_blocks(bare, EXPORTED_LIST), rf"(?s)^\s*+(?:.*\sas\s++|type\s++(?!as\s))?['\"]?{NAME}['\"]?\s*+$"),
-        regex_matches(bare, EXPORTED_NAMESPACE),
+        captures(bare, EXPORTED_DECLARATION),
+        _pieces(captures(bare, EXPORTED_VARIABLES), VARIABLE_NAME),
+        _pieces(captures(bare, EXPORTED_LIST), LISTED_NAME),
+        captures(bare, EXPORTED_NAMESPACE),
         _when_found(bare, EXPORT_ALL, "*"),
-    )
+    ]
+    return f"concat({', '.join(parts)})"
 
 
-def _object_keys(bare: Column) -> Column:
+def _object_keys(bare: str) -> str:
     """Keys of every object assigned as the module's exports; ``default`` for one without keys."""
-    flat = F.regexp_replace(bare, ASSIGNED_OBJECT, OPENED)
+    flat = f"regexp_replace({bare}, {literal(ASSIGNED_OBJECT)}, {literal(OPENED)})"
     for _ in range(FOLD_DEPTH):
-        flat = F.regexp_replace(flat, INNERMOST, FOLDED)
-    bodies = _blocks(flat, OBJECT_BODY)
-    keys_of = F.transform(
-        bodies,
-        lambda body: F.filter(
-            F.transform(F.split(body, ","), lambda piece: F.regexp_extract(piece, OBJECT_KEY, 1)), lambda k: k != ""
-        ),
-    )
-    keys = F.flatten(F.transform(keys_of, lambda ks: F.when(F.size(ks) > 0, ks).otherwise(F.array(F.lit("default")))))
-    return F.when(bare.rlike(ASSIGNED_OBJECT), keys).otherwise(no_names())
-
-
-def commonjs_exports(bare: Column) -> Column:
+        flat = f"regexp_replace({flat}, {literal(INNERMOST)}, {literal(FOLDED)})"
+    keys = f"filter({_pieces('array(body)', OBJECT_KEY)}, k -> k <> '')"
+    or_default = f"transform(transform({captures(flat, OBJECT_BODY)}, body -> {keys}), k -> if(size(k) > 0, k, array('default')))"
+    return case({f"{bare} rlike {literal(ASSIGNED_OBJECT)}": f"flatten({or_default})"}, NO_NAMES)
+
+
+def commonjs_exports(bare: str) -> str:
     """Names given to ``module.exports``, ``exports.x`` and TypeScript's ``export =``.
 
     A value that is neither a name, a named definition nor an object counts as ``default``.
     """
-    named = F.regexp_count(bare, F.lit(ASSIGNED_NAME))
-    defined = F.regexp_count(bare, F.lit(ASSIGNED_DEFINITION))
-    objects = F.regexp_count(bare, F.lit(ASSIGNED_OBJECT))
-    every = F.regexp_count(bare, F.lit(ASSIGNED))
-    unnamed = F.when(every > named + defined + objects, F.array(F.lit("default"))).otherwise(no_names())
-    found = F.concat(
-        regex_matches(bare, ASSIGNED_NAME),
-        regex_matches(bare, ASSIGNED_DEFINITION),
+
+    def count(pattern: str) -> str:
+        return f"regexp_count({bare}, {literal(pattern)})"
+
+    known = " + ".join(map(count, (ASSIGNED_NAME, ASSIGNED_DEFINITION, ASSIGNED_OBJECT)))
+    parts = [
+        captures(bare, ASSIGNED_NAME),
+        captures(bare, ASSIGNED_DEFINITION),
         _object_keys(bare),
-        unnamed,
-        regex_matches(bare, MEMBER),
-    )
-    # Most module files export one way only; skip the CommonJS patterns where the word is absent.
-    return F.when(bare.rlike(rf"{HEAD}(?:module\.exports|exports\.|export\s*+=)"), found).otherwise(no_names())
-
-
-def exports(bare: Column) -> Column:
-    found = F.concat(
-        F.when(bare.rlike(r"export[\s{*]"), es_exports(bare)).otherwise(no_names()),
-        commonjs_exports(bare),
-    )
-    return F.array_distinct(F.filter(found, lambda x: x != ""))
-
-
-def fact_names(code: Column, bare: Column, fact: str) -> Column:
-    return {
-        "imports": lambda: imports(code),
-        "functions": lambda: functions(bare),
-        "classes": lambda: classes(bare),
-        "exports": lambda: exports(bare),
-        "interfaces": lambda: interfaces(bare),
-    }[fact]()
+        case({f"{count(ASSIGNED)} > {known}": "array('default')"}, NO_NAMES),
+        captures(bare, MEMBER),
+    ]
+    return f"concat({', '.join(parts)})"
+
+
+def exports(bare: str) -> str:
+    # Most modules export in one way only, so each set of patterns runs where its word occurs.
+    es = case({f"{bare} rlike {literal(ES_WORD)}": es_exports(bare)}, NO_NAMES)
+    commonjs = case({f"{bare} rlike {literal(COMMONJS_WORD)}": commonjs_exports(bare)}, NO_NAMES)
+    return names(f"concat({es}, {commonjs})")
+
+
+def fact_names(code: str, bare: str, fact: str) -> str:
+    if fact == "imports":
+        return regex_matches(code, IMPORTS)
+    if fact == "functions":
+        return regex_matches(bare, FUNCTIONS, 2)
+    if fact == "exports":
+        return exports(bare)
+    return regex_matches(bare, {"classes": CLASSES, "interfaces": INTERFACES}[fact])

@@ -1,38 +1,29 @@
-"""Facts found by plain text patterns, one expression per language and fact."""
+"""Facts found by plain text patterns, as SQL text per language and fact."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .fixed import LANGUAGES
-from .text import no_names, regex_matches
+from .sqltext import NO_NAMES, captures, literal, regex_matches
 
 
-def names(content: Column, spec: dict, fact: str) -> Column:
+def names(text: str, spec: dict, fact: str) -> str:
     """Names of one kind of fact in one language; empty when the language has no pattern."""
     if fact not in spec:
-        return no_names()
+        return NO_NAMES
     pattern, groups = spec[fact]
-    return regex_matches(content, pattern, groups)
+    return regex_matches(text, pattern, groups)
 
 
-def imports(content: Column, spec: dict) -> Column:
+def imports(text: str, spec: dict) -> str:
     """Import strings, with those of grouped import blocks appended."""
-    single = names(content, spec, "imports")
+    single = names(text, spec, "imports")
     if "import_block" not in spec:
         return single
-    block, _ = spec["import_block"]
-    item, _ = spec["import_block_item"]
-    grouped = F.flatten(
-        F.transform(
-            F.regexp_extract_all(content, F.lit(block), F.lit(1)),
-            lambda body: F.regexp_extract_all(body, F.lit(item), F.lit(1)),
-        )
-    )
-    return F.array_distinct(F.concat(single, grouped))
-
-
-def fact_names(content: Column, language: str, fact: str, languages: dict = LANGUAGES) -> Column:
+    block, item = spec["import_block"][0], spec["import_block_item"][0]
+    items = f"transform({captures(text, block)}, b -> regexp_extract_all(b, {literal(item)}, 1))"
+    return f"array_distinct(concat({single}, flatten({items})))"
+
+
+def fact_names(text: str, language: str, fact: str, languages: dict = LANGUAGES) -> str:
     spec = languages[language]
-    return imports(content, spec) if fact == "imports" else names(content, spec, fact)
+    return imports(text, spec) if fact == "imports" else names(text, spec, fact)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,19 +25,3 @@ def complexity(content: Column) -> Column:
 
 def complexity_label(value: Column) -> Column:
     return F.when(value > 10, "High").when(value > 5, "Medium").otherwise("Low")
-
-
-def regex_matches(content: Column, pattern: str, groups: int = 1) -> Column:
-    """Captured text of every match, in order, first occurrence kept, empty captures dropped.
-
-    With several groups the pattern is an alternation in which a match fills one group.
-    """
-    captures = [F.regexp_extract_all(content, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
-    merged = reduce(
-        lambda left, right: F.zip_with(left, right, lambda x, y: F.when(x != "", x).otherwise(y)), captures
-    )
-    return F.array_distinct(F.filter(merged, lambda x: x != ""))
-
-
-def no_names() -> Column:
-    return F.array().cast("array<string>")

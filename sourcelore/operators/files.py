@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical_extract, paths, regex_extract, text
 from ..functions.fixed import DEFAULT_IGNORE, LANGUAGES, LEXICAL_LANGUAGES
+from ..functions.sqltext import NO_NAMES, case, literal
 
 
 def ignore_patterns(extra: str | None = None) -> list[str]:
@@ -60,28 +61,25 @@ def file_facts(files: DataFrame, mode: str = "lexical", languages: dict = LANGUA
     if mode not in ("lexical", "regex"):
         raise ValueError(f"mode must be 'lexical' or 'regex', not {mode!r}")
     lexical = [name for name in languages if mode == "lexical" and name in LEXICAL_LANGUAGES]
-    language, content, code, bare = map(F.col, ("language", "content", "code", "bare"))
 
     known = with_language(files.select("repo_id", "path", "content"), languages)
     if lexical:
-        known = known.withColumn(
-            "code", F.when(language.isin(lexical), lexical_extract.code_text(content))
-        ).withColumn("bare", lexical_extract.bare_text(code))
-
-    def fact(kind: str, only_where_listed: bool = False) -> Column:
-        branches = [
-            F.when(
-                language == name,
-                lexical_extract.fact_names(code, bare, kind)
-                if name in lexical
-                else regex_extract.fact_names(content, name, kind, languages),
-            )
+        is_lexical = f"language in ({', '.join(map(literal, lexical))})"
+        known = known.withColumn("code", F.expr(case({is_lexical: lexical_extract.code_text("content")}, "null")))
+        known = known.withColumn("bare", F.expr(lexical_extract.bare_text("code")))
+
+    def fact(kind: str, otherwise: str = NO_NAMES) -> Column:
+        """Names by language; ``otherwise`` for languages that do not list this kind."""
+        branches = {
+            f"language = {literal(name)}": lexical_extract.fact_names("code", "bare", kind)
+            if name in lexical
+            else regex_extract.fact_names("content", name, kind, languages)
             for name, spec in languages.items()
             if kind in spec
-        ]
-        found = F.coalesce(*branches) if branches else F.lit(None).cast("array<string>")
-        return found if only_where_listed else F.coalesce(found, text.no_names())
+        }
+        return F.expr(case(branches, otherwise)).alias(kind)
 
+    content = F.col("content")
     return known.select(
         "repo_id",
         "path",
@@ -89,12 +87,12 @@ def file_facts(files: DataFrame, mode: str = "lexical", languages: dict = LANGUA
         text.size_units(content).alias("size"),
         text.line_count(content).alias("lines"),
         text.complexity(content).alias("complexity"),
-        fact("imports").alias("imports"),
-        fact("functions").alias("functions"),
-        fact("classes").alias("classes"),
-        fact("exports").alias("exports"),
-        fact("interfaces", only_where_listed=True).alias("interfaces"),
-        fact("structs", only_where_listed=True).alias("structs"),
+        fact("imports"),
+        fact("functions"),
+        fact("classes"),
+        fact("exports"),
+        fact("interfaces", "null"),
+        fact("structs", "null"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators.files import language_of
+from ..session import ensure_checkpoint_dir
 
 ROOT_CONFIGS = ["tsconfig.json", "jsconfig.json"]
 SCHEMA = "extends string, compilerOptions struct<baseUrl:string,paths:map<string,string>>, _broken string"
@@ -52,6 +53,9 @@ def config_chain(files: DataFrame, repo_paths: DataFrame | None = None) -> DataF
     level = roots.join(chosen, ["repo_id", "path"], "left_semi").select(
         "*", F.array().cast("array<int>").alias("place"), F.array("path").alias("through")
     )
+    # One small row per config. Written out per level, so that no level repeats the ones before.
+    ensure_checkpoint_dir(files.sparkSession)
+    level = level.checkpoint()
     found = level
     while True:
         folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
@@ -76,8 +80,10 @@ def config_chain(files: DataFrame, repo_paths: DataFrame | None = None) -> DataF
             .groupBy("repo_id", "place", "through")
             .agg(F.min_by("path", "spelling").alias("path"))
         )
-        level = _parsed(first.join(texts, ["repo_id", "path"])).withColumn(
-            "through", F.concat("through", F.array("path"))
+        level = (
+            _parsed(first.join(texts, ["repo_id", "path"]))
+            .withColumn("through", F.concat("through", F.array("path")))
+            .checkpoint()
         )
         if level.isEmpty():
             break
