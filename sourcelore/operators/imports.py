@@ -43,9 +43,9 @@ def candidate_paths(base: Column) -> Column:
         F.concat(base, F.lit("/"))
     )
     index = F.transform(extensions, lambda e: F.concat(folder, F.lit("index"), e))
-    return F.array_distinct(
-        F.concat(F.array(base), F.when(has_extension(base), F.array().cast("array<string>")).otherwise(with_extension), index)
-    )
+    # The root has no name that an extension could follow.
+    extended = F.when((base == "") | has_extension(base), F.array().cast("array<string>")).otherwise(with_extension)
+    return F.array_distinct(F.concat(F.array(base), extended, index))
 
 
 def expand_candidates(candidates: DataFrame) -> DataFrame:
