@@ -52,31 +52,43 @@ class Tables:
     def facts(self, tree: str = "layout_files", mode: str = "lexical") -> DataFrame:
         return files.file_facts(self.view(tree), mode)
 
+    @once
+    def links(self, tree: str = "layout_files") -> DataFrame:
+        """The facts that the graph needs; read several times, so kept once computed."""
+        return self.facts(tree).select("repo_id", "path", "imports", "exports").persist()
+
+    @once
+    def kept_facts(self) -> DataFrame:
+        """All facts, for queries that read them several times."""
+        return self.facts().persist()
+
     @once
     def resolved(self, tree: str = "layout_files") -> DataFrame:
-        return imports.resolve_imports(self.facts(tree), self.view(tree))
+        return imports.resolve_imports(self.links(tree), self.view(tree))
 
     @once
     def edges(self, tree: str = "layout_files") -> DataFrame:
-        return imports.import_edges(self.resolved(tree), self.facts(tree))
+        return imports.import_edges(self.resolved(tree), self.links(tree))
 
     @once
     def degrees(self) -> DataFrame:
-        return graph.degrees(self.facts(), self.edges())
+        return graph.degrees(self.links(), self.edges())
 
     def dead(self, include_tests: bool = False) -> DataFrame:
-        return graph.dead_code(self.facts(), self.edges(), include_tests)
+        return graph.dead_code(self.links(), self.edges(), include_tests)
 
     @once
     def authors(self) -> DataFrame:
         return history.file_authors(self.view("layout_commit_files"))
 
     def enriched(self, top_partners: DataFrame | None = None) -> DataFrame:
+        facts = self.kept_facts()
+        edges = imports.import_edges(imports.resolve_imports(facts, self.view("layout_files")), facts)
         return summary.enrich_files(
-            self.facts(),
+            facts,
             history.ownership(self.authors()),
             history.change_frequency(self.view("layout_commit_files")),
-            self.degrees(),
+            graph.degrees(facts, edges),
             top_partners,
         )
 
@@ -87,8 +99,8 @@ class Tables:
         return summary.categorize(self.enriched())
 
     def with_degrees(self) -> DataFrame:
-        """Facts and degrees only, for what needs no history."""
-        return summary.categorize(self.facts().join(self.degrees(), ["repo_id", "path"]))
+        """Paths and degrees only, for what needs no facts and no history."""
+        return summary.categorize(self.degrees())
 
     @once
     def chain(self) -> DataFrame:
@@ -106,7 +118,7 @@ class Tables:
 
     def brand_resolved(self) -> DataFrame:
         settings, aliases = self.configured()
-        return imports.resolve_imports(self.facts("brand_files"), self.brand_paths(), settings, aliases)
+        return imports.resolve_imports(self.links("brand_files"), self.brand_paths(), settings, aliases)
 
     def log_lines(self) -> DataFrame:
         """The log as text lines, cut into blocks that start anywhere in a commit."""
@@ -257,7 +269,7 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             imports.references(t.facts("brand_files")).select("repo_id", "import").distinct(), t.configured()[1]
         ),
         "resolve_configured_imports": Tables.brand_resolved,
-        "configured_import_edges": lambda t: imports.import_edges(t.brand_resolved(), t.facts("brand_files")),
+        "configured_import_edges": lambda t: imports.import_edges(t.brand_resolved(), t.links("brand_files")),
         # History
         "parsed_commits": lambda t: commit_log.commits(commit_log.parse_log_lines(t.log_lines())).select(
             "repo_id", "hash", "author", "date_raw", "message", F.date_format("ts", "yyyy-MM-dd").alias("day")

@@ -23,50 +23,63 @@ from .sqltext import NO_NAMES, captures, case, literal, names, regex_matches
 STRINGS = r""""(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\.|[^`\\])*+`"""
 REGEX_LITERAL = r"(?<=[=(,:\[!&|?{};]\s{0,2})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/[a-z]*+"
 
+# A pattern is tried at every position of a text. Those below start with a literal, which the
+# matcher searches for, or with the set of their first characters; what must not stand
+# before is checked behind that, as "not preceded by X, then the literal".
+
 # What `code` drops (comments, regex literals); strings are matched first-come and kept.
-NOISE = rf"(?s)//[^\n]*+|/\*.*?\*/|({STRINGS})|{REGEX_LITERAL}"
+NOISE = rf"(?s)(?=[/\"'`])(?://[^\n]*+|/\*.*?\*/|({STRINGS})|{REGEX_LITERAL})"
 # What `bare` blanks; one-word strings keep their quotes and text.
-QUOTED = rf"(?s)(['\"])([\w$.-]++)\1|{STRINGS}"
-
-HEAD = r"(?<![\w$.])"
-# A function or class in expression position is not a declaration.
-NOT_VALUE = r"(?<![=(,:?&|!\[]\s{0,4})(?<!\breturn\s{1,4})(?<!\basync\s{1,4})"
+QUOTED = rf"(?s)(?=[\"'`])(?:(['\"])([\w$.-]++)\1|{STRINGS})"
 NAME = r"([\w$]+)"
 
+
+def _word(word: str) -> str:
+    """A word that is not the end of a longer name or a member."""
+    return rf"{word}(?<![\w$.]{word})"
+
+
+def _declared(word: str) -> str:
+    """A word that starts a declaration: as a value, a function or class is an expression."""
+    return rf"{_word(word)}(?<![=(,:?&|!\[]\s{{0,4}}(?:async\s{{1,3}})?{word})(?<!\breturn\s{{1,4}}(?:async\s{{1,3}})?{word})"
+
+
 IMPORTS = (
-    rf"(?s){HEAD}(?:import\s++(?!type\s++(?!from\s*['\"]))[^'\"();]*?from\s*+|export\s++(?:type\s++)?(?:\*|\{{)[^'\"();]*?from\s*+"
-    rf"|import\s*+\(\s*+|require\s*+\(\s*+|import\s*+)['\"]([^'\"\n]+)['\"]|{STRINGS}"
+    rf"(?s)(?=[ier\"'`])(?:(?<![\w$.])(?:import\s++(?!type\s++(?!from\s*['\"]))[^'\"();]*?from\s*+"
+    r"|export\s++(?:type\s++)?(?:\*|\{)[^'\"();]*?from\s*+"
+    rf"|import\s*+\(\s*+|require\s*+\(\s*+|import\s*+)['\"]([^'\"\n]+)['\"]|{STRINGS})"
 )
 FUNCTIONS = (
-    rf"{HEAD}{NOT_VALUE}(?:async\s++)?function\s*+\*?\s*+{NAME}"
-    rf"|{HEAD}(?:const|let|var)\s++{NAME}\s*+(?::(?:[^=;\n]|=>)++)?+=\s*+(?:async\s++)?"
+    rf"(?=[fclv])(?:{_declared('function')}\s*+\*?\s*+{NAME}"
+    rf"|{_word('(?:const|let|var)')}\s++{NAME}\s*+(?::(?:[^=;\n]|=>)++)?+=\s*+(?:async\s++)?"
     r"(?:function(?![\w$])|(?:<[^<>()]*+>\s*+)?\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)\s*+(?::[^=;{\n]++)?+=>"
-    r"|[\w$]++\s*+=>)"
+    r"|[\w$]++\s*+=>))"
 )
-CLASSES = rf"{HEAD}{NOT_VALUE}class\s++(?!extends\b){NAME}"
-INTERFACES = rf"{HEAD}interface\s++{NAME}"
+CLASSES = rf"{_declared('class')}\s++(?!extends\b){NAME}"
+INTERFACES = rf"{_word('interface')}\s++{NAME}"
 
+EXPORT = _word("export")
 EXPORTED_DECLARATION = (
-    rf"{HEAD}export\s++(?:declare\s++)?(?:(?:async\s++)?function\s*+\*?\s*+|(?:abstract\s++)?class\s++"
+    rf"{EXPORT}\s++(?:declare\s++)?(?:(?:async\s++)?function\s*+\*?\s*+|(?:abstract\s++)?class\s++"
     rf"|interface\s++|type\s++(?=[\w$]+\s*+[=<])){NAME}"
 )
-EXPORTED_VARIABLES = (
-    rf"{HEAD}export\s++(?:declare\s++)?(?:const|let|var)\s++((?:[^,;\n(){{}}\[\]]|,\s*+)++)"
-)
-EXPORTED_LIST = rf"{HEAD}export\s*+(?:type\s*+)?\{{([^}}]*+)\}}"
+EXPORTED_VARIABLES = rf"{EXPORT}\s++(?:declare\s++)?(?:const|let|var)\s++((?:[^,;\n(){{}}\[\]]|,\s*+)++)"
+EXPORTED_LIST = rf"{EXPORT}\s*+(?:type\s*+)?\{{([^}}]*+)\}}"
 VARIABLE_NAME = rf"(?s)^\s*+{NAME}\s*+(?:$|[:=!])"
 LISTED_NAME = rf"(?s)^\s*+(?:.*\sas\s++|type\s++(?!as\s))?['\"]?{NAME}['\"]?\s*+$"
-EXPORTED_NAMESPACE = rf"{HEAD}export\s*+\*\s*+as\s++{NAME}"
-EXPORT_ALL = rf"{HEAD}export\s*+(?:type\s++)?\*\s*+from(?![\w$])"
-EXPORT_DEFAULT = rf"{HEAD}export\s++default(?![\w$])"
+EXPORTED_NAMESPACE = rf"{EXPORT}\s*+\*\s*+as\s++{NAME}"
+EXPORT_ALL = rf"{EXPORT}\s*+(?:type\s++)?\*\s*+from(?![\w$])"
+EXPORT_DEFAULT = rf"{EXPORT}\s++default(?![\w$])"
 
-ASSIGNED = rf"{HEAD}(?:module\.exports|export(?=\s*+=))\s*+=(?![=>])\s*+"
+# `module.exports =`, and TypeScript's `export =`.
+ASSIGNED = r"export(?:s(?<=(?<![\w$.])module\.exports)|(?<![\w$.]export))\s*+=(?![=>])\s*+"
 ASSIGNED_NAME = rf"{ASSIGNED}(?!function(?![\w$])|class(?![\w$])|async(?![\w$])|new\s|await\s|typeof\s){NAME}[ \t]*+(?:[;,)\n\r}}]|$)"
 ASSIGNED_DEFINITION = rf"{ASSIGNED}(?:async\s++)?(?:function\s*+\*?\s*+|class\s++)(?!extends\b){NAME}"
 ASSIGNED_OBJECT = rf"{ASSIGNED}\{{"
-MEMBER = rf"{HEAD}(?:module\.)?exports\.{NAME}(?:\.[\w$]+)*+\s*+(?:[-+*/%&|^]|&&|\|\||\?\?)?=(?![=>])"
-ES_WORD = r"export[\s{*]"
-COMMONJS_WORD = rf"{HEAD}(?:module\.exports|exports\.|export\s*+=)"
+MEMBER = (
+    rf"exports\.(?:(?<![\w$.]exports\.)|(?<=(?<![\w$.])module\.exports\.)){NAME}(?:\.[\w$]+)*+"
+    r"\s*+(?:[-+*/%&|^]|&&|\|\||\?\?)?=(?![=>])"
+)
 
 FOLD_DEPTH = 6
 OPENED = "\u0001"
@@ -139,8 +152,9 @@ def commonjs_exports(bare: str) -> str:
 
 def exports(bare: str) -> str:
     # Most modules export in one way only, so each set of patterns runs where its word occurs.
-    es = case({f"{bare} rlike {literal(ES_WORD)}": es_exports(bare)}, NO_NAMES)
-    commonjs = case({f"{bare} rlike {literal(COMMONJS_WORD)}": commonjs_exports(bare)}, NO_NAMES)
+    es = case({f"contains({bare}, 'export')": es_exports(bare)}, NO_NAMES)
+    assigned = f"contains({bare}, 'exports') or {bare} rlike {literal(ASSIGNED)}"
+    commonjs = case({assigned: commonjs_exports(bare)}, NO_NAMES)
     return names(f"concat({es}, {commonjs})")
 
 

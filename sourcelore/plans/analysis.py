@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..operators import cochange, files as file_ops, graph, history, imports, summary
@@ -27,6 +28,11 @@ class Analysis(Mapping):
     def __len__(self) -> int:
         return len(self.tables)
 
+    def release(self) -> None:
+        """Drop what the analysis persisted."""
+        for table in self.tables.values():
+            table.unpersist()
+
     def documents(self) -> dict[str, DataFrame]:
         """Files and features in document form, with their lists nested."""
         return {
@@ -36,9 +42,9 @@ class Analysis(Mapping):
 
 
 def _keep(table: DataFrame, workdir: str | None, name: str) -> DataFrame:
-    """Write a table that several branches read, so that each reads it and none computes it again."""
+    """Hold a table that several others are made from, so that none computes it again."""
     if workdir is None:
-        return table
+        return table.persist(StorageLevel.MEMORY_AND_DISK)
     location = f"{workdir}/{name}"
     table.write.mode("overwrite").parquet(location)
     return table.sparkSession.read.parquet(location)
@@ -59,9 +65,11 @@ def analyze(
 
     ``repo_paths`` lists all existing paths when ``files`` is not the whole tree. With
     ``use_config`` the path configs among ``files`` resolve aliases; finding inherited
-    configs takes one small job per level. ``workdir`` is a folder shared by the cluster for
-    the facts, edges and authors, which most tables are built from; without it every table
-    is computed from the inputs when it is used.
+    configs takes one small job per level.
+
+    Facts, edges, authors and enriched files, which the other tables are made from, are
+    written to ``workdir``, a folder the whole cluster reaches. Without one they are
+    persisted when first used, until ``Analysis.release``.
     """
     facts = file_ops.file_facts(file_ops.filter_ignored(files, file_ops.ignore_patterns(ignore)), mode)
     facts = _keep(facts, workdir, "file_facts")

@@ -39,12 +39,14 @@ def _code(target: str) -> str:
   repeat({IF_LINE}, p.p_size))"""
 
 
+# The texts are built from one small file; spread its rows before they grow.
+SPREAD = "/*+ REPARTITION(32) */"
 PART_FIELDS = f"""p_partkey as pk, cast(p_partkey as varchar(20)) as k, p_size, p_brand as brand,
   lower(p_type) as dir, {STEM} as stem, {EXTENSION} as ext, {PATH} as path, {CATEGORY_PATH} as category_path"""
 
 CODE_FILES = f"""
 select 'r0' as repo_id, p.path, {_code("concat('../', q.dir, '/', q.stem, case when p.pk % 2 = 0 then q.ext else '' end)")} as content
-from (select {PART_FIELDS} from part) p
+from (select {SPREAD} {PART_FIELDS} from part) p
 join (select {PART_FIELDS} from part) q on q.pk = cast(floor(p.pk / 8.0) as bigint)
 """
 
@@ -54,7 +56,7 @@ LAYOUT_TARGET = f"""concat({UP}, case when p.pk % 2 = 0 then q.category_path
    else substr(q.category_path, 1, length(q.category_path) - length(q.ext)) end)"""
 LAYOUT_FILES = f"""
 select 'r0' as repo_id, p.category_path as path, {_code(LAYOUT_TARGET)} as content
-from (select {PART_FIELDS} from part) p
+from (select {SPREAD} {PART_FIELDS} from part) p
 join (select {PART_FIELDS} from part) q on q.pk = cast(floor(p.pk / 20.0) as bigint)
 """
 
@@ -64,7 +66,7 @@ BRAND_FILES = f"""
 select concat('repo-', replace(p.brand, '#', '')) as repo_id, p.path, {_code('''case p.pk % 4
    when 0 then concat('@/', q.dir, '/', q.stem) when 1 then concat('~lib/', q.dir, '/', q.stem, q.ext)
    when 2 then concat('src/', q.dir, '/', q.stem) else concat('@', q.stem) end''')} as content
-from (select {PART_FIELDS} from part) p
+from (select {SPREAD} {PART_FIELDS} from part) p
 join (select brand as qbrand, min(pk) as first_pk from (select {PART_FIELDS} from part) f
       where f.ext in ('.js', '.ts') group by brand) h on h.qbrand = p.brand
 join (select {PART_FIELDS} from part) q on q.pk = h.first_pk
@@ -88,9 +90,12 @@ def _log(days: str, ts: str) -> tuple[str, str, str]:
     position = f"-(cast({days} as bigint) * 10000000 + o_orderkey)"
     head = f"""'r0' as repo_id, concat('c', cast(o_orderkey as varchar(20))) as hash,
        concat('author_', cast(o_custkey % 25 as varchar(20))) as author, {ts} as ts, {position} as log_pos"""
-    touched = "from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey"
-    commit_files = f"select {head}, {PATH} as file {touched}"
-    layout_commit_files = f"select {head}, {CATEGORY_PATH} as file {touched}"
+    def touched(path: str) -> str:
+        # One path per part, not per line item.
+        return f"""select {head}, f.file from orders join lineitem on l_orderkey = o_orderkey
+join (select p_partkey, {path} as file from part) f on f.p_partkey = l_partkey"""
+
+    commit_files, layout_commit_files = touched(PATH), touched(CATEGORY_PATH)
     commits = f"""select {head}, concat('order ', cast(o_orderkey as varchar(20)), ' ', o_orderpriority) as message
 from orders"""
     return commit_files, layout_commit_files, commits
