@@ -28,7 +28,10 @@ BULK_SIZE = 200
 
 def _touches(commit_files: DataFrame, bulk_size: int) -> DataFrame:
     """Distinct (commit, file) rows, marked when the commit touches more than ``bulk_size`` files."""
-    touches = distinct_touches(commit_files.select("repo_id", "hash", "file"))
+    # Stated once here: the joins below would each add such a filter, to some branches only, and
+    # the distinct rows would be shuffled anew for every branch.
+    keys = ["repo_id", "hash", "file"]
+    touches = distinct_touches(commit_files.select(*keys).filter(" and ".join(f"{key} is not null" for key in keys)))
     sizes = touches.groupBy("repo_id", "hash").agg((F.count("*") > bulk_size).alias("bulk"))
     return attach(touches, sizes, ["repo_id", "hash"])
 
@@ -65,10 +68,14 @@ def _pairs_by_file(touches: DataFrame, files: DataFrame) -> DataFrame:
         & (F.col("l.file") < F.col("r.file"))
         & (F.col("l.wanted") | F.col("r.wanted")),
     )
-    sides = [f"{side}.{c}" for side in "lr" for c in ("file", "commits", "bulk_group", "wanted")]
+    # Numbers of a file are the same in all its rows; only texts have to be grouping keys.
     counted = met.groupBy(
-        F.col("l.repo_id").alias("repo_id"), *[F.col(c).alias(c.replace(".", "_")) for c in sides]
-    ).agg(F.count("*").alias("shared"))
+        F.col("l.repo_id").alias("repo_id"),
+        *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "lr" for c in ("file", "bulk_group")],
+    ).agg(
+        F.count("*").alias("shared"),
+        *[F.max(f"{side}.{c}").alias(f"{side}_{c}") for side in "lr" for c in ("commits", "wanted")],
+    )
 
     def direction(me: str, other: str):
         return F.struct(

@@ -12,17 +12,13 @@ from pyspark.sql import functions as F
 def attach(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join a table with one row per key to rows whose keys may be very uneven.
 
-    A table that was just grouped by the same keys is already partitioned by them, and Spark
-    would reuse that partitioning. It then can neither split a hot key at run time nor
-    replace the join by a broadcast once the table's real size is known: both need a plain
-    shuffle on each side. The last key (a string) of the table therefore passes through an
-    expression, which makes Spark shuffle the (small) table once more.
+    A table that was just grouped by the same keys is already partitioned by them, and a
+    plain equality would reuse that partitioning. Spark can then neither split a hot key at
+    run time nor turn the join into a broadcast once the table's real size is known: both
+    need a fresh shuffle on each side. Null-safe equality compares expressions over the keys,
+    so the (small) table is shuffled once more; and as it implies no filter on the inputs,
+    an input that feeds several joins stays the same in all of them and is shuffled once.
     """
-    last, rest = keys[-1], keys[:-1]
-    fresh = table.select(
-        *[F.col(key).alias(f"_{key}") for key in rest],
-        F.concat(F.col(last), F.lit("")).alias(f"_{last}"),
-        *[c for c in table.columns if c not in keys],
-    )
-    condition = reduce(and_, [F.col(key) == F.col(f"_{key}") for key in keys])
+    fresh = table.select(*[F.col(key).alias(f"_{key}") for key in keys], *[c for c in table.columns if c not in keys])
+    condition = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys])
     return rows.join(fresh, condition, how).drop(*[f"_{key}" for key in keys])
