@@ -59,16 +59,11 @@ def nested_files(
         *key,
         "page",
         *facts,
-        F.when(
-            F.col("page") == 0,
-            F.struct(
-                F.col("primary_author").alias("primary"),
-                F.coalesce("contributors", F.array().cast("array<struct<author:string,commits:bigint>>")).alias("contributors"),
-                "total_commits",
-            ),
-        )
-        .otherwise(F.struct(F.lit(None).cast("string"), "contributors", F.lit(None).cast("bigint")))
-        .alias("ownership"),
+        F.struct(
+            F.col("primary_author").alias("primary"),
+            F.coalesce("contributors", F.array().cast("array<struct<author:string,commits:bigint>>")).alias("contributors"),
+            "total_commits",
+        ).alias("ownership"),
         "co_changed_files",
         F.struct(
             F.coalesce("calls", no_names).alias("calls"), F.coalesce("called_by", no_names).alias("called_by")
