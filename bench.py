@@ -1,8 +1,8 @@
 """Headline queries, timed one after the other.
 
 Reads ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on ``local[$BENCH_CPUS]`` and prints one
-JSON line. Each query is built and run to a sink that discards its rows; the better of two
-runs counts, and nothing is cached between runs.
+JSON line. Each query is built and run to a sink that discards its rows; the best of
+three runs counts, and nothing is cached between runs.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ HEADLINES = [
     "enrich_files",
     "high_risk_files",
 ]
-RUNS = 2
+RUNS = 3
 
 
 def main() -> None:

@@ -73,16 +73,16 @@ join (select {PART_FIELDS} from part) q on q.pk = h.first_pk
 """
 
 # Root config of each brand: even brands extend a base file in config/, odd brands are self-contained.
-BRAND_CONFIGS = """
-select concat('repo-', b.name) as repo_id, c.path,
-  case when c.path = 'config/tsconfig.base.json' then
-    concat('{ // shared', chr(10), '"compilerOptions": {"baseUrl": "..", "paths": {"@/*": ["src/*"], "~lib/*": ["missing/*", "src/*"],}}}')
-  when b.n % 2 = 0 then '{"extends": "./config/tsconfig.base"}'
-  else '{"compilerOptions": {"baseUrl": "./", "paths": {"@/*": ["./src/*"], "~lib/*": ["missing/*", "src/*"]}}}' end as content
-from (select distinct replace(p_brand, 'Brand#', 'Brand') as name,
-             cast(replace(p_brand, 'Brand#', '') as bigint) as n from part) b
-cross join (select 'tsconfig.json' as path union all select 'config/tsconfig.base.json' as path) c
-where c.path = 'tsconfig.json' or b.n % 2 = 0
+BRANDS = """select distinct concat('repo-', replace(p_brand, '#', '')) as repo_id,
+  cast(replace(p_brand, 'Brand#', '') as bigint) as n from part"""
+BRAND_CONFIGS = f"""
+select repo_id, 'tsconfig.json' as path, case when n % 2 = 0 then '{{"extends": "./config/tsconfig.base"}}'
+  else '{{"compilerOptions": {{"baseUrl": "./", "paths": {{"@/*": ["./src/*"], "~lib/*": ["missing/*", "src/*"]}}}}}}' end as content
+from ({BRANDS}) b
+union all
+select repo_id, 'config/tsconfig.base.json', concat('{{ // shared', chr(10),
+  '"compilerOptions": {{"baseUrl": "..", "paths": {{"@/*": ["src/*"], "~lib/*": ["missing/*", "src/*"],}}}}}}')
+from ({BRANDS}) b where n % 2 = 0
 """
 
 

@@ -119,8 +119,7 @@ def test_co_change_examples(spark):
     assert [(r["path"], r["file"]) for r in strict] == [("b.js", "a.js")]
 
 
-@pytest.mark.parametrize("bulk_size", [1, 3, 200])
-@pytest.mark.parametrize("threshold", [0.0001, 0.3, 0.6])
+@pytest.mark.parametrize("bulk_size, threshold", [(1, 0.3), (3, 0.0001), (3, 0.3), (200, 0.3)])
 def test_co_change_against_brute_force(spark, bulk_size, threshold):
     commits = random_log(spark, 11, commits=30, files=14, bulk=(4, 9, 20))
     table = log(spark, commits)
@@ -130,7 +129,7 @@ def test_co_change_against_brute_force(spark, bulk_size, threshold):
     assert len(got) == len(expected)
 
     targets = spark.createDataFrame([("r", f"f{i:02}") for i in range(5)], "repo_id string, path string")
-    for top_n in (1, 4):
+    for top_n in (4,):
         ranked = defaultdict(list)
         for (f, g), (n, c) in expected.items():
             if f <= "f04":
@@ -152,7 +151,7 @@ def test_one_bulk_commit_is_not_paired_file_by_file(spark):
     )
     few = log(spark, [("c1", "a", 1, ["f00007", "f19999"]), ("c0", "a", 1, ["f19999", "new"])])
     top = cochange.top_co_change(bulk.unionByName(few)).cache()
-    assert top.count() == 20_000 * 5 + 1 - 0
+    assert top.count() == 20_000 * 5 + 1
     rows = {r["path"]: [] for r in top.select("path").distinct().collect()}
     for r in top.filter(F.col("path").isin("f00000", "f00003", "f00007", "f19999", "new")).orderBy("rank").collect():
         rows[r["path"]].append((r["file"], round(r["correlation"], 3)))
