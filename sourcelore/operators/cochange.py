@@ -133,7 +133,7 @@ def _pairs_by_group(overlaps: DataFrame, files: DataFrame, threshold: float, top
         "repo_id", F.col("bulk_group").alias("path_group"), F.col("file").alias("path"), "commits"
     )
     return (
-        mine.join(by_group, ["repo_id", "path_group"])
+        attach(mine, by_group, ["repo_id", "path_group"])
         .filter((F.col("path") != F.col("file")) & (F.col("bulk_shared") / F.col("commits") >= threshold))
         .select("repo_id", "path", "file", "commits", F.col("bulk_shared").alias("count"))
     )
@@ -160,18 +160,16 @@ def co_change(
     in_groups = F.col("path_group").isNotNull() & F.col("file_group").isNotNull()
     enough = F.col("shared") / F.col("commits") >= threshold
     # Pairs that no bulk commit can lift are settled here. The rest meet their overlap; rows
-    # without a group are spread by their own path, not gathered under one null key.
-    by_file = (
-        by_file.filter(enough | in_groups)
-        .withColumn("path_group", F.coalesce("path_group", F.concat(F.lit("-"), F.col("path"))))
-        .join(overlaps, ["repo_id", "path_group", "file_group"], "left")
-        .select(
-            "repo_id",
-            "path",
-            "file",
-            "commits",
-            (F.col("shared") + F.coalesce("bulk_shared", F.lit(0))).alias("count"),
-        )
+    # outside the groups are spread by their own path, not gathered under one key.
+    looked_up = by_file.filter(enough | in_groups).withColumn(
+        "path_group", F.when(in_groups, F.col("path_group")).otherwise(F.concat(F.lit("-"), F.col("path")))
+    )
+    by_file = attach(looked_up, overlaps, ["repo_id", "path_group", "file_group"], "left").select(
+        "repo_id",
+        "path",
+        "file",
+        "commits",
+        (F.col("shared") + F.coalesce("bulk_shared", F.lit(0))).alias("count"),
     )
     by_group = _pairs_by_group(overlaps, files, threshold, top_n)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join a table with one row per key to rows whose keys may be very uneven.
+    """Join a table with few rows per key to rows whose keys may be very uneven.
 
     A table that was just grouped by the same keys is already partitioned by them, and a
     plain equality would reuse that partitioning. Spark can then neither split a hot key at

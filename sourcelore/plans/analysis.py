@@ -67,7 +67,7 @@ def analyze(
     ``use_config`` the path configs among ``files`` resolve aliases; finding inherited
     configs takes one small job per level.
 
-    Facts, edges, authors and enriched files, which the other tables are made from, are
+    Facts, edges, authors, partners and enriched files, which the other tables are made from, are
     written to ``workdir``, a folder the whole cluster reaches. Without one they are
     persisted when first used, until ``Analysis.release``.
     """
@@ -84,7 +84,9 @@ def analyze(
     authors = _keep(history.file_authors(commit_files), workdir, "file_authors")
 
     degrees = graph.degrees(facts, edges)
-    partners = cochange.top_co_change(commit_files, targets=facts) if include_co_change else None
+    partners = None
+    if include_co_change:
+        partners = _keep(cochange.top_co_change(commit_files, targets=facts), workdir, "co_change")
     enriched = summary.enrich_files(
         facts, history.ownership(authors), history.change_frequency(commit_files), degrees, partners
     )
