@@ -272,7 +272,7 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "configured_import_edges": lambda t: imports.import_edges(t.brand_resolved(), t.links("brand_files")),
         # History
         "parsed_commits": lambda t: commit_log.commits(commit_log.parse_log_lines(t.log_lines())).select(
-            "repo_id", "hash", "author", "date_raw", "message", F.date_format("ts", "yyyy-MM-dd").alias("day")
+            "repo_id", "hash", "author", "date_raw", "message", F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd").alias("day")
         ),
         "parsed_commit_files": lambda t: commit_log.commit_files(commit_log.parse_log_lines(t.log_lines())).select(
             "repo_id", "hash", "author", "file"

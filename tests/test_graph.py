@@ -81,13 +81,13 @@ def test_alias_rules(source_files):
         source_files,
         {
             "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"], "root/*": ["./*"], "one": ["src/one"], "fix/*": ["src/one"]}}}',
-            "a.js": """import a from '@/one'; import b from '@babel/core'; import c from 'one'; import d from 'one/x';
+            "a.js": """import a from '@/one'; import b from '@scope/pkg'; import c from 'one'; import d from 'one/x';
 import e from 'fix/anything'; import f from 'root/src/one'; import g from 'rootsrc/one'; import h from 'src/one';
 import i from 'src.js'; import j from 'plain'; import k from '/src/one'; import l from '@/';""",
             "src/one.js": "",
             "src/index.js": "",
             "src.js": "",
-            "babel/core.js": "",
+            "scope/pkg.js": "",
             "plain.js": "",
         },
     )
