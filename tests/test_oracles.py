@@ -7,7 +7,7 @@ import os
 import pytest
 
 import __spark_entry__
-from checks import compare
+from checks import compare, oracles, registry
 
 SF_DIR = "/root/testdata/sf0.001"
 NAMES = [
@@ -45,8 +45,8 @@ def test_matches_sql(spark, connection, name):
     assert compare.compare(spark, connection, SF_DIR, name) == ""
 
 
-def test_every_query_has_sql():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+def test_every_query_of_the_library_has_sql():
+    assert set(registry.build()) == set(oracles.build())
 
 
 def test_entry(spark):
