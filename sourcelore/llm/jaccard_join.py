@@ -116,7 +116,7 @@ def shingle_sets(docs: DataFrame, id_name: str = "doc_id", text_name: str = "tex
 
 def _next_path(path: Column, sketch: Column) -> Column:
     """Follow the token of the sketch that a hash of this very path puts first."""
-    tokens = F.transform(F.sequence(F.lit(0), F.octet_length(sketch) / 4 - 1), lambda i: F.substring(sketch, (i * 4 + 1).cast("int"), 4))
+    tokens = F.transform(F.sequence(F.lit(0), (F.octet_length(sketch) / 4 - 1).cast("int")), lambda i: F.substring(sketch, i * 4 + 1, 4))
     return F.xxhash64(path, F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, path))))
 
 

@@ -15,7 +15,7 @@ from sourcelore.llm.common import column, text_of
 LEADING = 3
 MIN_DOCUMENTS = 5
 #: Least share of a template's tokens that must be fixed.
-FIXED_SHARE = 0.6
+FIXED_SHARE = 0.5
 ANY = "<*>"
 
 
