@@ -27,7 +27,7 @@ RECALL = 0.9999
 #: Expected number of tokens that a pair at the threshold samples together in one run.
 SHARED_A_RUN = 3.0
 #: Sets that one task compares with each other, and how often a larger bucket is split before it is cut into blocks.
-BUCKET, DEPTH = 500, 3
+BUCKET, DEPTH = 500, 2
 #: Smallest hashes of a set, by which a pair is judged before whole sets are moved; and four deviations of it.
 SKETCH = 64
 SKETCH_SLACK = 0.25
@@ -43,9 +43,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs_for(recall: float, shared: float = SHARED_A_RUN) -> int:
-    """A pair at the threshold shares a Poisson number of sampled tokens a run; none in any run must be rare enough."""
-    return max(1, math.ceil(math.log(1 / (1 - recall)) / shared))
+def runs_for(recall: float, threshold: float) -> int:
+    """Runs until a pair at the threshold is missed rarely enough.
+
+    Such a pair shares a Poisson number of sampled tokens a run, and each split of a bucket keeps it together with a
+    chance of at least its similarity; a path that survives all splits in any run is enough.
+    """
+    return max(1, math.ceil(math.log(1 / (1 - recall)) / (SHARED_A_RUN * threshold**DEPTH)))
 
 
 class Shingler:
@@ -90,7 +94,7 @@ def _paths(tokens: np.ndarray, threshold: float, runs: int) -> list[int]:
 
 def shingle_sets(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, sig, size, tokens, paths): the set of each document, a digest of it, and where its runs begin."""
-    runs = runs_for(recall)
+    runs = runs_for(recall, threshold)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
