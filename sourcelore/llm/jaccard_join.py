@@ -33,6 +33,7 @@ SKETCH = 64
 SKETCH_SLACK = 0.25
 _WORD = re.compile(r"\w+")
 _MASK = (1 << 64) - 1
+_STEP = np.uint64(0xD1342543DE82EF95)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,31 +53,34 @@ def runs_for(recall: float, threshold: float) -> int:
     return max(1, math.ceil(math.log(1 / (1 - recall)) / (SHARED_A_RUN * threshold**DEPTH)))
 
 
+class _Hashes(dict):
+    """Hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 100_000:
+            self.clear()
+        made = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return made
+
+
 class Shingler:
     """Sets of word n-grams as sorted 32-bit hashes."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, {}
-
-    def _word(self, word: str) -> int:
-        made = self.known.get(word)
-        if made is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            made = self.known[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return made
+        self.words, self.known = words, _Hashes()
 
     def set_of(self, text: str | None) -> np.ndarray:
         """Words are runs of letters and digits, case set aside. A text with fewer words is one n-gram; without any, none."""
         found = _WORD.findall((text or "").lower())
         if not found:
             return np.zeros(0, np.uint32)
-        hashes = np.fromiter(map(self._word, found), np.uint64, len(found))
+        hashes = np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
         n = min(self.words, len(found))
         total = np.full(len(found) - n + 1, n, np.uint64)
-        for i in range(n):
-            total = _mix(total + hashes[i : len(found) - n + 1 + i])
-        return np.unique((total >> np.uint64(32)).astype(np.uint32))
+        with np.errstate(over="ignore"):
+            for i in range(n):
+                total = total * _STEP + hashes[i : len(found) - n + 1 + i]
+        return np.unique((_mix(total) >> np.uint64(32)).astype(np.uint32))
 
 
 def _paths(tokens: np.ndarray, threshold: float, runs: int) -> list[int]:
@@ -210,25 +214,22 @@ def _hopeful(threshold: float):
     """The sets of a leaf that have a partner there, judged by their smallest hashes."""
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
-        keep = np.zeros(len(group), bool)
         open_ = _open_pairs(group, threshold)
-        if open_.any():
+        rows = np.nonzero(open_.any(axis=1))[0]
+        group, open_ = group.iloc[rows], open_[np.ix_(rows, rows)]
+        keep = np.zeros(len(group), bool)
+        if len(group):
             sketches = [np.frombuffer(s, np.uint32) for s in group["sketch"]]
             inside = _overlaps(sketches)
-            for i, j in zip(*np.nonzero(np.triu(open_)), strict=True):
-                if keep[i] and keep[j]:
-                    continue
-                a, b = sketches[i], sketches[j]
-                # Of a whole set the sketch is exact; of a larger one, what lies below both ends is comparable.
-                if len(a) < SKETCH and len(b) < SKETCH:
-                    like = inside[i, j] / (len(a) + len(b) - inside[i, j]) >= threshold
-                else:
-                    end = min(a[-1] if len(a) == SKETCH else _TOP, b[-1] if len(b) == SKETCH else _TOP)
-                    x, y = np.searchsorted(a, end, "right"), np.searchsorted(b, end, "right")
-                    # Shared hashes all lie below the smaller end.
-                    like = inside[i, j] / max(1, x + y - inside[i, j]) >= threshold - SKETCH_SLACK
-                if like:
-                    keep[i] = keep[j] = True
+            lengths = np.array([len(s) for s in sketches])
+            ends = np.array([s[-1] if len(s) == SKETCH else _TOP for s in sketches], np.uint32)
+            # Of a larger set the sketch is a part; what lies below both ends is comparable, and so is all that is shared.
+            below = np.stack([np.searchsorted(s, ends, "right") for s in sketches])
+            mine = np.where(ends[:, None] <= ends[None, :], lengths[:, None], below)
+            union = mine + mine.T - inside
+            part = (lengths == SKETCH)[:, None] | (lengths == SKETCH)[None, :]
+            like = inside >= np.where(part, threshold - SKETCH_SLACK, threshold) * union - 1e-6
+            keep = (like & open_).any(axis=1)
         return group.loc[keep, ["sig", "path", "left", "right", "block"]]
 
     return judge
@@ -248,22 +249,16 @@ def _verified(threshold: float):
         union = size[:, None] + size[None, :] - shared
         linked = open_ & (shared >= threshold * union - 1e-6)
         links = linked @ group["copies"].to_numpy().astype(np.int64)
-        root = list(range(len(sets)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i in range(len(sets)):
-            for j in np.nonzero(linked[i, i + 1 :])[0] + i + 1:
-                a, b = find(i), find(int(j))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
+        # Labels spread along the links of the leaf until each part has its first member's.
+        root = np.arange(len(sets))
+        while True:
+            spread = np.minimum(root, np.where(linked, root[None, :], len(sets)).min(axis=1, initial=len(sets)))
+            if (spread == root).all():
+                break
+            root = spread
         sigs = group["sig"].tolist()
-        touched = [i for i in range(len(sets)) if links[i]]
-        return pd.DataFrame({"sig": [sigs[i] for i in touched], "root": [sigs[find(i)] for i in touched], "links": [int(links[i]) for i in touched]})
+        touched = np.nonzero(links)[0].tolist()
+        return pd.DataFrame({"sig": [sigs[i] for i in touched], "root": [sigs[root[i]] for i in touched], "links": [int(links[i]) for i in touched]})
 
     return verify
 
