@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang and the token ids of each document of the mix, with their number."""
-    ids = bpe.encoded(docs)
+    ids = bpe.encoded(docs, carried=["doc_id", "source", "lang"])
     return ids.select("row.doc_id", "row.source", "row.lang", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 

@@ -17,7 +17,7 @@ from sourcelore.llm.common import column, packed, text_of
 #: Pieces of up to this many parts are scanned; longer ones use a heap, since scanning them is quadratic.
 SHORT = 96
 #: Words whose ids a task remembers at a time, and the longest word worth it.
-MEMORY, MEMORABLE = 400_000, 48
+MEMORY, MEMORABLE = 80_000, 32
 NONE = 1 << 60
 
 
@@ -134,29 +134,34 @@ def _described(path: str | None) -> str:
         return file.read()
 
 
-def _with(docs: DataFrame, source, added: str, kind: T.DataType, arrow: pa.DataType, described: str, method: str) -> DataFrame:
+def _with(rows: DataFrame, source, carried: list[str], added: str, kind: T.DataType, arrow: pa.DataType, described: str, method: str) -> DataFrame:
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = getattr(ByteBPE(described), method)
         for batch in batches:
             # A few rows at a time: ids take more room than their texts.
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                made = pa.array([step(x or type(x)()) if x is not None else None for x in part.column("given").to_pylist()], arrow)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                made = pa.array([step(x) if x is not None else None for x in part.column("given").to_pylist()], arrow)
                 yield pa.RecordBatch.from_arrays([part.column("row"), made], names=["row", added])
 
-    rows = docs.select(packed(docs).alias("row"), source.alias("given"))
-    schema = T.StructType([rows.schema["row"], T.StructField(added, kind)])
-    return rows.mapInArrow(convert, schema)
+    # Only what is carried along goes to the Python workers and back beside the column that is read.
+    taken = rows.select(packed(rows.select(*map(column, carried))).alias("row"), source.alias("given"))
+    schema = T.StructType([taken.schema["row"], T.StructField(added, kind)])
+    return taken.mapInArrow(convert, schema)
 
 
-def encoded(docs: DataFrame, text_name: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """The rows (as struct ``row``) with ``ids``, the tokens of the whole text; a null text counts as empty."""
-    return _with(docs, text_of(text_name), "ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), _described(vocabulary), "encode")
+def encoded(docs: DataFrame, text_name: str = "text", vocabulary: str | None = None, carried: list[str] | None = None) -> DataFrame:
+    """Rows (the struct ``row`` of the ``carried`` columns, by default all but the text) with ``ids``, the tokens of the whole text.
+
+    A null text counts as empty.
+    """
+    carried = [c for c in docs.columns if c != text_name] if carried is None else carried
+    return _with(docs, text_of(text_name), carried, "ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), _described(vocabulary), "encode")
 
 
 def decoded(rows: DataFrame, ids_name: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """The rows (as struct ``row``) with ``decoded``, the text of their ids; null ids give null."""
-    return _with(rows, column(ids_name), "decoded", T.StringType(), pa.string(), _described(vocabulary), "decode")
+    return _with(rows, column(ids_name), rows.columns, "decoded", T.StringType(), pa.string(), _described(vocabulary), "decode")
 
 
 def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
