@@ -148,9 +148,9 @@ def leaves(sets: DataFrame, bucket: int = BUCKET, depth: int = DEPTH) -> DataFra
             placed = counted.withColumn("blocks", blocks).withColumn("block", mine)
             every = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             pair = (F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-            done.append(every.select("sig", "path", *pair, "block"))
+            done.append(every.select("sig", "path", *pair, "block", "blocks"))
             break
-        whole = [F.lit(0).alias(name) for name in ("left", "right", "block")]
+        whole = [*[F.lit(0).alias(name) for name in ("left", "right", "block")], F.lit(1).alias("blocks")]
         counted = settle(counted.select("sig", "size", "path", "n", F.when(F.col("n") > bucket, F.col("sketch")).alias("sketch")))
         done.append(counted.where(F.col("n") <= bucket).select("sig", "path", *whole))
         large = counted.where(F.col("n") > bucket)
@@ -163,6 +163,20 @@ def leaves(sets: DataFrame, bucket: int = BUCKET, depth: int = DEPTH) -> DataFra
     return out
 
 
+def distinct_leaves(met: DataFrame) -> DataFrame:
+    """Of whole leaves with the very same sets only the one with the smallest path.
+
+    Two near copies meet on most of their paths; comparing them once is enough. Leaves are equal if number and two
+    hashes of their sets are.
+    """
+    whole = met.where(F.col("blocks") == 1)
+    prints = whole.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y")
+    )
+    first = prints.groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path")
+    return whole.join(first, "path").unionByName(met.where(F.col("blocks") > 1)).select("sig", "path", "left", "right", "block")
+
+
 def _own(paths: list[np.ndarray], here: int) -> np.ndarray:
     """Pairs that belong to this bucket: of the paths two sets share, it is the smallest."""
     smaller: dict[int, list[int]] = {}
@@ -307,7 +321,7 @@ def near_duplicates(
     texts = some.select("sig", "tokens")
     sketches = some.select("sig", F.substring("tokens", 1, 4 * SKETCH).alias("sketch")).groupBy("sig").agg(F.first("sketch").alias("sketch"))
     reps_with = reps.join(sketches.withColumnRenamed("sketch", "tokens"), "sig")
-    meeting = settle(leaves(reps_with, bucket))
+    meeting = settle(distinct_leaves(settle(leaves(reps_with, bucket))))
     own_paths = meeting.select("sig", "path").distinct().groupBy("sig").agg(F.collect_list("path").alias("paths"))
     members = settle(reps.drop("paths").join(own_paths, "sig").join(sketches, "sig"))
     leaf = ["path", "left", "right"]
