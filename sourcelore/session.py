@@ -23,8 +23,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither the session nor its context names one (tests, a laptop) is a
-    temporary folder chosen; on a cluster the configured shared folder always wins.
+    Where neither the session nor its context names one, a local master (tests, a laptop) gets a
+    temporary folder; on a cluster that is an error, as executors could not read each other's files.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,4 +32,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(configured)
     elif context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sourcelore-checkpoint-"))
