@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcelore.llm.common import column, text_of
+from sourcelore.llm.common import column, settle, text_of
+from sourcelore.operators.joins import attach
 
 LEADING = 3
 MIN_DOCUMENTS = 5
@@ -19,49 +20,70 @@ FIXED_SHARE = 0.5
 ANY = "<*>"
 
 
-def tokens_of(line: Column) -> Column:
-    """Tokens between blanks; those with digits are replaced."""
-    parts = F.filter(F.split(line, "[ \\t]+"), lambda t: t != "")
-    return F.transform(parts, lambda t: F.when(t.rlike("[0-9]"), F.lit(ANY)).otherwise(t))
+def normalised(line: Column) -> Column:
+    """The tokens between blanks, one space apart; those with digits are replaced."""
+    spaced = F.trim(F.regexp_replace(line, "[ \\t]+", " "))
+    return F.regexp_replace(spaced, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)
 
 
 def _lines(docs: DataFrame, id_name: str, text_name: str) -> DataFrame:
+    """(id, content, line_no, leaf, class, size, norm) of the lines with tokens; equal lines are of one class."""
     text = text_of(text_name)
     lines = docs.select(
         F.coalesce(column(id_name).cast("string"), F.lit("")).alias("id"),
         F.xxhash64(text).alias("content"),
         F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"),
     )
-    tokens = lines.select("id", "content", "line_no", tokens_of(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
-    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, LEADING))
-    return tokens.withColumn("leaf", leaf)
+    lines = lines.select("id", "content", "line_no", normalised(F.col("line")).alias("norm")).where(F.col("norm") != "")
+    size = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    leaf = F.xxhash64(F.concat_ws(" ", size.cast("string"), F.substring_index("norm", " ", LEADING)))
+    return lines.select("id", "content", "line_no", leaf.alias("leaf"), F.xxhash64("norm").alias("class"), size.alias("size"), "norm")
 
 
-def templates(lines: DataFrame, min_documents: int) -> DataFrame:
-    """(id, content, line_no, template, fixed, size) of the lines in leaves that enough documents reach."""
-    document = ["id", "content"]
-    busy = lines.select("leaf", *document).distinct().groupBy("leaf").count().where(F.col("count") >= min_documents).select("leaf")
-    inside = lines.join(busy, "leaf", "left_semi")
-    tokens = inside.select("leaf", *document, "line_no", F.posexplode("tokens").alias("place", "token"))
-    shared = tokens.groupBy("leaf", "place", "token", *document).agg(F.lit(1).alias("one"))
-    shared = shared.groupBy("leaf", "place", "token").count().where(F.col("count") >= min_documents)
-    marked = tokens.join(shared.withColumnRenamed("count", "documents"), ["leaf", "place", "token"], "left")
-    fixed = F.col("documents").isNotNull() & (F.col("token") != ANY)
-    part = F.struct("place", F.when(fixed, F.col("token")).otherwise(F.lit(ANY)).alias("token"))
-    return marked.groupBy("leaf", *document, "line_no").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["token"]), " ").alias("template"),
-        F.sum(fixed.cast("int")).alias("fixed"),
-        F.count(F.lit(1)).alias("size"),
-    )
+def _parts(classes: DataFrame) -> DataFrame:
+    """The classes with one row for each token that may be fixed: ``part`` tells its place and the token."""
+    kept = [c for c in classes.columns if c != "norm"]
+    tokens = classes.select(*kept, F.posexplode(F.split("norm", " ")).alias("place", "token")).where(F.col("token") != ANY)
+    return tokens.select(*kept, F.xxhash64("place", "token").alias("part"))
+
+
+def _fixed_parts(placed: DataFrame, texts: DataFrame, min_documents: int) -> DataFrame:
+    """(leaf, part) that enough documents have.
+
+    Documents with the same classes in a leaf are counted together, so copies cost nothing. A part that several
+    classes of one document share counts once.
+    """
+    of_document = placed.groupBy("leaf", "id", "content").agg(F.sort_array(F.collect_set("class")).alias("classes"))
+    sets = of_document.groupBy("leaf", "classes").agg(F.count(F.lit(1)).alias("documents"))
+    members = sets.select("leaf", F.xxhash64("classes").alias("set"), "documents", (F.size("classes") == 1).alias("alone"), F.explode("classes").alias("class"))
+    parts = _parts(attach(members, texts, ["leaf", "class"]))
+    several = parts.where(~F.col("alone")).select("leaf", "set", "part", "documents").distinct()
+    counted = parts.where("alone").select("leaf", "part", "documents").unionByName(several.select("leaf", "part", "documents"))
+    return counted.groupBy("leaf", "part").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= min_documents).select("leaf", "part")
 
 
 def recurring_lines(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(id, content, dropped): for a document, the numbers of its lines whose template recurs."""
-    made = templates(_lines(docs, id_name, text_name), min_documents)
-    usable = made.where(F.col("fixed") >= F.col("size") * FIXED_SHARE)
-    known = usable.select("template", "id", "content").distinct().groupBy("template").count()
-    dropped = usable.join(known.where(F.col("count") >= min_documents), "template", "left_semi")
-    return dropped.groupBy("id", "content").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    """(id, content, dropped): for a document, the numbers of its lines whose template recurs.
+
+    Only hashes travel, but for the texts of lines in leaves that enough documents reach, one for each class. A template
+    is its leaf with its fixed parts: the leading tokens of such a leaf are fixed, so no two leaves share one.
+    """
+    lines = _lines(docs, id_name, text_name)
+    document = ["id", "content"]
+    numbers = settle(lines.drop("norm"))
+    busy = numbers.select("leaf", *document).distinct().groupBy("leaf").count().where(F.col("count") >= min_documents).select("leaf")
+    busy = settle(busy)
+    placed = settle(attach(numbers, busy, ["leaf"]).distinct())
+    texts = settle(attach(lines.select("leaf", "class", "size", "norm"), busy, ["leaf"]).distinct())
+    fixed = _fixed_parts(placed, texts.select("leaf", "class", "norm"), min_documents)
+    made = attach(_parts(texts), fixed, ["leaf", "part"]).groupBy("leaf", "class", "size")
+    made = made.agg(F.xxhash64(F.sort_array(F.collect_list("part"))).alias("template"), F.count(F.lit(1)).alias("fixed"))
+    usable = made.where(F.col("fixed") >= F.col("size") * FIXED_SHARE).select("leaf", "class", "template")
+    templated = settle(attach(placed, usable, ["leaf", "class"]))
+    known = templated.select("leaf", "template", *document).distinct().groupBy("leaf", "template").count()
+    known = known.where(F.col("count") >= min_documents).select("leaf", "template")
+    dropped = attach(templated, known, ["leaf", "template"])
+    return dropped.groupBy(*document).agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
 def without_recurring_lines(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -72,7 +94,7 @@ def without_recurring_lines(docs: DataFrame, id_name: str = "doc_id", text_name:
     """
     text = text_of(text_name)
     rows = docs.select(column(id_name).alias("doc_id"), F.coalesce(column(id_name).cast("string"), F.lit("")).alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
-    placed = rows.join(recurring_lines(docs, id_name, text_name, min_documents), ["id", "content"], "left")
+    placed = attach(rows, recurring_lines(docs, id_name, text_name, min_documents), ["id", "content"], "left")
     lines = F.split("text", "\n", -1)
     gone = F.coalesce("dropped", F.array().cast("array<int>"))
     kept = F.filter(lines, lambda line, i: ~F.array_contains(gone, i))
