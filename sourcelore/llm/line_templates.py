@@ -20,24 +20,29 @@ FIXED_SHARE = 0.5
 ANY = "<*>"
 
 
-def normalised(line: Column) -> Column:
-    """The tokens between blanks, one space apart; those with digits are replaced."""
-    spaced = F.trim(F.regexp_replace(line, "[ \\t]+", " "))
-    return F.regexp_replace(spaced, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)
+def spaced(line: Column) -> Column:
+    """The tokens between blanks, one space apart."""
+    uneven = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("  "))
+    return F.trim(F.when(uneven, F.regexp_replace(line, "[ \\t]+", " ")).otherwise(line))
+
+
+def masked(tokens: Column) -> Column:
+    """Tokens with digits replaced."""
+    return F.regexp_replace(tokens, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)
 
 
 def _lines(docs: DataFrame, id_name: str, text_name: str) -> DataFrame:
-    """(id, content, line_no, leaf, class, size, norm) of the lines with tokens; equal lines are of one class."""
+    """(id, content, line_no, leaf, class, size, line) of the lines with tokens; equal lines are of one class."""
     text = text_of(text_name)
     lines = docs.select(
         F.coalesce(column(id_name).cast("string"), F.lit("")).alias("id"),
         F.xxhash64(text).alias("content"),
         F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"),
     )
-    lines = lines.select("id", "content", "line_no", normalised(F.col("line")).alias("norm")).where(F.col("norm") != "")
-    size = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    leaf = F.xxhash64(F.concat_ws(" ", size.cast("string"), F.substring_index("norm", " ", LEADING)))
-    return lines.select("id", "content", "line_no", leaf.alias("leaf"), F.xxhash64("norm").alias("class"), size.alias("size"), "norm")
+    lines = lines.select("id", "content", "line_no", spaced(F.col("line")).alias("line")).where(F.col("line") != "")
+    size = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    leaf = F.xxhash64(F.concat_ws(" ", size.cast("string"), masked(F.substring_index("line", " ", LEADING))))
+    return lines.select("id", "content", "line_no", leaf.alias("leaf"), F.xxhash64("line").alias("class"), size.alias("size"), "line")
 
 
 def _parts(classes: DataFrame) -> DataFrame:
@@ -70,11 +75,12 @@ def recurring_lines(docs: DataFrame, id_name: str = "doc_id", text_name: str = "
     """
     lines = _lines(docs, id_name, text_name)
     document = ["id", "content"]
-    numbers = settle(lines.drop("norm"))
+    numbers = settle(lines.drop("line"))
     busy = numbers.select("leaf", *document).distinct().groupBy("leaf").count().where(F.col("count") >= min_documents).select("leaf")
     busy = settle(busy)
     placed = settle(attach(numbers, busy, ["leaf"]).distinct())
-    texts = settle(attach(lines.select("leaf", "class", "size", "norm"), busy, ["leaf"]).distinct())
+    texts = attach(lines.select("leaf", "class", "size", "line"), busy, ["leaf"]).distinct()
+    texts = settle(texts.select("leaf", "class", "size", masked(F.col("line")).alias("norm")))
     fixed = _fixed_parts(placed, texts.select("leaf", "class", "norm"), min_documents)
     made = attach(_parts(texts), fixed, ["leaf", "part"]).groupBy("leaf", "class", "size")
     made = made.agg(F.xxhash64(F.sort_array(F.collect_list("part"))).alias("template"), F.count(F.lit(1)).alias("fixed"))
