@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -14,11 +18,17 @@ from pyspark.sql import types as T
 
 from sourcelore.llm.common import column, packed, text_of
 
-#: Pieces of up to this many parts are scanned; longer ones use a heap, since scanning them is quadratic.
+#: Words of up to this many bytes are scanned; longer ones use a heap, since scanning them is quadratic.
 SHORT = 96
-#: Words whose ids a task remembers at a time, and the longest word worth it.
-MEMORY, MEMORABLE = 80_000, 32
-NONE = 1 << 60
+#: Words of one length that are scanned side by side.
+ABREAST = 4096
+#: Short words whose ids a task remembers at a time.
+MEMORY = 80_000
+#: Characters of text that are cut into words at a time (a longer text alone).
+CHUNK = 1 << 20
+#: Texts without a character from here on (Latin letters and their accents end here) are cut by the plain pattern.
+WESTERN = 0x250
+NONE, ID_BITS = 1 << 60, 24
 
 
 def default_vocabulary() -> str:
@@ -37,6 +47,25 @@ def byte_symbols() -> list[str]:
     return [symbols[b] for b in range(256)]
 
 
+def _word_pattern(blank: str, letter: str, number: str) -> str:
+    """Words as byte-level BPE cuts them, from the insides of three character classes."""
+    return (
+        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{blank}{letter}{number}]+|[{blank}]+(?![^{blank}])|[{blank}]+"
+    )
+
+
+def _spelled_out(kind: str, below: int) -> str:
+    """The characters below a code point that a Unicode class holds, as the inside of a character class."""
+    return "".join(re.escape(c) for c in map(chr, range(below)) if regex.match(kind, c))
+
+
+class _Bytes(dict):
+    """Bytes of ids; an unknown id stands for nothing."""
+
+    def __missing__(self, _: int) -> bytes:
+        return b""
+
+
 class ByteBPE:
     """A vocabulary of bytes and merges, with special tokens that are found in texts as they stand."""
 
@@ -44,88 +73,162 @@ class ByteBPE:
         parts = json.loads(described)
         vocabulary, symbols = parts["model"]["vocab"], byte_symbols()
         of_symbol = {s: b for b, s in enumerate(symbols)}
-        self.byte_ids = [vocabulary[s] for s in symbols]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.byte_ids = np.array([vocabulary[s] for s in symbols], np.int64)
+        self.ranks: dict[tuple[int, int], int] = {}
+        #: The token that the merge of each rank makes.
+        self.made: list[int] = []
         for rank, pair in enumerate(parts["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocabulary[left], vocabulary[right]] = rank, vocabulary[left + right]
-        self.bytes_of = {i: bytes(of_symbol[c] for c in piece) for piece, i in vocabulary.items()}
+            self.ranks[vocabulary[left], vocabulary[right]] = rank
+            self.made.append(vocabulary[left + right])
+        self.bytes_of = _Bytes({i: bytes(of_symbol[c] for c in piece) for piece, i in vocabulary.items()})
         self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of.update({i: t.encode() for t, i in self.special.items()})
         by_length = sorted(self.special, key=len, reverse=True)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
         # White space by its Unicode property, which the letter classes beside it follow as well.
-        blank = r"\p{White_Space}"
-        self.words = regex.compile(
-            rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{blank}\p{{L}}\p{{N}}]+|{blank}+(?!\P{{White_Space}})|{blank}+"
-        ).findall
+        classes = (r"\p{White_Space}", r"\p{L}", r"\p{N}")
+        self.words = regex.compile(_word_pattern(*classes)).findall
+        # The same for texts of western letters only, whose classes are short enough to spell out.
+        self.western_words = re.compile(_word_pattern(*(_spelled_out(c, WESTERN) for c in classes))).findall
+        self.other_letter = re.compile(rf"[^\0-{chr(WESTERN - 1)}]").search
         self.known: dict[str, list[int]] = {}
+        self.made_by = np.array(self.made, np.int64)
+        pairs = np.array([left << ID_BITS | right for left, right in self.ranks], np.int64)
+        order = pairs.argsort()
+        self.pairs, self.rank_of_pair = np.append(pairs[order], NONE), np.append(order, NONE)
+        self.byte_ranks = self._ranks(self.byte_ids[:, None], self.byte_ids[None, :])
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each pair of tokens, NONE where there is none."""
+        wanted = left << ID_BITS | right
+        at = self.pairs.searchsorted(wanted)
+        return np.where(self.pairs[at] == wanted, self.rank_of_pair[at], NONE)
+
+    def _scan(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words of one length, a row each: their tokens and, beside them, the ranks of neighbours.
 
-    def _short(self, ids: list[int]) -> list[int]:
-        """Repeatedly scan the ranks of neighbours for the smallest, delete that boundary, refresh both sides."""
-        merges = self.merges
-        absent = (NONE, -1)
-        bounds = [merges.get(pair, absent) for pair in zip(ids, ids[1:], strict=False)]
-        while bounds:
-            best = min(bounds)
-            if best is absent or best[0] == NONE:
+        Repeatedly each row is scanned for its smallest rank, that boundary is deleted and the ranks on both sides
+        are refreshed. A row without a merge left is done; all others have lost one part each, so rows stay even.
+        """
+        given = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+        ids, ranks = self.byte_ids[given], self.byte_ranks[given[:, :-1], given[:, 1:]]
+        out: list[list[int]] = [[]] * len(words)
+        rows = np.arange(len(words))
+        while len(rows):
+            parts = ids.shape[1]
+            at = ranks.argmin(1) if parts > 1 else np.zeros(len(rows), np.int64)
+            best = ranks[np.arange(len(rows)), at] if parts > 1 else np.full(len(rows), NONE)
+            done = best == NONE
+            for row, final in zip(rows[done].tolist(), ids[done].tolist(), strict=True):
+                out[row] = final
+            rows, ids, ranks, at, best = rows[~done], ids[~done], ranks[~done], at[~done], best[~done]
+            if not len(rows):
                 break
-            at = bounds.index(best)
-            ids[at] = best[1]
-            del ids[at + 1], bounds[at]
-            if at:
-                bounds[at - 1] = merges.get((ids[at - 1], ids[at]), absent)
-            if at < len(bounds):
-                bounds[at] = merges.get((ids[at], ids[at + 1]), absent)
-        return ids
+            each, places = np.arange(len(rows)), np.arange(parts - 1)
+            ids[each, at] = self.made_by[best]
+            ids = np.take_along_axis(ids, places + (places > at[:, None]), 1)
+            ranks = np.take_along_axis(ranks, places[:-1] + (places[:-1] >= at[:, None]), 1)
+            before, after = at > 0, at < parts - 2
+            ranks[each[before], at[before] - 1] = self._ranks(ids[each[before], at[before] - 1], ids[each[before], at[before]])
+            ranks[each[after], at[after]] = self._ranks(ids[each[after], at[after]], ids[each[after], at[after] + 1])
+        return out
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same merges with a heap of neighbours over a linked list."""
-        count, merges = len(ids), self.merges
+        count, rank_of = len(ids), self.ranks.get
         after, before = [*range(1, count), -1], [*range(-1, count - 1)]
-        heap = [(found[0], i, ids[i], ids[i + 1], found[1]) for i in range(count - 1) if (found := merges.get((ids[i], ids[i + 1])))]
+        heap = [(rank, i, ids[i], ids[i + 1]) for i in range(count - 1) if (rank := rank_of((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right, merged = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
             if ids[i] != left or j < 0 or ids[j] != right:
                 continue
+            merged = self.made[rank]
             ids[i], ids[j] = merged, -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if found := merges.get((merged, ids[k])):
-                    heapq.heappush(heap, (found[0], i, merged, ids[k], found[1]))
+                if (rank := rank_of((merged, ids[k]))) is not None:
+                    heapq.heappush(heap, (rank, i, merged, ids[k]))
             h = before[i]
-            if h >= 0 and (found := merges.get((ids[h], merged))):
-                heapq.heappush(heap, (found[0], h, ids[h], merged, found[1]))
+            if h >= 0 and (rank := rank_of((ids[h], merged))) is not None:
+                heapq.heappush(heap, (rank, h, ids[h], merged))
         return [i for i in ids if i >= 0]
 
-    def word(self, word: str) -> list[int]:
-        ids = [self.byte_ids[b] for b in word.encode()]
-        return self._short(ids) if len(ids) <= SHORT else self._long(ids)
+    def _learn(self, words: set[str]) -> list[str]:
+        """Make the ids of all these words known; returns the long ones, which are not worth keeping."""
+        if len(self.known) >= MEMORY:
+            self.known.clear()
+        new = list(words - self.known.keys())
+        raw = [word.encode() for word in new]
+        of_length: dict[int, list[int]] = {}
+        for i, word in enumerate(raw):
+            of_length.setdefault(len(word), []).append(i)
+        long = []
+        for length, places in of_length.items():
+            if length > SHORT:
+                long += [new[i] for i in places]
+                self.known.update((new[i], self._long([self.byte_ids.item(b) for b in raw[i]])) for i in places)
+                continue
+            for start in range(0, len(places), ABREAST):
+                some = places[start : start + ABREAST]
+                self.known.update(zip([new[i] for i in some], self._scan([raw[i] for i in some]), strict=True))
+        return long
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def _pieces(self, text: str) -> list[int | list[str]]:
+        """Ids of special tokens, and the words of what lies between them."""
+        out: list[int | list[str]] = []
         for piece in self.special_split.split(text) if self.special_split else [text]:
             if piece in self.special:
                 out.append(self.special[piece])
-                continue
-            known = self.known
-            for word in self.words(piece):
-                ids = known.get(word)
-                if ids is None:
-                    ids = self.word(word)
-                    if len(word) <= MEMORABLE:
-                        if len(known) >= MEMORY:
-                            known.clear()
-                        known[word] = ids
-                out += ids
+            elif piece:
+                out.append((self.words if self.other_letter(piece) else self.western_words)(piece))
+        return out
+
+    def encode_some(self, texts: list[str]) -> list[array]:
+        """Ids of each text; all words of the texts are in memory at once."""
+        pieces = [self._pieces(text) for text in texts]
+        long = self._learn(set().union(*[p for of_text in pieces for p in of_text if isinstance(p, list)]))
+        out = []
+        for of_text in pieces:
+            ids = array("i")
+            for piece in of_text:
+                if isinstance(piece, int):
+                    ids.append(piece)
+                else:
+                    ids.extend(chain.from_iterable(map(self.known.__getitem__, piece)))
+            out.append(ids)
+        for word in long:
+            del self.known[word]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def encode(self, text: str) -> list[int]:
+        return self.encode_some([text])[0].tolist()
+
+    def decode(self, ids: Iterable[int]) -> str:
         """Bytes that are no UTF-8 become replacement characters; an unknown id stands for nothing."""
-        return b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        values, offsets = array("i"), [0]
+        waiting: list[str] = []
+        for text in [*texts.to_pylist(), None]:
+            if waiting and (text is None or sum(map(len, waiting)) + len(text) > CHUNK):
+                for ids in self.encode_some(waiting):
+                    values += ids
+                    offsets.append(len(values))
+                waiting = []
+            if text is not None:
+                waiting.append(text)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
+
+    def decode_all(self, lists: pa.Array) -> pa.Array:
+        values = lists.values.fill_null(-1).to_numpy()
+        offsets = lists.offsets.to_pylist()
+        spans = zip(offsets, offsets[1:], lists.is_valid().to_pylist(), strict=False)
+        return pa.array([self.decode(values[a:b].tolist()) if valid else None for a, b, valid in spans], pa.string())
 
 
 def _described(path: str | None) -> str:
@@ -134,15 +237,14 @@ def _described(path: str | None) -> str:
         return file.read()
 
 
-def _with(rows: DataFrame, source, carried: list[str], added: str, kind: T.DataType, arrow: pa.DataType, described: str, method: str) -> DataFrame:
+def _with(rows: DataFrame, source, carried: list[str], added: str, kind: T.DataType, described: str, method: str) -> DataFrame:
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = getattr(ByteBPE(described), method)
         for batch in batches:
             # A few rows at a time: ids take more room than their texts.
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                made = pa.array([step(x) if x is not None else None for x in part.column("given").to_pylist()], arrow)
-                yield pa.RecordBatch.from_arrays([part.column("row"), made], names=["row", added])
+                yield pa.RecordBatch.from_arrays([part.column("row"), step(part.column("given"))], names=["row", added])
 
     # Only what is carried along goes to the Python workers and back beside the column that is read.
     taken = rows.select(packed(rows.select(*map(column, carried))).alias("row"), source.alias("given"))
@@ -156,12 +258,12 @@ def encoded(docs: DataFrame, text_name: str = "text", vocabulary: str | None = N
     A null text counts as empty.
     """
     carried = [c for c in docs.columns if c != text_name] if carried is None else carried
-    return _with(docs, text_of(text_name), carried, "ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), _described(vocabulary), "encode")
+    return _with(docs, text_of(text_name), carried, "ids", T.ArrayType(T.IntegerType()), _described(vocabulary), "encode_all")
 
 
 def decoded(rows: DataFrame, ids_name: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """The rows (as struct ``row``) with ``decoded``, the text of their ids; null ids give null."""
-    return _with(rows, column(ids_name), rows.columns, "decoded", T.StringType(), pa.string(), _described(vocabulary), "decode")
+    return _with(rows, column(ids_name), rows.columns, "decoded", T.StringType(), _described(vocabulary), "decode_all")
 
 
 def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
