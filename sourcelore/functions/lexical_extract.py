@@ -8,12 +8,16 @@ Three texts are derived from a file, each once:
 ``flat``  ``bare`` with the brackets inside an exported object folded away, so that the
           object's own keys can be split at commas.
 
+In ``bare`` white space is one space, or one line end where it holds any, so that what stands
+before a word is at most one character of white space away, however far a line is indented.
+
 Quantifiers over unbounded text are possessive or single-character: alternations
 repeated in a group recurse on the JVM and overflow its stack on long texts.
 
-Limits: regular-expression literals after an unusual token, code inside ``${}``, later
-declarators of one statement behind brackets, and objects nested deeper than
-``FOLD_DEPTH`` are not seen as a syntax tree would see them.
+Limits: regular-expression literals after an unusual token, code inside ``${}`` and later
+declarators of one statement behind brackets are not seen as a syntax tree would see them.
+Objects are folded once for each level that brackets nest in the file, so a file costs its
+length times its depth.
 """
 
 from __future__ import annotations
@@ -21,16 +25,21 @@ from __future__ import annotations
 from .sqltext import NO_NAMES, captures, case, literal, names, regex_matches
 
 STRINGS = r""""(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\.|[^`\\])*+`"""
-REGEX_LITERAL = r"(?<=[=(,:\[!&|?{};]\s{0,2})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/[a-z]*+"
+# With what stands before it, which tells it from a division.
+REGEX_LITERAL = r"([=(,:\[!&|?{};]\s*+|return(?<![\w$.]return)\s++)/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/[a-z]*+"
 
 # A pattern is tried at every position of a text. Those below start with a literal, which the
 # matcher searches for, or with the set of their first characters; what must not stand
 # before is checked behind that, as "not preceded by X, then the literal".
 
-# What `code` drops (comments, regex literals); strings are matched first-come and kept.
-NOISE = rf"(?s)(?=[/\"'`])(?://[^\n]*+|/\*.*?\*/|({STRINGS})|{REGEX_LITERAL})"
+# What `code` drops (comments, regex literals); strings are matched first-come and kept. A comment
+# that is never closed goes to the end of the text, where a parser would report it.
+NOISE = rf"(?s)(?=[/\"'`=(,:\[!&|?{{}};r])(?://[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/)?+|({STRINGS})|{REGEX_LITERAL})"
 # What `bare` blanks; one-word strings keep their quotes and text.
 QUOTED = rf"(?s)(?=[\"'`])(?:(['\"])([\w$.-]++)\1|{STRINGS})"
+BLANKS = r"[^\S\n]++"
+LINE_ENDS, LINE_END = r" ?\n(?: ?\n)*+ ?", "\n"
+NO_BRACKET = r"[^{}()\[\]]++"
 NAME = r"([\w$]+)"
 
 
@@ -41,11 +50,13 @@ def _word(word: str) -> str:
 
 def _declared(word: str) -> str:
     """A word that starts a declaration: as a value, a function or class is an expression."""
-    return rf"{_word(word)}(?<![=(,:?&|!\[]\s{{0,4}}(?:async\s{{1,3}})?{word})(?<!\breturn\s{{1,4}}(?:async\s{{1,3}})?{word})"
+    return rf"{_word(word)}(?<![=(,:?&|!\[]\s?(?:async\s)?{word})(?<!\breturn\s(?:async\s)?{word})"
 
 
 IMPORTS = (
-    rf"(?s)(?=[ier\"'`])(?:(?<![\w$.])(?:import\s++(?!type\s++(?!from\s*['\"]))[^'\"();]*?from\s*+"
+    # `import x = require()` is a declaration of its own kind, not a call.
+    r"(?s)(?=[ier\"'`])(?:(?<![\w$.])import\s++[\w$]++\s*+=\s*+require\s*+\(\s*+['\"][^'\"\n]*+['\"]"
+    rf"|(?<![\w$.])(?:import\s++(?!type\s++(?!from\s*['\"]))[^'\"();]*?from\s*+"
     r"|export\s++(?:type\s++)?(?:\*|\{)[^'\"();]*?from\s*+"
     rf"|import\s*+\(\s*+|require\s*+\(\s*+|import\s*+)['\"]([^'\"\n]+)['\"]|{STRINGS})"
 )
@@ -81,20 +92,34 @@ MEMBER = (
     r"\s*+(?:[-+*/%&|^]|&&|\|\||\?\?)?=(?![=>])"
 )
 
-FOLD_DEPTH = 6
+# `exports['x']` is `exports.x`.
+BRACKETED = r"\[(?<=(?<![\w$])(?:exports|module)\[)\s?(['\"])([\w$]++)\1\s?\]"
+
 OPENED = "\u0001"
 FOLDED = "\u0002"
-INNERMOST = r"\{[^{}()\[\]]*+\}|\([^{}()\[\]]*+\)|\[[^{}()\[\]]*+\]"
+# A bracket that an exported object stands in is left alone.
+INNER = rf"[^{{}}()\[\]{OPENED}]*+"
+INNERMOST = rf"\{{{INNER}\}}|\({INNER}\)|\[{INNER}\]"
 OBJECT_BODY = rf"{OPENED}([^{{}}\[\]()]*+)"
 OBJECT_KEY = rf"(?s)^\s*+(?:(?:async|get|set|static)\s++(?=[\w$'\"*]))?\*?\s*+['\"]?{NAME}['\"]?\s*+(?:[:{FOLDED}=].*+)?$"
 
 
 def code_text(content: str) -> str:
-    return f"regexp_replace({content}, {literal(NOISE)}, '$1 ')"
+    return f"regexp_replace({content}, {literal(NOISE)}, '$1$2 ')"
 
 
 def bare_text(code: str) -> str:
-    return f"regexp_replace({code}, {literal(QUOTED)}, '$1$2$1')"
+    blanked = f"regexp_replace({code}, {literal(QUOTED)}, '$1$2$1')"
+    narrow = f"regexp_replace({blanked}, {literal(BLANKS)}, ' ')"
+    return f"regexp_replace({narrow}, {literal(LINE_ENDS)}, {literal(LINE_END)})"
+
+
+def nesting(text: str) -> str:
+    """How deep the brackets of a text nest."""
+    brackets = f"split(regexp_replace({text}, {literal(NO_BRACKET)}, ''), '')"
+    step = """(s, b) -> case when b in ('{', '(', '[') then struct(s.at + 1 as at, greatest(s.most, s.at + 1) as most)
+      when b <> '' then struct(greatest(s.at - 1, 0) as at, s.most as most) else s end"""
+    return f"aggregate({brackets}, struct(0 as at, 0 as most), {step}, s -> s.most)"
 
 
 def _pieces(blocks: str, pattern: str) -> str:
@@ -123,8 +148,8 @@ def es_exports(bare: str) -> str:
 def _object_keys(bare: str) -> str:
     """Keys of every object assigned as the module's exports; ``default`` for one without keys."""
     flat = f"regexp_replace({bare}, {literal(ASSIGNED_OBJECT)}, {literal(OPENED)})"
-    for _ in range(FOLD_DEPTH):
-        flat = f"regexp_replace({flat}, {literal(INNERMOST)}, {literal(FOLDED)})"
+    fold = f"regexp_replace(t, {literal(INNERMOST)}, {literal(FOLDED)})"
+    flat = f"aggregate(array_repeat(0, {nesting(bare)}), {flat}, (t, _) -> {fold})"
     keys = f"filter({_pieces('array(body)', OBJECT_KEY)}, k -> k <> '')"
     or_default = f"transform(transform({captures(flat, OBJECT_BODY)}, body -> {keys}), k -> if(size(k) > 0, k, array('default')))"
     return case({f"{bare} rlike {literal(ASSIGNED_OBJECT)}": f"flatten({or_default})"}, NO_NAMES)
@@ -154,7 +179,8 @@ def exports(bare: str) -> str:
     # Most modules export in one way only, so each set of patterns runs where its word occurs.
     es = case({f"contains({bare}, 'export')": es_exports(bare)}, NO_NAMES)
     assigned = f"contains({bare}, 'exports') or {bare} rlike {literal(ASSIGNED)}"
-    commonjs = case({assigned: commonjs_exports(bare)}, NO_NAMES)
+    plain = f"regexp_replace({bare}, {literal(BRACKETED)}, '.$2')"
+    commonjs = case({assigned: commonjs_exports(plain)}, NO_NAMES)
     return names(f"concat({es}, {commonjs})")
 
 

@@ -273,3 +273,27 @@ def test_path_functions(spark):
         "src\\b.js": "src/b.js", "./a/../b.js": "b.js", "/work/repo": "", "/work/repository/a": "",
     }.items():
         assert one(normal, path) == clean, path
+
+
+def test_lexical_reading_has_no_caps(facts_of):
+    deep = "{ l: " * 8 + "{ x: 1 }" + " }" * 8
+    rows = facts_of(
+        {
+            "deep.js": f"if (ok) {{ module.exports = {{ a, b: {deep}, c, d: f([1, (2)]) }} }}",
+            "member.js": "exports['one'] = 1; module[\"exports\"] = { two }; module.exports['three'] = 3; other['four'] = 4;",
+            "indent.js": "setTimeout(\n            function tick() {});\nconst K =\n          class Hidden {};\n      function real() {}\n      class Seen {}",
+            "regex.js": "function q(s) { return /`/.test(s); }\nconst lib = require('kept');\nconst t =\n\n      /'/;\nfunction after() {}\nconst u = `x`;",
+            "equals.ts": "import x = require('declared');\nimport y from 'y';",
+            "open.js": "import a from 'a';\n/* import b from 'b';",
+        }
+    )
+    assert set(rows["deep.js"]["exports"]) == {"a", "b", "c", "d"}
+    assert set(rows["member.js"]["exports"]) == {"one", "two", "three"}
+    assert rows["indent.js"]["functions"] == ["real"] and rows["indent.js"]["classes"] == ["Seen"]
+    assert rows["regex.js"]["functions"] == ["q", "after"] and rows["regex.js"]["imports"] == ["kept"]
+    assert rows["equals.ts"]["imports"] == ["y"] and rows["open.js"]["imports"] == ["a"]
+
+
+def test_unclosed_comments_take_linear_time(facts_of):
+    rows = facts_of({"a.js": "/* " * 700_000, "b.js": "function f() {}\n" + "= /* x" * 300_000})
+    assert rows["a.js"]["functions"] == [] and rows["b.js"]["functions"] == ["f"]
