@@ -81,12 +81,15 @@ LANGUAGES = {
         "extensions": [".java"],
         "imports": (r"import\s+([^;]+);", 1),
         "functions": (r"\w\s+(\w+)\s*\([^)]*\)\s*\{", 1),
+        # The part of it up to the bracket; regex_extract looks for it between closing brackets.
+        "function_header": (r"\w\s+(\w+)\s*\(", 1),
         "classes": (r"class\s+(\w+)", 1),
     },
     "go": {
         "extensions": [".go"],
         "imports": (r"""import\s+(?:.*?"(.+?)"|"(.+?)")""", 2),
-        "import_block": (r"import\s*\(\s*([\s\S]*?)\)", 1),
+        # What opens a block that runs to the next closing bracket.
+        "import_block": (r"import\s*\(\s*([\s\S]*)$", 1),
         "import_block_item": (r'"(.+?)"', 1),
         "functions": (r"func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(", 1),
         "structs": (r"type\s+(\w+)\s+struct", 1),

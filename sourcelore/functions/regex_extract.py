@@ -3,13 +3,31 @@
 from __future__ import annotations
 
 from .fixed import LANGUAGES
-from .sqltext import NO_NAMES, captures, literal, regex_matches
+from .sqltext import NO_NAMES, literal, regex_matches
+from .sqltext import names as distinct_names
+
+BRACE_NEXT = r"^\s*+\{"
+
+
+def _pieces(text: str) -> str:
+    """What stands between closing brackets. A pattern that runs up to the next one is looked for once in each
+    piece; tried on the whole text, an unclosed bracket would send it to the end again and again."""
+    return f"split({text}, {literal('[)]')})"
+
+
+def _headers(text: str, pattern: str) -> str:
+    """The first match of each piece that a brace follows."""
+    pieces = _pieces(text)
+    found = f"if(y rlike {literal(BRACE_NEXT)}, regexp_extract(x, {literal(pattern)}, 1), '')"
+    return distinct_names(f"zip_with({pieces}, slice({pieces}, 2, size({pieces})), (x, y) -> {found})")
 
 
 def names(text: str, spec: dict, fact: str) -> str:
     """Names of one kind of fact in one language; empty when the language has no pattern."""
     if fact not in spec:
         return NO_NAMES
+    if fact == "functions" and "function_header" in spec:
+        return _headers(text, spec["function_header"][0])
     pattern, groups = spec[fact]
     return regex_matches(text, pattern, groups)
 
@@ -20,7 +38,8 @@ def imports(text: str, spec: dict) -> str:
     if "import_block" not in spec:
         return single
     block, item = spec["import_block"][0], spec["import_block_item"][0]
-    items = f"transform({captures(text, block)}, b -> regexp_extract_all(b, {literal(item)}, 1))"
+    closed = f"slice({_pieces(text)}, 1, size({_pieces(text)}) - 1)"
+    items = f"transform({closed}, p -> regexp_extract_all(regexp_extract(p, {literal(block)}, 1), {literal(item)}, 1))"
     return f"array_distinct(concat({single}, flatten({items})))"
 
 

@@ -12,18 +12,24 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import normalize_repo_path
+
 
 def distinct_touches(commit_files: DataFrame) -> DataFrame:
     """Each file once per commit."""
     return commit_files.dropDuplicates(["repo_id", "hash", "file"])
 
 
-def file_history(commit_files: DataFrame, paths: DataFrame | str) -> DataFrame:
-    """Commits that touched one path, newest first, or those of every path in a table."""
+def file_history(commit_files: DataFrame, paths: DataFrame | str, root: str = "/") -> DataFrame:
+    """Commits that touched one path newest first, or those of every path in a table.
+
+    A single path may be relative or, given the repository's ``root``, absolute; one that leads out of it has no commits.
+    """
     columns = ["repo_id", "path", "log_pos", "hash", "author", "ts"]
     touches = commit_files.withColumnRenamed("file", "path").select(*columns)
     if isinstance(paths, str):
-        return touches.filter(F.col("path") == paths).orderBy("repo_id", "log_pos")
+        asked = normalize_repo_path(F.lit(paths), root)
+        return touches.filter(F.col("path") == asked).orderBy("repo_id", "log_pos")
     return touches.join(paths.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
 
 

@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from sourcelore.functions import paths, text
+from sourcelore.functions.fixed import LANGUAGES
 from sourcelore.operators import files
 
 SERVICE_JS = """
@@ -297,3 +302,28 @@ def test_lexical_reading_has_no_caps(facts_of):
 def test_unclosed_comments_take_linear_time(facts_of):
     rows = facts_of({"a.js": "/* " * 700_000, "b.js": "function f() {}\n" + "= /* x" * 300_000})
     assert rows["a.js"]["functions"] == [] and rows["b.js"]["functions"] == ["f"]
+
+
+def test_java_and_go_patterns_equal_the_plain_ones(facts_of):
+    rng = random.Random(5)
+    java = ["int ", "f", "(", ")", " {", "}", "\n", "g ", "h(", "a b(", ")  {"]
+    go = ["import (", ")", '"a"', '"b" ', "\n", "import", " ( ", "x", '"']
+    texts = {f"{i}.java": "".join(rng.choices(java, k=rng.randint(0, 40))) for i in range(150)}
+    texts |= {f"{i}.go": "".join(rng.choices(go, k=rng.randint(0, 40))) for i in range(150)}
+    rows = facts_of(texts)
+    header, single = LANGUAGES["java"]["functions"][0], LANGUAGES["go"]["imports"][0]
+    for path, content in texts.items():
+        if path.endswith("java"):
+            assert rows[path]["functions"] == list(dict.fromkeys(re.findall(header, content, re.ASCII))), content
+        else:
+            found = [a or b for a, b in re.findall(single, content, re.ASCII)]
+            for block in re.findall(r"import\s*\(\s*([\s\S]*?)\)", content, re.ASCII):
+                found += re.findall(r'"(.+?)"', block)
+            assert rows[path]["imports"] == list(dict.fromkeys(found)), content
+
+
+def test_unclosed_brackets_take_linear_time(facts_of):
+    start = time.time()
+    rows = facts_of({"a.java": "a b( " * 400_000, "b.go": "import (\n" * 200_000})
+    assert rows["a.java"]["functions"] == [] and rows["b.go"]["imports"] == []
+    assert time.time() - start < 60

@@ -41,6 +41,10 @@ def test_history_and_commit_files(spark):
     table = log(spark, [("c2", "Test User", 1, ["file.js"]), ("c1", "Test User", 0, ["file.js", "b.js", "b.js"])])
     assert [r["hash"] for r in history.file_history(table, "file.js").collect()] == ["c2", "c1"]
     assert history.file_history(table, "nope").collect() == []
+    for asked in ("./file.js", " lib/../file.js ", ".\\file.js"):
+        assert [r["hash"] for r in history.file_history(table, asked).collect()] == ["c2", "c1"]
+    assert [r["hash"] for r in history.file_history(table, "/work/r/file.js", "/work/r").collect()] == ["c2", "c1"]
+    assert history.file_history(table, "../file.js").collect() == history.file_history(table, "").collect() == []
     assert sorted(r["file"] for r in history.commit_file_list(table, "c1").collect()) == ["b.js", "file.js"]
     assert history.commit_file_list(table).count() == 3
     many = history.file_history(table, spark.createDataFrame([("r", "b.js")], "repo_id string, path string"))
