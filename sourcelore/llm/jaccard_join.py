@@ -48,7 +48,7 @@ def runs_for(recall: float, threshold: float) -> int:
     """Runs until a pair at the threshold is missed rarely enough.
 
     Such a pair shares a Poisson number of sampled tokens a run, and each split of a bucket keeps it together with a
-    chance of at least its similarity; a path that survives all splits in any run is enough.
+    chance of its similarity, being made by the whole sets; a path that survives all splits in any run is enough.
     """
     return max(1, math.ceil(math.log(1 / (1 - recall)) / (SHARED_A_RUN * threshold**DEPTH)))
 
@@ -122,21 +122,42 @@ def shingle_sets(docs: DataFrame, id_name: str = "doc_id", text_name: str = "tex
     return rows.mapInArrow(convert, "doc_id long, sig binary, size int, tokens binary, paths array<long>")
 
 
-def _next_path(path: Column, sketch: Column) -> Column:
-    """Follow the token of the sketch that a hash of this very path puts first."""
-    tokens = F.transform(F.sequence(F.lit(0), (F.octet_length(sketch) / 4 - 1).cast("int")), lambda i: F.substring(sketch, i * 4 + 1, 4))
-    return F.xxhash64(path, F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, path))))
+def _next_path(tokens: np.ndarray, path: np.uint64) -> np.uint64:
+    """Follow the token of the whole set that a hash of this very path puts first.
+
+    Two sets on one path stay together with a chance of exactly their similarity, contained ones too.
+    """
+    with np.errstate(over="ignore"):
+        return _mix(_mix(tokens + path).min() ^ (path * _STEP))
+
+
+def _split(large: DataFrame, texts: DataFrame) -> DataFrame:
+    """(sig, path): the paths of large buckets, one token longer. Only sets in such buckets are read again."""
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs, found = [], []
+            for sig, raw, paths in zip(*(batch.column(name).to_pylist() for name in ("sig", "tokens", "paths"))):
+                tokens = np.frombuffer(raw, np.uint32).astype(np.uint64)
+                sigs += [sig] * len(paths)
+                found += [_next_path(tokens, path) for path in np.array(paths, np.int64).view(np.uint64)]
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(np.array(found, np.uint64).view(np.int64))], names=["sig", "path"])
+
+    followed = large.groupBy("sig").agg(F.collect_list("path").alias("paths"))
+    whole = texts.join(followed.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens"))
+    return followed.join(whole, "sig").mapInArrow(convert, "sig binary, path long")
 
 
-def leaves(sets: DataFrame, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
-    """(sig, path, left, right, block): the buckets in which a set is compared.
+def leaves(sets: DataFrame, bucket: int = BUCKET, depth: int = DEPTH, texts: DataFrame | None = None) -> DataFrame:
+    """(sig, path, left, right, block): the buckets in which a set is compared. ``texts`` has the tokens of each set.
 
     Buckets with more sets are split up to ``depth`` times. One that is still too large holds sets which are alike or
     share most of what they have; it is cut into blocks, and every two blocks make one leaf (left, right), so that no
     pair of it is left out and no task gets it whole.
     """
     some = sets.where(F.col("size") > 0)
-    rows = some.select("sig", "size", F.substring("tokens", 1, 4 * SKETCH).alias("sketch"), F.explode("paths").alias("path"))
+    texts = some.select("sig", "tokens") if texts is None else texts
+    rows = some.select("sig", F.explode("paths").alias("path"))
     done = []
     for step in range(depth + 1):
         counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
@@ -151,12 +172,12 @@ def leaves(sets: DataFrame, bucket: int = BUCKET, depth: int = DEPTH) -> DataFra
             done.append(every.select("sig", "path", *pair, "block", "blocks"))
             break
         whole = [*[F.lit(0).alias(name) for name in ("left", "right", "block")], F.lit(1).alias("blocks")]
-        counted = settle(counted.select("sig", "size", "path", "n", F.when(F.col("n") > bucket, F.col("sketch")).alias("sketch")))
+        counted = settle(counted.select("sig", "path", "n"))
         done.append(counted.where(F.col("n") <= bucket).select("sig", "path", *whole))
         large = counted.where(F.col("n") > bucket)
         if large.isEmpty():
             break
-        rows = large.select("sig", "size", "sketch", _next_path(F.col("path"), F.col("sketch")).alias("path"))
+        rows = settle(_split(large, texts))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -320,8 +341,7 @@ def near_duplicates(
     reps = settle(reps)
     texts = some.select("sig", "tokens")
     sketches = some.select("sig", F.substring("tokens", 1, 4 * SKETCH).alias("sketch")).groupBy("sig").agg(F.first("sketch").alias("sketch"))
-    reps_with = reps.join(sketches.withColumnRenamed("sketch", "tokens"), "sig")
-    meeting = settle(distinct_leaves(settle(leaves(reps_with, bucket))))
+    meeting = settle(distinct_leaves(settle(leaves(reps, bucket, texts=texts))))
     own_paths = meeting.select("sig", "path").distinct().groupBy("sig").agg(F.collect_list("path").alias("paths"))
     members = settle(reps.drop("paths").join(own_paths, "sig").join(sketches, "sig"))
     leaf = ["path", "left", "right"]

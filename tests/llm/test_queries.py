@@ -123,6 +123,33 @@ def test_near_duplicates_in_large_buckets(spark):
     assert all(found[i] <= links[i] for i in links)
 
 
+def test_contained_pairs_survive_splits_as_often_as_the_runs_count_on(spark):
+    """Every pair of a text and its first four fifths (similarity 0.8) meets in buckets of more than one set, split twice."""
+    import math
+    import random
+
+    rng = random.Random(11)
+    texts = []
+    for i in range(400):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(204)]
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:164]))]
+    sets = jaccard_join.shingle_sets(spark.createDataFrame(texts, "doc_id long, text string")).cache()
+    assert {(r["size"]) for r in sets.select("size").collect()} == {200, 160}
+    pair_of = {bytes(r.sig): r.doc_id // 2 for r in sets.select("sig", "doc_id").collect()}
+
+    def shared(rows):
+        met = {}
+        for r in rows:
+            met.setdefault((pair_of[bytes(r.sig)], r.path), set()).add(bytes(r.sig))
+        return [pair for (pair, _), members in met.items() if len(members) == 2]
+
+    before = shared(sets.select("sig", F.explode("paths").alias("path")).collect())
+    after = shared(jaccard_join.leaves(sets, bucket=1).select("sig", "path").collect())
+    kept = len(after) / len(before)
+    assert len(before) / 400 >= 0.95 * jaccard_join.SHARED_A_RUN * jaccard_join.runs_for(jaccard_join.RECALL, 0.8)
+    assert kept >= math.log(1 / (1 - jaccard_join.RECALL)) / (jaccard_join.SHARED_A_RUN * jaccard_join.runs_for(jaccard_join.RECALL, 0.8))
+
+
 def test_bpe_is_the_librarys(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
