@@ -23,12 +23,16 @@ from sourcelore.llm.common import column, packed
 #: Bound of the sample of labelled pages, by hash of their id.
 SAMPLE = 2000
 #: Fixed values of HTML.
-RAW = {"script", "style", "template", "noscript", "iframe", "object", "svg", "math", "canvas", "audio", "video"}
+RAW = {"script", "style", "template", "noscript", "iframe", "object", "canvas", "audio", "video", "annotation", "annotation-xml"}
+#: Roots of other markup languages, in which any tag may close itself, and what these do not show.
+FOREIGN, FOREIGN_RAW = {"svg", "math"}, {"desc", "metadata"}
 FORM = {"form", "button", "select", "textarea", "input", "label", "fieldset", "dialog"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark",
     "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "math", "semantics", "mrow", "mi", "mo", "mn", "ms", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mstyle", "munder",
+    "mover", "munderover", "mpadded", "mphantom", "menclose", "mfenced", "merror", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "tspan", "annotation", "annotation-xml",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MARKED = {"article", "main"}
@@ -37,7 +41,9 @@ ROLE_OF_ARIA = {
     "navigation": "menu", "menu": "menu", "menubar": "menu", "banner": "header", "contentinfo": "footer", "complementary": "aside",
     "search": "form", "form": "form", "dialog": "notice", "alert": "notice", "alertdialog": "notice",
 }
-#: Words of class and id names that tell what an element is.
+#: Elements of a form that may be wrapped around a whole page.
+WRAPPING = {"form", "fieldset"}
+#: Names of classes and ids that tell what an element is.
 ROLE_OF_NAME = {
     "menu": "menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc tabs",
     "header": "header masthead topbar",
@@ -52,6 +58,8 @@ _NAMED = {name: role for role, names in ROLE_OF_NAME.items() for name in names.s
 _TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _TAG_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: First words of names that say what an element has, not what it is.
+_HAVING = {"has", "have", "with", "without", "no", "not", "hide", "show", "is", "and", "content", "page", "layout", "body"}
 _SPLIT_NAME = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _BLANK = re.compile(r"\s+")
 
@@ -62,6 +70,11 @@ class Element:
     parent: Element | None
     role: str | None
     marked: bool
+    #: The element's own role, and whether it is one that a mere wrapper may have.
+    own: str | None = None
+    soft: bool = False
+    #: A heading in a marked element.
+    title: bool = False
     first: int = 0
     last: int = 0
     depth: int = 0
@@ -89,44 +102,108 @@ def _tag_end(text: str, start: int) -> int:
     return len(text)
 
 
-def _role(tag: str, attributes: str, parent: Element) -> str | None:
+def _named_role(value: str) -> str | None:
+    """Role by a class or id: by a whole name, or a compound whose last word is one ('cookie-banner', not 'sidebar-wrap')."""
+    for name in value.split():
+        if name.lower() in _NAMED:
+            return _NAMED[name.lower()]
+        words = [w.lower() for w in _SPLIT_NAME.split(name) if w]
+        if words and words[-1] in _NAMED and not _HAVING.intersection(words[:-1]):
+            return _NAMED[words[-1]]
+    return None
+
+
+def _role(tag: str, attributes: str) -> tuple[str | None, bool]:
+    """Role of an element by its tag and attributes, and whether a wrapper may have it."""
     if tag in FORM:
-        return "form"
+        return "form", tag in WRAPPING
     if tag in ROLE_OF_TAG:
-        return ROLE_OF_TAG[tag]
+        return ROLE_OF_TAG[tag], False
     if tag in MARKED or tag in ("html", "body") or not attributes:
-        return None
+        return None, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "role" and value.lower() in ROLE_OF_ARIA:
-            return ROLE_OF_ARIA[value.lower()]
+            return ROLE_OF_ARIA[value.lower()], True
         if name in ("class", "id"):
-            for word in _SPLIT_NAME.split(value):
-                if word.lower() in _NAMED:
-                    return _NAMED[word.lower()]
-    return None
+            role = _named_role(value)
+            if role:
+                return role, True
+    return None, False
+
+
+def _settle_roles(elements: list[Element]) -> None:
+    """Roles from those of the elements themselves; an element stands behind its parent in the list."""
+    for e in elements:
+        e.role = None if e.title and e.parent.role == "header" else e.own or e.parent.role
+
+
+def _unwrap(page: Page, elements: list[Element]) -> None:
+    """Take the role from wrappers: from what holds the marked article, or most of the plain words of a page without one.
+
+    If some marked element with words has no role, it is the article and all roles stay. Comments may well be longer than
+    what they comment on, so they are unwrapped for a marked article only.
+    """
+    words: dict[int, int] = {}
+    for feature, text, element in page.items:
+        if text is not None and feature == "word:plain":
+            words[id(element)] = words.get(id(element), 0) + len(text.split())
+    # Words of an element that would be plain without the roles of possible wrappers around it.
+    held: dict[int, int] = {}
+    hard: dict[int, bool] = {}
+    for e in elements:
+        hard[id(e)] = not (e.title and e.parent.own == "header") and (bool(e.own and not e.soft) or hard.get(id(e.parent), False))
+    for e in reversed(elements):
+        mine = held.get(id(e), 0) + (0 if hard[id(e)] else words.get(id(e), 0))
+        held[id(e)] = mine
+        held[id(e.parent)] = held.get(id(e.parent), 0) + mine
+    marked = [e for e in elements if e.marked and held[id(e)]]
+    if any(e.role is None for e in marked):
+        return
+    if marked:
+        at = max(marked, key=lambda e: held[id(e)])
+        while at is not None:
+            if at.soft:
+                at.own = None
+            at = at.parent
+    else:
+        total = words.get(id(elements[0].parent), 0) + sum(0 if hard[id(e)] else words.get(id(e), 0) for e in elements)
+        for e in elements:
+            if e.soft and e.own != "comment" and 2 * held[id(e)] > total:
+                e.own = None
+    _settle_roles(elements)
 
 
 def parsed(text: str) -> Page:
-    """Tokens of a page, well-formed or not. Comments, scripts, styles and the like leave nothing."""
+    """Tokens of a page, well-formed or not.
+
+    Comments, scripts, styles and the like leave nothing; so does what a page shows only in place of something
+    (noscript, the inside of objects and media) and the sources of formulas. Words of formulas and drawings stay.
+    """
     page, root = Page(), Element("", None, None, False)
     stack, at, size = [root], 0, len(text)
+    elements: list[Element] = []
+    foreign = 0
 
     def words(raw: str) -> None:
         here = stack[-1]
         plain = html.unescape(raw)
         if plain:
-            where = here.role or ("link" if any(e.tag == "a" for e in stack[-4:]) else "plain")
-            page.items.append((f"word:{where}", plain, here))
+            page.items.append(("word:link" if any(e.tag == "a" for e in stack[-4:]) else "word:plain", plain, here))
 
     def tag_item(name: str, element: Element) -> None:
         if name not in INLINE:
             page.breaks.add(len(page.items))
+        if foreign:
+            return  # the shapes of a drawing say nothing of the page
         page.items.append((f"tag:{name}" if name.isascii() and name.isalnum() and len(name) < 12 else "tag:other", None, element))
 
     def pop(to: int) -> None:
+        nonlocal foreign
         while len(stack) > to:
-            stack.pop().last = len(page.items)
+            gone = stack.pop()
+            gone.last = len(page.items)
+            foreign -= gone.tag in FOREIGN
 
     while at < size:
         mark = text.find("<", at)
@@ -173,19 +250,24 @@ def parsed(text: str) -> Page:
                     break
         attributes = text[named.end() : at - 1]
         parent = stack[-1]
-        role = _role(tag, attributes, parent) or parent.role
-        if tag in HEADINGS and parent.role == "header" and any(e.marked for e in stack):
-            role = None  # the title of the article
-        element = Element(tag, parent, role, tag in MARKED, len(page.items), depth=parent.depth + 1)
+        own, soft = _role(tag, attributes)
+        element = Element(tag, parent, None, tag in MARKED, own, soft, tag in HEADINGS and any(e.marked for e in stack), len(page.items), depth=parent.depth + 1)
+        elements.append(element)
         tag_item(tag, element)
-        if tag in RAW:
+        itself = attributes.endswith("/") and (foreign or tag in FOREIGN)
+        if itself:
+            element.last = len(page.items)
+        elif tag in RAW or (foreign and tag in FOREIGN_RAW):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(text, at)
-            if attributes.endswith("/") and tag in ("svg", "math"):
-                end = None
             at = _tag_end(text, end.end()) if end else size
         elif tag not in VOID:
             stack.append(element)
+            foreign += tag in FOREIGN
     pop(0)
+    _settle_roles(elements)
+    if any(e.soft for e in elements):
+        _unwrap(page, elements)
+    page.items = [(f"word:{e.role}" if words is not None and e.role else feature, words, e) for feature, words, e in page.items]
     return page
 
 

@@ -162,5 +162,33 @@ def test_pages(spark):
     assert html_text.article_report(frame.limit(0)).count() == 0
 
 
+_BODY = "<h1>Title</h1>" + "".join(f"<p>Paragraph {i} tells a good deal about the matter of this page.</p>" for i in range(4))
+_PLAIN = "Title\n\n" + "\n\n".join(f"Paragraph {i} tells a good deal about the matter of this page." for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "wrapper", ["div class='content-sidebar-wrap'", "div class='layout has-sidebar'", "div class=with-comments", "div id='header-and-content'", "form id=aspnetForm", "div class=sidebar", "section role=form"]
+)
+@pytest.mark.parametrize("tag", ["article", "main", "section"])
+def test_wrappers_do_not_hide_the_article(wrapper, tag):
+    around = "<nav><a href='/'>Home</a></nav><{0}><{2}>{3}</{2}><div class=cookie-banner><p>We use cookies.</p></div><form><p>Mail us</p></form></{1}><footer>c</footer>"
+    page = around.format(wrapper, wrapper.split()[0], tag, _BODY)
+    assert html_text.extracted(page, html_text.Weights()) == _PLAIN
+
+
+def test_named_parts_stay_out_beside_an_article():
+    for name in ("sidebar", "left-sidebar", "site-footer", "mainNav", "comments"):
+        page = f"<div class=wrap><article>{_BODY}</article><div class={name}><article><p>{'Other words. ' * 60}</p></article></div></div>"
+        assert html_text.extracted(page, html_text.Weights()) == _PLAIN, name
+        page = f"<div class=wrap>{_BODY}<div class={name}><p>Other words.</p></div></div>"
+        assert html_text.extracted(page, html_text.Weights()) == _PLAIN, name
+
+
+def test_formulas_and_drawings_keep_their_words():
+    formula = "<math><semantics><mrow><mi>a</mi><mo>=</mo><mi>b</mi><mspace/></mrow><annotation>a = b</annotation></semantics></math>"
+    page = f"<article>{_BODY}<p>Here {formula} holds.</p><svg><path d='M0'/><path d='M1'/><text>Figure words</text></svg><p>End.</p></article>"
+    assert html_text.extracted(page, html_text.Weights()) == _PLAIN + "\n\nHere a=b holds.\n\nFigure words\n\nEnd."
+
+
 def test_all_queries_are_there():
     assert [name.split("_")[0] for name in build()] == [f"op{n}" for n in range(1, 11)]
