@@ -36,9 +36,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang and the token ids of each document of the mix, with their number."""
-    ids = bpe.encoded(docs, carried=["doc_id", "source", "lang"])
-    return ids.select("row.doc_id", "row.source", "row.lang", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    """doc_id, source, lang, the token ids of each document of the mix, their number, and a digest of the text they decode to."""
+    ids = bpe.encoded(docs, carried=["doc_id", "source", "lang"]).select("row.*", "ids")
+    back = bpe.decoded(ids)
+    return back.select("row.*", F.size("row.ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -46,7 +47,7 @@ STAGES = [
     ("exact dedup", exact_copies),
     ("n-gram Jaccard join", near_copies),
     ("mixing sources", mix),
-    ("BPE encoding", tokens),
+    ("BPE encoding and decoding", tokens),
 ]
 
 

@@ -19,3 +19,12 @@ def test_pipeline_keeps_one_of_equal_texts_and_encodes_whole_texts(spark):
     kept = {row["doc_id"] for row in rows}
     assert len({texts[i] for i in kept}) == len(kept)
     assert all(any(c.isalpha() for c in texts[i]) for i in kept)
+
+
+def test_last_stage_encodes_and_decodes(spark):
+    import hashlib
+
+    texts = {1: "One more text, é 12", 2: "", 3: None}
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in texts.items()], "doc_id long, text string, source string, lang string")
+    found = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}
+    assert {i: r.decoded_sha256 for i, r in found.items()} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts.items()}
