@@ -1,9 +1,15 @@
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tests.llm.test_queries import _classes
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -21,6 +27,84 @@ def test_pipeline_keeps_one_of_equal_texts_and_encodes_whole_texts(spark):
     assert all(any(c.isalpha() for c in texts[i]) for i in kept)
 
 
+def _letters(rows):
+    return [r for r in rows if any(c.isalpha() for c in r["text"] or "")]
+
+
+def _one_of_equal(rows):
+    """Of texts that differ in the case of A-Z at most, the largest id stays."""
+    best = {}
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        best[re.sub("[A-Z]", lambda m: m[0].lower(), r["text"])] = r
+    return list(best.values())
+
+
+def _one_of_alike(rows):
+    classes, _ = _classes({r["doc_id"]: r["text"] for r in rows})
+    return [r for r in rows if classes[r["doc_id"]] == r["doc_id"]]
+
+
+def _copies(rows):
+    """How often the mix takes each document."""
+    size = {r["doc_id"]: len(re.findall(r"[^ \t-\r]+", r["text"])) for r in rows}
+    of = defaultdict(list)
+    for r in rows:
+        of[r["source"]].append(r["doc_id"])
+    words = {s: sum(size[i] for i in ids) for s, ids in of.items()}
+    names = sorted(of, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(names)}
+    target, left, open_ = {}, sum(words.values()), set(names)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 3 * words[s] < weight[s] * level}
+        if not full:
+            target |= {s: weight[s] * level for s in open_}
+            break
+        target |= {s: 3 * words[s] for s in full}
+        left, open_ = left - sum(3 * words[s] for s in full), open_ - full
+    copies = Counter()
+    for s, ids in of.items():
+        rate = target[s] / words[s]
+        wanted, before = target[s] - math.floor(rate) * words[s], 0
+        draw = {i: int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:12], 16) for i in ids}
+        for i in sorted(ids, key=draw.get):
+            copies[i] = math.floor(rate) + (rate > math.floor(rate) and before + size[i] / 2 <= wanted)
+            before += size[i]
+    return copies
+
+
+def test_every_stage_is_its_plain_version(spark, tmp_path):
+    given = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = [r.asDict() for r in given.collect()]
+    long = sorted((r for r in rows if r["text"]), key=lambda r: (-len(r["text"]), r["doc_id"]))[:3]
+    odd = ["12 34 !!", None, "", *(r["text"] + " one more" for r in long)]
+    rows += [long[0] | {"doc_id": 10_000 + i, "text": text, "source": f"src{i % 3}"} for i, text in enumerate(odd)]
+    rows += [long[0] | {"doc_id": 20_000, "text": re.sub("[a-z]", lambda m: m[0].upper(), long[1]["text"])}]
+    spark.createDataFrame([tuple(r[c] for c in given.columns) for r in rows], given.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+    for stage, plain in zip(stages[:3], (_letters, _one_of_equal, _one_of_alike)):
+        kept = plain(rows)
+        assert len(kept) < len(rows), f"nothing to do for {plain.__name__}"
+        rows, frame = kept, stage(spark, frame, str(tmp_path))
+        assert sorted(r.doc_id for r in frame.select("doc_id").collect()) == sorted(r["doc_id"] for r in rows), plain.__name__
+    copies = _copies(rows)
+    assert len(set(copies.values())) > 1
+    frame = stages[3](spark, frame, str(tmp_path))
+    assert Counter(r.doc_id for r in frame.select("doc_id").collect()) == +copies
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = Counter()
+    for r in rows:
+        ids = library.encode(r["text"], add_special_tokens=False).ids
+        back = hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        expected[(r["doc_id"], r["source"], r["lang"], tuple(ids), len(ids), back)] += copies[r["doc_id"]]
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    fields = ["doc_id", "source", "lang", "ids", "n_tokens", "decoded_sha256"]
+    assert found.columns == fields
+    assert Counter(tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in found.collect()) == +expected
+
+
 def test_last_stage_encodes_and_decodes(spark):
     import hashlib
 
