@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelore.llm import bpe, exact_dedup, html_text, jaccard_join, language_id, line_templates, mixing, secret_scan, sharding, vector_search
+from sourcelore.llm import (
+    bpe,
+    conversation_trie,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    language_id,
+    line_templates,
+    mixing,
+    periodic_runs,
+    secret_scan,
+    sharding,
+    vector_search,
+)
 from sourcelore.llm.common import table
 
 
@@ -22,6 +35,8 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": (jaccard_join.near_duplicates, "documents"),
         "op9_bpe": (bpe.token_digests, "documents"),
         "op10_mixing": (mixing.mix_report, "documents"),
+        "op12_conversation_trie": (conversation_trie.trie_report, "conversations"),
+        "op13_periodic_runs": (periodic_runs.run_report, "documents"),
     }
     return {
         name: (lambda spark, sf_dir, plan=plan, of=of: plan(table(spark, sf_dir, of))) for name, (plan, of) in plans.items()
@@ -35,4 +50,5 @@ def oracles() -> dict[str, str]:
         "op3_top_k_search": vector_search.TOP_K_SQL,
         "op4_secret_scan": secret_scan.SECRETS_SQL,
         "op10_mixing": mixing.MIX_SQL,
+        "op12_conversation_trie": conversation_trie.TRIE_SQL,
     }

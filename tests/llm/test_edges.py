@@ -191,4 +191,4 @@ def test_formulas_and_drawings_keep_their_words():
 
 
 def test_all_queries_are_there():
-    assert [name.split("_")[0] for name in build()] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in build()] == [f"op{n}" for n in range(1, 14)]
