@@ -18,13 +18,14 @@ from sourcelore.llm import (
     periodic_runs,
     secret_scan,
     sharding,
+    toxicity,
     vector_search,
 )
 from sourcelore.llm.common import table
 
 
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plans: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
+    plans: dict[str, tuple] = {
         "op1_exact_dedup": (exact_dedup.duplicate_groups, "documents"),
         "op2_line_dedup": (line_templates.without_recurring_lines, "documents"),
         "op3_top_k_search": (vector_search.top_k, "embeddings"),
@@ -35,11 +36,12 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": (jaccard_join.near_duplicates, "documents"),
         "op9_bpe": (bpe.token_digests, "documents"),
         "op10_mixing": (mixing.mix_report, "documents"),
+        "op11_toxicity": (toxicity.toxicity_report, "documents", "labels"),
         "op12_conversation_trie": (conversation_trie.trie_report, "conversations"),
         "op13_periodic_runs": (periodic_runs.run_report, "documents"),
     }
     return {
-        name: (lambda spark, sf_dir, plan=plan, of=of: plan(table(spark, sf_dir, of))) for name, (plan, of) in plans.items()
+        name: (lambda spark, sf_dir, plan=plan, of=of: plan(*[table(spark, sf_dir, one) for one in of])) for name, (plan, *of) in plans.items()
     }
 
 
