@@ -293,6 +293,14 @@ QUERIES: dict[str, tuple[str, str]] = {
         CO_CHANGE.format(log="commit_files", threshold=0.3),
         "select repo_id, path, file, count, round(correlation, 6) as correlation from partners",
     ),
+    "co_change_bulk": (
+        CO_CHANGE.format(log="bulk_commit_files", threshold=0.5),
+        "select repo_id, path, file, count, round(correlation, 6) as correlation from partners",
+    ),
+    "co_change_bulk_top": (
+        CO_CHANGE.format(log="bulk_commit_files", threshold=0.5),
+        "select repo_id, path, file, count, round(correlation, 6) as correlation, rank from ranked where rank <= 5",
+    ),
     "co_change_top": (
         CO_CHANGE.format(log="commit_files", threshold=0.06),
         "select repo_id, path, file, count, round(correlation, 6) as correlation, rank from ranked where rank <= 5",

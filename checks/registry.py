@@ -15,6 +15,7 @@ from sourcelore.plans.analysis import Analysis, analyze
 from sourcelore.sources import commit_log, config
 
 # Partners in the benchmark log share few commits; the default of 0.3 is queried as well.
+BULK_THRESHOLD = 0.5
 LOW_THRESHOLD = 0.06
 NOW, DAYS = "2024-03-01", 30
 EXTRA_IGNORE = "src/utils, README"
@@ -287,6 +288,8 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "change_frequency": _frequency,
         "co_change": lambda t: _partners(cochange.co_change(t.view("commit_files"), LOW_THRESHOLD)),
         "co_change_default": lambda t: _partners(cochange.co_change(t.view("commit_files"))),
+        "co_change_bulk": lambda t: _partners(cochange.co_change(t.view("bulk_commit_files"), BULK_THRESHOLD)),
+        "co_change_bulk_top": lambda t: _partners(cochange.top_co_change(t.view("bulk_commit_files"), BULK_THRESHOLD)),
         "co_change_top": lambda t: _partners(cochange.top_co_change(t.view("commit_files"), LOW_THRESHOLD)),
         # Repository
         "total_files": lambda t: summary.total_files(t.facts()),

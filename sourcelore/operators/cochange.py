@@ -13,6 +13,12 @@ therefore counted in two exact ways that add up:
   to. All files of such a group share the same number of bulk commits with any other
   group, so groups are paired instead of files. Files are filled in at the end: all of
   them when the full list is asked for, only the best few when ``top_n`` is given.
+
+Groups are not all paired either. Bulk commits alone make a partner only by sharing at least
+``need`` of a group's ``b``, so the partner is met in one of the group's ``b - need + 1``
+smallest ones: candidates come from those, and the larger a commit is, the fewer groups look
+for partners in it. What two groups share is then counted from their sets of commits, for
+candidates and for the groups of files that met in an ordinary commit.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ from .history import distinct_touches
 from .joins import attach
 
 BULK_SIZE = 200
+#: A share that the division of counts rounds up to the threshold must not be missed.
+ROUNDING = 1e-9
 
 
 def _touches(commit_files: DataFrame, bulk_size: int) -> DataFrame:
@@ -32,8 +40,8 @@ def _touches(commit_files: DataFrame, bulk_size: int) -> DataFrame:
     # the distinct rows would be shuffled anew for every branch.
     keys = ["repo_id", "hash", "file"]
     touches = distinct_touches(commit_files.select(*keys).filter(" and ".join(f"{key} is not null" for key in keys)))
-    sizes = touches.groupBy("repo_id", "hash").agg((F.count("*") > bulk_size).alias("bulk"))
-    return attach(touches, sizes, ["repo_id", "hash"])
+    sizes = touches.groupBy("repo_id", "hash").agg(F.count("*").alias("size"))
+    return attach(touches, sizes, ["repo_id", "hash"]).withColumn("bulk", F.col("size") > bulk_size)
 
 
 def _per_file(touches: DataFrame, targets: DataFrame | None) -> DataFrame:
@@ -95,25 +103,40 @@ def _pairs_by_file(touches: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def _group_overlaps(touches: DataFrame, files: DataFrame) -> DataFrame:
-    """Shared bulk commits of every two bulk groups that meet, each with itself included."""
-    samples = (
-        files.filter(F.col("bulk_group").isNotNull()).groupBy("repo_id", "bulk_group").agg(F.min("file").alias("file"))
+def _groups(touches: DataFrame, files: DataFrame, threshold: float) -> DataFrame:
+    """Per bulk group: its bulk commits with their sizes, smallest first, and how many of them a partner must share.
+
+    ``need`` is that of the member that asks for least, null where no member's partners are wanted. A file stands for the
+    others of its group, so a row is as long as the repository has bulk commits at most.
+    """
+    need = F.greatest(F.lit(1), F.ceil(F.col("commits") * threshold - ROUNDING)).cast("int")
+    groups = (
+        files.filter(F.col("bulk_group").isNotNull())
+        .groupBy("repo_id", "bulk_group")
+        .agg(F.min("file").alias("file"), F.min(F.when(F.col("wanted"), need)).alias("need"))
     )
-    rows = touches.filter("bulk").select("repo_id", "hash", "file").join(samples, ["repo_id", "file"])
-    return (
-        rows.alias("l")
-        .join(
-            rows.alias("r"),
-            (F.col("l.repo_id") == F.col("r.repo_id")) & (F.col("l.hash") == F.col("r.hash")),
-        )
-        .groupBy(
-            F.col("l.repo_id").alias("repo_id"),
-            F.col("l.bulk_group").alias("path_group"),
-            F.col("r.bulk_group").alias("file_group"),
-        )
-        .agg(F.count("*").alias("bulk_shared"))
+    rows = attach(touches.filter("bulk").select("repo_id", "hash", "file", "size"), groups, ["repo_id", "file"])
+    bulk = F.array_sort(F.collect_list(F.struct("size", F.xxhash64("hash").alias("commit"))))
+    return rows.groupBy("repo_id", "bulk_group").agg(bulk.alias("bulk"), F.min("need").alias("need"))
+
+
+def _group_candidates(groups: DataFrame) -> DataFrame:
+    """(path_group, file_group) that may share enough bulk commits, each group with itself included."""
+    size = F.size("bulk")
+    searched = groups.filter(F.col("need") <= size).select(
+        "repo_id", F.col("bulk_group").alias("path_group"), "need", F.explode(F.expr("slice(bulk, 1, size(bulk) - need + 1)")).alias("met")
     )
+    held = groups.select("repo_id", F.col("bulk_group").alias("file_group"), size.alias("held"), F.explode("bulk").alias("met"))
+    return searched.join(held, ["repo_id", "met"]).filter("held >= need").select("repo_id", "path_group", "file_group").distinct()
+
+
+def _group_overlaps(candidates: DataFrame, groups: DataFrame) -> DataFrame:
+    """Shared bulk commits of the given pairs of groups."""
+    sets = groups.select("repo_id", "bulk_group", F.col("bulk.commit").alias("bulk"))
+    for side in ("path", "file"):
+        candidates = attach(candidates, sets.select("repo_id", F.col("bulk_group").alias(f"{side}_group"), F.col("bulk").alias(f"{side}_bulk")), ["repo_id", f"{side}_group"])
+    shared = F.size(F.array_intersect("path_bulk", "file_bulk")).cast("long")
+    return candidates.select("repo_id", "path_group", "file_group", shared.alias("bulk_shared"))
 
 
 def _pairs_by_group(overlaps: DataFrame, files: DataFrame, threshold: float, top_n: int | None) -> DataFrame:
@@ -154,14 +177,18 @@ def co_change(
     """
     touches = _touches(commit_files, bulk_size)
     files = _per_file(touches, targets)
-    overlaps = _group_overlaps(touches, files)
+    groups = _groups(touches, files, threshold)
 
     by_file = _pairs_by_file(touches, files)
     in_groups = F.col("path_group").isNotNull() & F.col("file_group").isNotNull()
     enough = F.col("shared") / F.col("commits") >= threshold
-    # Pairs that no bulk commit can lift are settled here. The rest meet their overlap; rows
-    # outside the groups are spread by their own path, not gathered under one key.
-    looked_up = by_file.filter(enough | in_groups).withColumn(
+    # Pairs that no bulk commit can lift are settled here; a group's name starts with the number of its bulk commits.
+    most = F.least(*[F.substring_index(f"{side}_group", ":", 1).cast("long") for side in ("path", "file")])
+    lifted = in_groups & ((F.col("shared") + most) / F.col("commits") >= threshold)
+    met = by_file.filter(lifted).select("repo_id", "path_group", "file_group").distinct()
+    overlaps = _group_overlaps(_group_candidates(groups).unionByName(met).distinct(), groups)
+    # The rest meet their overlap; rows outside the groups are spread by their own path, not gathered under one key.
+    looked_up = by_file.filter(enough | lifted).withColumn(
         "path_group", F.when(in_groups, F.col("path_group")).otherwise(F.concat(F.lit("-"), F.col("path")))
     )
     by_file = attach(looked_up, overlaps, ["repo_id", "path_group", "file_group"], "left").select(

@@ -110,7 +110,24 @@ DUCK_COMMIT_FILES, DUCK_LAYOUT_COMMIT_FILES, DUCK_COMMITS = _log(
     DUCK_DAYS, f"cast(DATE '2024-01-01' + cast(floor({DUCK_DAYS}/40.0) as integer) as timestamp)"
 )
 
+# A log with bulk commits: an order touches its parts and the neighbour of each (parts 8 and 9 of ten stay out), and
+# each quarter one commit touches whatever a fifth of the customers ordered.
+_NEIGHBOUR = "l_partkey + 1 - 2 * (l_partkey % 2)"
+BULK_COMMIT_FILES = f"""
+select 'r0' as repo_id, t.hash, f.file from (
+  select concat('c', cast(o_orderkey as varchar(20))) as hash, l_partkey as pk
+  from orders join lineitem on l_orderkey = o_orderkey where l_partkey % 10 < 8
+  union all
+  select concat('c', cast(o_orderkey as varchar(20))), {_NEIGHBOUR}
+  from orders join lineitem on l_orderkey = o_orderkey where l_partkey % 10 < 8
+  union all
+  select concat('q', cast(extract(year from o_orderdate) * 4 + extract(quarter from o_orderdate) as varchar(20))), l_partkey
+  from orders join lineitem on l_orderkey = o_orderkey where o_custkey % 5 = 0) t
+join (select p_partkey, {PATH} as file from part) f on f.p_partkey = t.pk
+"""
+
 ORACLE_VIEWS = {
+    "bulk_commit_files": BULK_COMMIT_FILES,
     "commit_files": DUCK_COMMIT_FILES,
     "commits": DUCK_COMMITS,
     "code_files": CODE_FILES,
@@ -134,6 +151,10 @@ def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, SPARK_COMMIT_FILES)
 
 
+def bulk_commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, BULK_COMMIT_FILES)
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, SPARK_COMMITS)
 

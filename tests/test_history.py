@@ -167,6 +167,35 @@ def test_one_bulk_commit_is_not_paired_file_by_file(spark):
     top.unpersist()
 
 
+def _many_bulk_commits(spark):
+    """60 files, each in one commit of all and in ten of its own twenty of three."""
+    rows = [("all", f"f{i:02}") for i in range(60)]
+    rows += [(f"own{i // 20}-{k}", f"f{i:02}") for i in range(60) for k in range(10) if (i + k) % 5]
+    return spark.createDataFrame([("r", h, f) for h, f in rows], "repo_id string, hash string, file string")
+
+
+def test_groups_are_candidates_by_their_smallest_bulk_commits_only(spark):
+    table = _many_bulk_commits(spark)
+    touches = cochange._touches(table, 5)
+    groups = cochange._groups(touches, cochange._per_file(touches, None), 0.6)
+    # 15 different sets of bulk commits, all of which meet in the commit of all files.
+    assert groups.count() == 15
+    met = cochange._group_candidates(groups).collect()
+    assert len(met) == 3 * 5 * 5
+    got = cochange.co_change(table, 0.6, bulk_size=5)
+    assert got.exceptAll(cochange.co_change(table, 0.6, bulk_size=1000)).count() == 0
+    assert got.count() == cochange.co_change(table, 0.6, bulk_size=1000).count() > 0
+
+
+def test_a_bulk_commit_beside_many_small_ones_yields_no_candidates(spark):
+    rows = [("import", f"f{i:03}") for i in range(500)] + [(f"c{i}-{k}", f"f{i:03}") for i in range(500) for k in range(4)]
+    table = spark.createDataFrame([("r", h, f) for h, f in rows], "repo_id string, hash string, file string")
+    touches = cochange._touches(table, 100)
+    groups = cochange._groups(touches, cochange._per_file(touches, None), 0.3)
+    assert cochange._group_candidates(groups).count() == 0
+    assert cochange.co_change(table, 0.3, bulk_size=100).count() == 0
+
+
 LOG_TEXT = """stray file before any header
 1111111aaaa\tAnn\t2024-03-02T10:00:00+02:00\tmerge, no files
 2222222bbbb\tBob\t2024-03-01T09:00:00Z\tsubject\twith tab
