@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from sourcelore.plans.bridge import ORACLE_VIEWS
+from sourcelore.plans.bridge import ORACLE_VIEWS, STEM
 
 LANGUAGE = """case when {p} similar to '.*[^/]\\.(js|jsx|mjs)' then 'javascript'
   when {p} similar to '.*[^/]\\.(ts|tsx)' then 'typescript' when {p} similar to '.*[^/]\\.py' then 'python'
@@ -73,6 +73,41 @@ def _names(view: str, regex: bool) -> str:
     return " union all ".join(parts)
 
 
+#: Names in the scripts by kind, with % for the part's key; those of the second entry are in files with tags only.
+SCRIPT_NAMES = {
+    "imports": ("lib% in% deep%", "attribute%"),
+    "functions": ("later% nested% after% inner%", "View% shown% last%"),
+    "classes": ("Kept%", ""),
+    "exports": ("out% map%", ""),
+    "interfaces": ("Options%", ""),
+}
+
+
+def _script_names() -> str:
+    """What a reader of the scripts would list, spelled out from the key of each part."""
+    parts = []
+    for kind, (always, tagged) in SCRIPT_NAMES.items():
+        for names, files in ((always, "true"), (tagged, "p_partkey % 3 < 2")):
+            for name in names.split():
+                kept = "and p_partkey % 3 > 0" if kind == "interfaces" else ""
+                parts.append(f"""select 'r0' as repo_id, concat('web/', {STEM}, case p_partkey % 3 when 0 then '.jsx' when 1 then '.tsx' else '.ts' end) as path,
+                  case p_partkey % 3 when 0 then 'javascript' else 'typescript' end as language, '{kind}' as kind,
+                  replace('{name}', '%', cast(p_partkey as varchar)) as name from part where {files} {kept}""")
+    return " union all ".join(parts)
+
+
+def _script_patterns() -> str:
+    """What plain patterns find in the scripts, comments and strings included."""
+    imports = _all("content", "import\\s+.*?from\\s+[''\"](.+?)[''\"]|require\\s*\\(\\s*[''\"](.+?)[''\"]\\s*\\)", 1, 2)
+    functions = _all("content", "function\\s+(\\w+)|const\\s+(\\w+)\\s*=\\s*(?:async\\s+)?\\([^)]*\\)\\s*=>", 1, 2)
+    exports = _all("content", "export\\s+(?:default\\s+)?(?:class|function|const)\\s+(\\w+)")
+    found = {"imports": imports, "functions": functions, "classes": _all("content", "class\\s+(\\w+)"), "exports": exports}
+    found["interfaces"] = "case when language = 'typescript' then " + _all("content", "interface\\s+(\\w+)") + " end"
+    return " union all ".join(
+        f"select repo_id, path, language, '{kind}' as kind, unnest(list_distinct(list_filter({names}, lambda n: n <> ''))) as name from known" for kind, names in found.items()
+    )
+
+
 def _facts(view: str) -> str:
     return f"""select repo_id, path, {LANGUAGE.format(p='path')} as language, {UNITS.format(c='content')} as size,
   {LINES.format(c='content')} as lines, {COMPLEXITY.format(c='content')} as complexity, content from {view}
@@ -225,6 +260,8 @@ QUERIES: dict[str, tuple[str, str]] = {
     ),
     "names_regex": (f"known as ({_facts('code_files')})", _names("code_files", True)),
     "names_lexical": (f"known as ({_facts('code_files')})", _names("code_files", False)),
+    "names_regex_scripts": (f"known as ({_facts('script_files')})", _script_patterns()),
+    "names_lexical_scripts": ("", _script_names()),
     "import_candidates": (_resolution("code_files"), "select repo_id, src, import, cast(0 as bigint) as candidate_ord, base from relative"),
     "expand_candidates": (
         _resolution("code_files"),

@@ -253,6 +253,8 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "names_regex": lambda t: _names(t, "code_files", "regex"),
         "names_lexical": lambda t: _names(t, "code_files", "lexical"),
+        "names_regex_scripts": lambda t: _names(t, "script_files", "regex"),
+        "names_lexical_scripts": lambda t: _names(t, "script_files", "lexical"),
         # Imports and graph
         "import_candidates": lambda t: imports.import_candidates(t.facts("code_files")),
         "expand_candidates": lambda t: imports.expand_candidates(

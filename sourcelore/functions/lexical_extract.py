@@ -2,11 +2,12 @@
 
 Three texts are derived from a file, each once:
 
-``code``  comments and regular-expression literals removed, strings kept;
+``code``  comments and regular-expression literals removed, strings kept; files with code inside
+          templates or with JSX are read token by token for it (``modes``);
 ``bare``  as ``code`` with string contents blanked, except one-word strings, which no
           pattern here can mistake for code and which object keys need;
-``flat``  ``bare`` with the brackets inside an exported object folded away, so that the
-          object's own keys can be split at commas.
+``flat``  ``bare`` with what stands in brackets taken out, innermost first, and set behind the
+          rest, a mark left in its place; so commas and equal signs of a statement are its own.
 
 In ``bare`` white space is one space, or one line end where it holds any, so that what stands
 before a word is at most one character of white space away, however far a line is indented.
@@ -14,14 +15,13 @@ before a word is at most one character of white space away, however far a line i
 Quantifiers over unbounded text are possessive or single-character: alternations
 repeated in a group recurse on the JVM and overflow its stack on long texts.
 
-Limits: regular-expression literals after an unusual token, code inside ``${}`` and later
-declarators of one statement behind brackets are not seen as a syntax tree would see them.
-Objects are folded once for each level that brackets nest in the file, so a file costs its
-length times its depth.
+Limits: regular-expression literals after an unusual token, and type parameters nested more
+than eight deep, are not seen as a syntax tree would see them.
 """
 
 from __future__ import annotations
 
+from .modes import plain_code
 from .sqltext import NO_NAMES, captures, case, literal, names, regex_matches
 
 STRINGS = r""""(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\.|[^`\\])*+`"""
@@ -60,12 +60,9 @@ IMPORTS = (
     r"|export\s++(?:type\s++)?(?:\*|\{)[^'\"();]*?from\s*+"
     rf"|import\s*+\(\s*+|require\s*+\(\s*+|import\s*+)['\"]([^'\"\n]+)['\"]|{STRINGS})"
 )
-FUNCTIONS = (
-    rf"(?=[fclv])(?:{_declared('function')}\s*+\*?\s*+{NAME}"
-    rf"|{_word('(?:const|let|var)')}\s++{NAME}\s*+(?::(?:[^=;\n]|=>)++)?+=\s*+(?:async\s++)?"
-    r"(?:function(?![\w$])|(?:<[^<>()]*+>\s*+)?\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)\s*+(?::[^=;{\n]++)?+=>"
-    r"|[\w$]++\s*+=>))"
-)
+FUNCTIONS = rf"{_declared('function')}\s*+\*?\s*+{NAME}"
+# What may introduce a name that a function bears.
+INTRODUCED = rf"(?:function\s?\*?\s?|(?:const|let|var)\s|,\s?){NAME}"
 CLASSES = rf"{_declared('class')}\s++(?!extends\b){NAME}"
 INTERFACES = rf"{_word('interface')}\s++{NAME}"
 
@@ -74,9 +71,24 @@ EXPORTED_DECLARATION = (
     rf"{EXPORT}\s++(?:declare\s++)?(?:(?:async\s++)?function\s*+\*?\s*+|(?:abstract\s++)?class\s++"
     rf"|interface\s++|type\s++(?=[\w$]+\s*+[=<])){NAME}"
 )
-EXPORTED_VARIABLES = rf"{EXPORT}\s++(?:declare\s++)?(?:const|let|var)\s++((?:[^,;\n(){{}}\[\]]|,\s*+)++)"
 EXPORTED_LIST = rf"{EXPORT}\s*+(?:type\s*+)?\{{([^}}]*+)\}}"
 VARIABLE_NAME = rf"(?s)^\s*+{NAME}\s*+(?:$|[:=!])"
+
+# Marks of what was taken out of a flat text, and of the arrow, which is no equal sign there.
+FOLDED, ARROW = "\u0002", "\u0003"
+# What may stand in one declarator of a flat text: a line ends it unless the statement must go on.
+_GOES_ON = rf"\n(?=[.?:=|&+*%<>{ARROW}-])|(?<=[=+*%|&?:<>{ARROW}-])\n"
+_DECLARATOR = rf"(?:[^,;\n(){{}}\[\]]|{_GOES_ON})*+"
+VARIABLES = rf"{_word('(?:const|let|var)')}\s++({_DECLARATOR}(?:\s?,\s?{_DECLARATOR})*+)"
+EXPORTED_VARIABLES = rf"{EXPORT}\s++(?:declare\s++)?(?:const|let|var)\s++({_DECLARATOR}(?:\s?,\s?{_DECLARATOR})*+)"
+VARIABLE_FUNCTION = (
+    rf"(?s)^\s*+{NAME}\s?!?\s?(?::[^=]*+)?=\s?(?:async(?![\w$])\s?)?"
+    rf"(?:function(?![\w$])|{FOLDED}\s?(?::[^={ARROW}]*+)?{ARROW}|[\w$]++\s?{ARROW})"
+)
+# Type parameters and arguments, two levels at a time: behind a name, or before the parameters of an arrow function.
+_TYPES = r"(?:[^<>;&|]|&(?!&)|\|(?!\|))*+"
+TYPE_LIST = rf"(?:(?<=[\w${FOLDED}])|(?<=[=(,:]\s?)|(?<=async\s))<{_TYPES}(?:<{_TYPES}>{_TYPES})*+>(?=\s?[{FOLDED}=,;:)|&\n.>\[]|$)"
+TYPE_PASSES = 4
 LISTED_NAME = rf"(?s)^\s*+(?:.*\sas\s++|type\s++(?!as\s))?['\"]?{NAME}['\"]?\s*+$"
 EXPORTED_NAMESPACE = rf"{EXPORT}\s*+\*\s*+as\s++{NAME}"
 EXPORT_ALL = rf"{EXPORT}\s*+(?:type\s++)?\*\s*+from(?![\w$])"
@@ -95,23 +107,31 @@ MEMBER = (
 # `exports['x']` is `exports.x`.
 BRACKETED = r"\[(?<=(?<![\w$])(?:exports|module)\[)\s?(['\"])([\w$]++)\1\s?\]"
 
+# Before an object that is assigned as the module's exports.
 OPENED = "\u0001"
-FOLDED = "\u0002"
-# A bracket that an exported object stands in is left alone.
-INNER = rf"[^{{}}()\[\]{OPENED}]*+"
-INNERMOST = rf"\{{{INNER}\}}|\({INNER}\)|\[{INNER}\]"
-OBJECT_BODY = rf"{OPENED}([^{{}}\[\]()]*+)"
+
+
+def _bracketed(levels: int) -> str:
+    """Brackets with at most so many levels of brackets in them, themselves counted."""
+    inside = NO_BRACKET.replace("++", "*+")
+    return rf"[{{(\[]{inside}(?:{_bracketed(levels - 1)}{inside})*+[}})\]]" if levels > 1 else rf"[{{(\[]{inside}[}})\]]"
+
+
+#: Levels of brackets that are taken out of a text at a time, to be taken apart when none deeper are left.
+LEVELS = 8
+OBJECT_BODY = rf"{OPENED}\{{([^{{}}\[\]()]*+)\}}"
 OBJECT_KEY = rf"(?s)^\s*+(?:(?:async|get|set|static)\s++(?=[\w$'\"*]))?\*?\s*+['\"]?{NAME}['\"]?\s*+(?:[:{FOLDED}=].*+)?$"
 
 
-def code_text(content: str) -> str:
-    return f"regexp_replace({content}, {literal(NOISE)}, '$1$2 ')"
+def code_text(content: str, jsx: str = "true") -> str:
+    return f"regexp_replace({plain_code(content, jsx)}, {literal(NOISE)}, '$1$2 ')"
 
 
 def bare_text(code: str) -> str:
     blanked = f"regexp_replace({code}, {literal(QUOTED)}, '$1$2$1')"
     narrow = f"regexp_replace({blanked}, {literal(BLANKS)}, ' ')"
-    return f"regexp_replace({narrow}, {literal(LINE_ENDS)}, {literal(LINE_END)})"
+    lines = f"regexp_replace({narrow}, {literal(LINE_ENDS)}, {literal(LINE_END)})"
+    return f"regexp_replace({lines}, {literal(BRACKETED)}, '.$2')"
 
 
 def nesting(text: str) -> str:
@@ -122,6 +142,35 @@ def nesting(text: str) -> str:
     return f"aggregate({brackets}, struct(0 as at, 0 as most), {step}, s -> s.most)"
 
 
+def _taken_out(text: str, levels: int, times: str) -> str:
+    """The text with a mark for each bracket, and behind it these brackets, after so many rounds."""
+    pattern = literal(f"{OPENED}?+{_bracketed(levels)}")
+    taken = f"""struct(regexp_replace(s.rest, {pattern}, '{FOLDED}') as rest, concat(s.parts, found) as parts, size(found) = 0 as done)"""
+    # Brackets that are never closed count as levels, so rounds may be left when there is nothing left to take out.
+    step = f"""(s, _) -> if(s.done, s, element_at(transform(array(regexp_extract_all(s.rest, {pattern}, 0)), found -> {taken}), 1))"""
+    start = f"struct({text} as rest, cast(array() as array<string>) as parts, false as done)"
+    return f"aggregate(array_repeat(0, {times}), {start}, {step}, s -> array_join(concat(array(s.rest), s.parts), ';\n'))"
+
+
+def flat_text(bare: str) -> str:
+    """What stands in brackets, one after the other, behind what stands in none.
+
+    Deep brackets are taken out several levels at a time, so that a text is not read again for each of its levels.
+    """
+    opened = f"regexp_replace({bare}, {literal(ASSIGNED_OBJECT)}, '{OPENED}{{')"
+    coarse = _taken_out(opened, LEVELS, f"if(depth <= {LEVELS}, 0, cast(ceil(depth / {LEVELS}) as int))")
+    fine = _taken_out(coarse, 1, f"least(depth, {LEVELS})")
+    folded = f"element_at(transform(array({nesting(bare)}), depth -> {fine}), 1)"
+    arrows = f"replace({folded}, '=>', '{ARROW}')"
+    return f"aggregate(array_repeat(0, {TYPE_PASSES}), {arrows}, (t, _) -> regexp_replace(t, {literal(TYPE_LIST)}, ''))"
+
+
+def functions(bare: str, flat: str) -> str:
+    """Declared functions and variables that start as one, in the order in which the names come up."""
+    found = f"concat({captures(bare, FUNCTIONS)}, {_pieces(captures(flat, VARIABLES), VARIABLE_FUNCTION)})"
+    return f"array_intersect({captures(bare, INTRODUCED)}, {names(found)})"
+
+
 def _pieces(blocks: str, pattern: str) -> str:
     """Split each block at commas and keep what the pattern captures of each piece."""
     split = f"flatten(transform({blocks}, b -> split(b, ',')))"
@@ -132,12 +181,12 @@ def _when_found(text: str, pattern: str, name: str) -> str:
     return case({f"{text} rlike {literal(pattern)}": f"array('{name}')"}, NO_NAMES)
 
 
-def es_exports(bare: str) -> str:
+def es_exports(bare: str, flat: str) -> str:
     """Names of exported declarations and lists, ``default`` and ``*``."""
     parts = [
         _when_found(bare, EXPORT_DEFAULT, "default"),
         captures(bare, EXPORTED_DECLARATION),
-        _pieces(captures(bare, EXPORTED_VARIABLES), VARIABLE_NAME),
+        _pieces(captures(flat, EXPORTED_VARIABLES), VARIABLE_NAME),
         _pieces(captures(bare, EXPORTED_LIST), LISTED_NAME),
         captures(bare, EXPORTED_NAMESPACE),
         _when_found(bare, EXPORT_ALL, "*"),
@@ -145,17 +194,13 @@ def es_exports(bare: str) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def _object_keys(bare: str) -> str:
+def _object_keys(flat: str) -> str:
     """Keys of every object assigned as the module's exports; ``default`` for one without keys."""
-    flat = f"regexp_replace({bare}, {literal(ASSIGNED_OBJECT)}, {literal(OPENED)})"
-    fold = f"regexp_replace(t, {literal(INNERMOST)}, {literal(FOLDED)})"
-    flat = f"aggregate(array_repeat(0, {nesting(bare)}), {flat}, (t, _) -> {fold})"
     keys = f"filter({_pieces('array(body)', OBJECT_KEY)}, k -> k <> '')"
-    or_default = f"transform(transform({captures(flat, OBJECT_BODY)}, body -> {keys}), k -> if(size(k) > 0, k, array('default')))"
-    return case({f"{bare} rlike {literal(ASSIGNED_OBJECT)}": f"flatten({or_default})"}, NO_NAMES)
+    return f"flatten(transform(transform({captures(flat, OBJECT_BODY)}, body -> {keys}), k -> if(size(k) > 0, k, array('default'))))"
 
 
-def commonjs_exports(bare: str) -> str:
+def commonjs_exports(bare: str, flat: str) -> str:
     """Names given to ``module.exports``, ``exports.x`` and TypeScript's ``export =``.
 
     A value that is neither a name, a named definition nor an object counts as ``default``.
@@ -168,27 +213,25 @@ def commonjs_exports(bare: str) -> str:
     parts = [
         captures(bare, ASSIGNED_NAME),
         captures(bare, ASSIGNED_DEFINITION),
-        _object_keys(bare),
+        _object_keys(flat),
         case({f"{count(ASSIGNED)} > {known}": "array('default')"}, NO_NAMES),
         captures(bare, MEMBER),
     ]
     return f"concat({', '.join(parts)})"
 
 
-def exports(bare: str) -> str:
+def exports(bare: str, flat: str) -> str:
     # Most modules export in one way only, so each set of patterns runs where its word occurs.
-    es = case({f"contains({bare}, 'export')": es_exports(bare)}, NO_NAMES)
+    es = case({f"contains({bare}, 'export')": es_exports(bare, flat)}, NO_NAMES)
     assigned = f"contains({bare}, 'exports') or {bare} rlike {literal(ASSIGNED)}"
-    plain = f"regexp_replace({bare}, {literal(BRACKETED)}, '.$2')"
-    commonjs = case({assigned: commonjs_exports(plain)}, NO_NAMES)
-    return names(f"concat({es}, {commonjs})")
+    return names(f"concat({es}, {case({assigned: commonjs_exports(bare, flat)}, NO_NAMES)})")
 
 
-def fact_names(code: str, bare: str, fact: str) -> str:
+def fact_names(code: str, bare: str, flat: str, fact: str) -> str:
     if fact == "imports":
         return regex_matches(code, IMPORTS)
     if fact == "functions":
-        return regex_matches(bare, FUNCTIONS, 2)
+        return functions(bare, flat)
     if fact == "exports":
-        return exports(bare)
+        return exports(bare, flat)
     return regex_matches(bare, {"classes": CLASSES, "interfaces": INTERFACES}[fact])

@@ -13,6 +13,10 @@ from ..functions.fixed import DEFAULT_IGNORE, LANGUAGES, LEXICAL_LANGUAGES
 from ..functions.sqltext import NO_NAMES, case, literal
 
 
+#: Plain TypeScript files hold no JSX; what looks like it there are type arguments.
+NO_JSX = "not endswith(path, '.ts')"
+
+
 def ignore_patterns(extra: str | None = None) -> list[str]:
     """Default patterns followed by the comma-separated extras, each once."""
     extras = [p.strip() for p in (extra or "").split(",")]
@@ -65,13 +69,14 @@ def file_facts(files: DataFrame, mode: str = "lexical", languages: dict = LANGUA
     known = with_language(files.select("repo_id", "path", "content"), languages)
     if lexical:
         is_lexical = f"language in ({', '.join(map(literal, lexical))})"
-        known = known.withColumn("code", F.expr(case({is_lexical: lexical_extract.code_text("content")}, "null")))
+        known = known.withColumn("code", F.expr(case({is_lexical: lexical_extract.code_text("content", NO_JSX)}, "null")))
         known = known.withColumn("bare", F.expr(lexical_extract.bare_text("code")))
+        known = known.withColumn("flat", F.expr(lexical_extract.flat_text("bare")))
 
     def fact(kind: str, otherwise: str = NO_NAMES) -> Column:
         """Names by language; ``otherwise`` for languages that do not list this kind."""
         branches = {
-            f"language = {literal(name)}": lexical_extract.fact_names("code", "bare", kind)
+            f"language = {literal(name)}": lexical_extract.fact_names("code", "bare", "flat", kind)
             if name in lexical
             else regex_extract.fact_names("content", name, kind, languages)
             for name, spec in languages.items()

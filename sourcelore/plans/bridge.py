@@ -126,7 +126,36 @@ select 'r0' as repo_id, t.hash, f.file from (
 join (select p_partkey, {PATH} as file from part) f on f.p_partkey = t.pk
 """
 
+# Scripts that plain patterns read wrongly: code in templates, texts between tags, several declarators, typed functions.
+def _script(text: str) -> str:
+    """SQL for a text with ``%`` in the places of the part's key, line by line."""
+    lines = ["'" + line.replace("'", "''").replace("%", "', p.k, '") + "'" for line in text.strip().split("\n")]
+    return "concat(" + ", chr(10), ".join(lines) + ", chr(10))"
+
+
+SCRIPT = _script("""
+import lib% from 'lib%'; // import gone% from 'gone%';
+interface Options% { depth: number; }
+const first% = 1, later% = (x: number): { a: number } => ({ a: x }), plain% = call(1, y => 2);
+const nested% = <T extends Map<string, Array<number>>>(a = (b) => ({ c: 1 })): T => a
+const text% = `// ${require('in%')} and ${ready ? `deeper ${import('deep%')} don't` : ''} require('text%')`;
+function after%() { const inner% = async z => z; return "function quoted%() {} class Quoted% {}"; }
+class Kept% { method() {} }
+export const { u, v } = o, out% = f(1, 2), map%: Map<string, number> = new Map();
+""")
+# What only files with tags hold.
+TAGGED = _script("""
+function View%() { return <p title="it's">Don't do <i>http://x</i> import z from 'shown%'; {items.map(i => <b key={i}/>)}</p>; }
+var shown% = () => <View% then={() => require('attribute%')}>class Written% and // more</View%>, last% = function () {};
+""")
+SCRIPT_FILES = f"""
+select 'r0' as repo_id, concat('web/', p.stem, case p.pk % 3 when 0 then '.jsx' when 1 then '.tsx' else '.ts' end) as path,
+  case when p.pk % 3 = 2 then {SCRIPT} else concat({SCRIPT}, {TAGGED}) end as content
+from (select {SPREAD} {PART_FIELDS} from part) p
+"""
+
 ORACLE_VIEWS = {
+    "script_files": SCRIPT_FILES,
     "bulk_commit_files": BULK_COMMIT_FILES,
     "commit_files": DUCK_COMMIT_FILES,
     "commits": DUCK_COMMITS,
@@ -171,6 +200,10 @@ def brand_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, BRAND_CONFIGS)
 
 
+def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, SCRIPT_FILES)
+
+
 def layout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, LAYOUT_FILES)
 
