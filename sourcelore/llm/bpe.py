@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
@@ -22,8 +23,10 @@ from sourcelore.llm.common import column, packed, text_of
 SHORT = 96
 #: Words of one length that are scanned side by side.
 ABREAST = 4096
-#: Short words whose ids a task remembers at a time.
-MEMORY = 80_000
+#: Bytes, roughly, that the ids of short words which a task remembers may take.
+MEMORY = 24 << 20
+#: What a remembered word takes, and each of its ids.
+A_WORD, AN_ID = 250, 36
 #: Characters of text that are cut into words at a time (a longer text alone).
 CHUNK = 1 << 20
 #: Texts without a character from here on (Latin letters and their accents end here) are cut by the plain pattern.
@@ -93,6 +96,7 @@ class ByteBPE:
         self.western_words = re.compile(_word_pattern(*(_spelled_out(c, WESTERN) for c in classes))).findall
         self.other_letter = re.compile(rf"[^\0-{chr(WESTERN - 1)}]").search
         self.known: dict[str, list[int]] = {}
+        self.held = 0
         self.made_by = np.array(self.made, np.int64)
         pairs = np.array([left << ID_BITS | right for left, right in self.ranks], np.int64)
         order = pairs.argsort()
@@ -159,8 +163,9 @@ class ByteBPE:
 
     def _learn(self, words: set[str]) -> list[str]:
         """Make the ids of all these words known; returns the long ones, which are not worth keeping."""
-        if len(self.known) >= MEMORY:
+        if self.held >= MEMORY:
             self.known.clear()
+            self.held = 0
         new = list(words - self.known.keys())
         raw = [word.encode() for word in new]
         of_length: dict[int, list[int]] = {}
@@ -174,7 +179,9 @@ class ByteBPE:
                 continue
             for start in range(0, len(places), ABREAST):
                 some = places[start : start + ABREAST]
-                self.known.update(zip([new[i] for i in some], self._scan([raw[i] for i in some]), strict=True))
+                found = self._scan([raw[i] for i in some])
+                self.known.update(zip([new[i] for i in some], found, strict=True))
+                self.held += sum(A_WORD + AN_ID * len(ids) for ids in found)
         return long
 
     def _pieces(self, text: str) -> list[int | list[str]]:
@@ -266,17 +273,42 @@ def decoded(rows: DataFrame, ids_name: str = "ids", vocabulary: str | None = Non
     return _with(rows, column(ids_name), rows.columns, "decoded", T.StringType(), _described(vocabulary), "decode_all")
 
 
+def round_trip(docs: DataFrame, text_name: str = "text", vocabulary: str | None = None, carried: list[str] | None = None) -> DataFrame:
+    """Encoding and decoding in one pass: rows as ``encoded`` gives them, with ``n_tokens`` and digests of the ids and of their text.
+
+    Only one copy of the vocabulary is held for each core, and neither ids nor texts go through Python twice.
+    """
+    carried = [c for c in docs.columns if c != text_name] if carried is None else carried
+    described = _described(vocabulary)
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ByteBPE(described)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 50):
+                part = batch.slice(start, 50)
+                lists = model.encode_all(part.column("given"))
+                values, offsets = lists.values.to_numpy(), lists.offsets.to_pylist()
+                sizes, digests, texts = [], [], []
+                for a, b in zip(offsets, offsets[1:], strict=False):
+                    ids = values[a:b].tolist()
+                    sizes.append(b - a)
+                    digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                    texts.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), lists, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
+                    names=["row", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    taken = docs.select(packed(docs.select(*map(column, carried))).alias("row"), text_of(text_name).alias("given"))
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
+    made += [T.StructField(name, T.StringType()) for name in ("ids_sha256", "decoded_sha256")]
+    return taken.mapInArrow(convert, T.StructType([taken.schema["row"], *made]))
+
+
 def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Per document: number of tokens and digests of the ids and of the text they decode to.
 
     Null texts count as empty (no tokens); repeated rows give repeated results; an empty table gives none.
     """
     named = docs.select(column("doc_id").alias("doc_id"), column("text").alias("text"))
-    ids = encoded(named, "text", vocabulary).select(F.col("row.doc_id").alias("doc_id"), "ids")
-    back = decoded(ids, "ids", vocabulary)
-    return back.select(
-        F.col("row.doc_id").alias("doc_id"),
-        F.size("row.ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("row.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return round_trip(named, "text", vocabulary).select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
