@@ -458,6 +458,67 @@ QUERIES["risk_report"] = (
 )
 
 
+# Whole jobs, table by table and section by section.
+_FEATURES = f"{LAYOUT}, {_feature('facts')}"
+_KNOWN = LANGUAGE.format(p="path") + " is not null"
+_SCRIPTS = LANGUAGE.format(p="path") + " in ('javascript', 'typescript')"
+_COMPLEXITY_POINTS = "case when complexity > 20 then 3 when complexity > 10 then 2 when complexity > 5 then 1 else 0 end"
+
+
+def _first(query: str, limit: int, was: int = 10) -> tuple[str, str]:
+    """A ranked list cut at another place."""
+    expressions, select = QUERIES[query]
+    return expressions, select.replace(f"rank <= {was}", f"rank <= {limit}").replace(f"n - {was}", f"n - {limit}")
+
+
+QUERIES |= {
+    "analyze_edges": QUERIES["configured_import_edges"],
+    "analyze_partners": (
+        "brand_log as (select b.repo_id, c.hash, c.file from bulk_commit_files c join brand_files b on b.path = c.file), "
+        + CO_CHANGE.format(log="brand_log", threshold=0.3),
+        f"""select repo_id, path, file, count, round(correlation, 6) as correlation, rank from ranked where rank <= 5 and {_KNOWN}""",
+    ),
+    "analyze_total_files": ("", f"select repo_id, count(*) filter ({_KNOWN}) as total_files from single_files group by repo_id"),
+    "analysis_overview": (
+        "",
+        f"""select repo_id, count(*) filter ({_KNOWN}) as total_files,
+        count(*) filter ({_SCRIPTS} and contains(content, 'export const') and not {TEST_FILE.format(p='path')}
+          and not regexp_matches({BASENAME.format(p='path')}, '^(index|main|app)(\\.[^.]*)?$')) as dead_files,
+        coalesce(string_agg({LANGUAGE.format(p='path')}, ','), '') as languages from single_files group by repo_id""",
+    ),
+    "risk_report_summary": (
+        f"points as (select repo_id, {_COMPLEXITY_POINTS} as risk_score from (select repo_id, {COMPLEXITY.format(c='content')} as complexity from single_files where {_KNOWN}))",
+        """select repo_id, count(p.risk_score) as high_risk_files, round(avg(p.risk_score), 6) as average_score, cast(0 as bigint) as critical_files,
+        cast(0 as bigint) as high_files from (select distinct repo_id from single_files) r
+        left join (select * from points where risk_score >= 3) p using (repo_id) group by repo_id""",
+    ),
+    "documents_contributors": (
+        f"{LAYOUT}, {AUTHORS.format(log='layout_commit_files')}",
+        "select a.repo_id, a.path, a.rank, a.author, a.commits from authors a semi join facts f using (repo_id, path)",
+    ),
+    "documents_neighbours": (_resolution("layout_files"), QUERIES["call_graph"][1]),
+    "documents_feature_files": (_FEATURES, "select repo_id, name, path from feature_files"),
+    "documents_files": (ENRICHED, "select repo_id, path, language, lines, primary_author as primary, total_commits from enriched"),
+    "analysis_summary_languages": QUERIES["language_stats"],
+    "analysis_summary_top_contributors": _first("top_contributors", 5),
+    "analysis_summary_dead_code": QUERIES["dead_code_listing"],
+    "architecture_map_category_counts": QUERIES["category_counts"],
+    "architecture_map_entry_points": QUERIES["entry_points"],
+    "architecture_map_features": (_FEATURES, QUERIES["features"][1]),
+    "architecture_map_feature_files": (_FEATURES, QUERIES["feature_listing"][1]),
+    "architecture_map_key_dependencies": QUERIES["key_dependencies"],
+    "architecture_map_call_graph": (_resolution("layout_files"), QUERIES["call_graph"][1]),
+    "onboarding_entry_points": QUERIES["first_entry_points"],
+    "onboarding_core_files": _first("core_files", 5),
+    "onboarding_features": (_FEATURES, QUERIES["first_features"][1]),
+    "onboarding_test_files": (CATEGORIZED, "select repo_id, count(*) as test_files from categorized where category = 'tests' group by repo_id"),
+    "onboarding_test_directories": QUERIES["test_directories"],
+    "onboarding_config_files": QUERIES["config_files"],
+    "risk_report_top_risk_files": QUERIES["top_risk_files"],
+    "risk_report_critical_files": (QUERIES["high_risk_files"][0], f"select repo_id, path, risk_score, rank from ({QUERIES['high_risk_files'][1]}) where risk_score >= 10"),
+}
+
+
 def build() -> dict[str, str]:
     """Complete statements: the bridge views a query mentions, its own expressions, its SELECT."""
     statements = {}

@@ -87,8 +87,8 @@ class Tables:
         edges = imports.import_edges(imports.resolve_imports(facts, self.view("layout_files")), facts)
         return summary.enrich_files(
             facts,
-            history.ownership(self.authors()),
-            history.change_frequency(self.view("layout_commit_files")),
+            history.file_states(history.author_states(self.view("layout_commit_files"))),
+            None,
             graph.degrees(facts, edges),
             top_partners,
         )
@@ -215,6 +215,27 @@ def _analysis(t: Tables) -> Analysis:
     return analyze(t.view("layout_files"), t.view("layout_commit_files"), use_config=False)
 
 
+def _history_analysis(t: Tables) -> Analysis:
+    """Without partners, which take longest, for what does not show them."""
+    return analyze(t.view("layout_files"), t.view("layout_commit_files"), use_config=False, include_co_change=False)
+
+
+def _whole_analysis(t: Tables) -> Analysis:
+    """Configs, partners and all, over many repositories whose log has bulk commits."""
+    code = t.view("brand_files")
+    tree = code.unionByName(t.view("brand_configs"))
+    log = t.view("bulk_commit_files").join(code.select("repo_id", F.col("path").alias("file")), ["file"])
+    log = log.select(code["repo_id"], "hash", "file", F.lit("Ann").alias("author"), F.lit(None).cast("timestamp").alias("ts"), F.lit(0).cast("bigint").alias("log_pos"))
+    return analyze(tree, log)
+
+
+def _single(t: Tables) -> Analysis:
+    """One repository per part, some of them without anything to analyse."""
+    files_of = t.view("single_files")
+    log = files_of.select("repo_id", F.lit("c").alias("hash"), F.col("path").alias("file"), F.lit("Ann").alias("author"), F.lit(None).cast("timestamp").alias("ts"), F.lit(0).cast("bigint").alias("log_pos"))
+    return analyze(files_of, log, use_config=False, include_co_change=False)
+
+
 def _analysis_partners(t: Tables) -> DataFrame:
     partners = cochange.co_change(t.view("layout_commit_files"), LOW_THRESHOLD, 5, t.facts())
     return (
@@ -239,6 +260,15 @@ def _overview(report: dict[str, DataFrame]) -> DataFrame:
     return report["overview"].withColumn("languages", F.array_join("languages", ","))
 
 
+#: Sections of the reports that are tables as they stand.
+SECTIONS = {
+    reports.analysis_summary: ["languages", "top_contributors", "dead_code"],
+    reports.architecture_map: ["category_counts", "entry_points", "features", "feature_files", "key_dependencies", "call_graph"],
+    reports.onboarding: ["entry_points", "core_files", "features", "test_files", "test_directories", "config_files"],
+    reports.risk_report: ["top_risk_files", "critical_files"],
+}
+
+
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plans: dict[str, Callable[[Tables], DataFrame]] = {
         # Files and texts
@@ -326,6 +356,22 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "analyze_files": lambda t: _scalars(_analysis(t)["files"]),
         "architecture_map_core": lambda t: reports.architecture_map(_analysis(t))["core_files"],
         "onboarding_overview": lambda t: _overview(reports.onboarding(_analysis(t))),
+        "analyze_edges": lambda t: _whole_analysis(t)["edges"],
+        "analyze_partners": lambda t: _partners(_whole_analysis(t)["co_change"]),
+        "analyze_total_files": lambda t: _single(t)["total_files"],
+        "analysis_overview": lambda t: _overview(reports.analysis_summary(_single(t))),
+        "risk_report_summary": lambda t: _risk_summary(reports.risk_report(_single(t), 3)["summary"]),
+        "documents_contributors": lambda t: _history_analysis(t).documents()["contributors"],
+        "documents_neighbours": lambda t: _history_analysis(t).documents()["neighbours"],
+        "documents_feature_files": lambda t: _history_analysis(t).documents()["feature_files"],
+        "documents_files": lambda t: _history_analysis(t).documents()["files"].select(
+            "repo_id", "path", "language", "lines", F.col("ownership.primary").alias("primary"), F.col("ownership.total_commits").alias("total_commits")
+        ),
+        **{
+            f"{report.__name__}_{section}": lambda t, report=report, section=section: report(_history_analysis(t))[section]
+            for report, sections in SECTIONS.items()
+            for section in sections
+        },
         "risk_report": lambda t: reports.risk_report(_analysis(t), "4")["high_risk_files"],
     }
     return {name: (lambda spark, sf_dir, plan=plan: plan(Tables(spark, sf_dir))) for name, plan in plans.items()}

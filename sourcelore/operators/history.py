@@ -39,17 +39,51 @@ def commit_file_list(commit_files: DataFrame, commit: str | None = None) -> Data
     return distinct_touches(touches).select("repo_id", "hash", "file")
 
 
+def author_states(commit_files: DataFrame) -> DataFrame:
+    """Per file and author what ownership and frequency are made from, in one pass over the log.
+
+    Commits, and the first and last log row with its time. States of authors add up to that of their file.
+    """
+    row = F.struct("log_pos", "ts")
+    return commit_files.groupBy("repo_id", F.col("file").alias("path"), "author").agg(
+        F.count("*").alias("commits"), F.min(row).alias("newest"), F.max(row).alias("oldest")
+    )
+
+
+def ranked_authors(states: DataFrame) -> DataFrame:
+    """Commits per author of each file, ranked; ties go to the more recent author."""
+    order = Window.partitionBy("repo_id", "path").orderBy(F.desc("commits"), "newest.log_pos", "author")
+    return states.select(
+        "repo_id", "path", "author", "commits", F.row_number().over(order).cast("bigint").alias("rank")
+    )
+
+
+def file_states(states: DataFrame) -> DataFrame:
+    """Ownership and change frequency of each file, in one aggregate over its authors."""
+    files = states.groupBy("repo_id", "path").agg(
+        F.min_by("author", F.struct(-F.col("commits"), "newest.log_pos", "author")).alias("primary_author"),
+        F.sum("commits").alias("total_commits"),
+        F.count("*").alias("contributor_count"),
+        F.min("newest").alias("newest"),
+        F.max("oldest").alias("oldest"),
+    )
+    return files.select(
+        "repo_id", "path", "primary_author", "total_commits", "contributor_count", _frequency("total_commits").alias("change_frequency")
+    )
+
+
+def _frequency(commits: str) -> Column:
+    span = (F.col("newest.ts") - F.col("oldest.ts")).cast("interval second").cast("decimal(18,6)").cast("double")
+    return F.when((F.col(commits) >= 2) & (span > 0), F.col(commits) / (span / 86400.0)).otherwise(0.0)
+
+
 def file_authors(commit_files: DataFrame) -> DataFrame:
     """Commits per author of each file, ranked; ties go to the more recent author.
 
     Rows shrink to one per file and author before the window, so a file that holds a
     large part of the log still ranks only its distinct authors.
     """
-    per_author = commit_files.groupBy("repo_id", F.col("file").alias("path"), "author").agg(
-        F.count("*").alias("commits"), F.min("log_pos").alias("first_pos")
-    )
-    order = Window.partitionBy("repo_id", "path").orderBy(F.desc("commits"), "first_pos", "author")
-    return per_author.withColumn("rank", F.row_number().over(order).cast("bigint")).drop("first_pos")
+    return ranked_authors(author_states(commit_files))
 
 
 def ownership(authors: DataFrame) -> DataFrame:
@@ -97,17 +131,8 @@ def change_frequency(commit_files: DataFrame) -> DataFrame:
     Ends are taken in log order, not by date. Fewer than two commits, an unknown date or
     no positive span give 0.
     """
+    row = F.struct("log_pos", "ts")
     ends = commit_files.groupBy("repo_id", F.col("file").alias("path")).agg(
-        F.count("*").alias("commits"),
-        F.min_by("ts", "log_pos").alias("newest"),
-        F.max_by("ts", "log_pos").alias("oldest"),
-    )
-    span = (F.col("newest") - F.col("oldest")).cast("interval second").cast("decimal(18,6)").cast("double")
-    return ends.select(
-        "repo_id",
-        "path",
-        "commits",
-        F.when((F.col("commits") >= 2) & (span > 0), F.col("commits") / (span / 86400.0))
-        .otherwise(0.0)
-        .alias("change_frequency"),
+        F.count("*").alias("commits"), F.min(row).alias("newest"), F.max(row).alias("oldest")
     )
+    return ends.select("repo_id", "path", "commits", _frequency("commits").alias("change_frequency"))

@@ -168,7 +168,7 @@ def import_candidates(
     if config is None:
         return relative.select(*columns)
     other = configured_candidates(_other_imports(refs), config, aliases)
-    return relative.select(*columns).unionByName(refs.join(other, ["repo_id", "import"]).select(*columns))
+    return relative.select(*columns).unionByName(attach(refs, other, ["repo_id", "import"]).select(*columns))
 
 
 def resolve_imports(

@@ -16,21 +16,21 @@ def _zero(name: str) -> Column:
 def enrich_files(
     facts: DataFrame,
     ownership: DataFrame,
-    frequency: DataFrame,
+    frequency: DataFrame | None,
     degrees: DataFrame,
     top_partners: DataFrame | None = None,
 ) -> DataFrame:
     """Facts with history, graph degrees and the strongest co-change partners of each file.
 
-    Files without history are owned by ``Unknown`` and never change. Without
+    Files without history are owned by ``Unknown`` and never change. Without ``frequency``
+    it is taken from ``ownership``, as ``history.file_states`` gives both. Without
     ``top_partners`` (ranked, a few per file) every partner list is empty.
     """
     key = ["repo_id", "path"]
-    joined = (
-        facts.join(ownership, key, "left")
-        .join(frequency.select(*key, "change_frequency"), key, "left")
-        .join(degrees, key, "left")
-    )
+    joined = facts.join(ownership, key, "left")
+    if frequency is not None:
+        joined = joined.join(frequency.select(*key, "change_frequency"), key, "left")
+    joined = joined.join(degrees, key, "left")
     partner = "array<struct<file:string,count:bigint,correlation:double>>"
     if top_partners is None:
         joined = joined.withColumn("co_changed_files", F.array().cast(partner))
@@ -59,8 +59,19 @@ def enrich_files(
     )
 
 
-def total_files(files: DataFrame) -> DataFrame:
-    return files.groupBy("repo_id").agg(F.count("*").alias("total_files"))
+def on_every(repositories: DataFrame | None, table: DataFrame, counts: list[str]) -> DataFrame:
+    """A table with one row per repository, with a row for each given repository that it lacks: ``counts`` are 0 there.
+
+    Without ``repositories`` (repo_id) the table stays as it is.
+    """
+    if repositories is None:
+        return table
+    given = repositories.select("repo_id").distinct().join(table, "repo_id", "left")
+    return given.select("repo_id", *[_zero(c) if c in counts else F.col(c) for c in table.columns if c != "repo_id"])
+
+
+def total_files(files: DataFrame, repositories: DataFrame | None = None) -> DataFrame:
+    return on_every(repositories, files.groupBy("repo_id").agg(F.count("*").alias("total_files")), ["total_files"])
 
 
 def language_stats(files: DataFrame) -> DataFrame:
@@ -166,22 +177,25 @@ def config_files(categorized: DataFrame) -> DataFrame:
     return categorized.filter(F.col("category") == "config").select("repo_id", "path")
 
 
-def overview(files: DataFrame, dead: DataFrame) -> DataFrame:
-    """Per repository: number of files, of unused files, and the languages in use."""
+def overview(files: DataFrame, dead: DataFrame, repositories: DataFrame | None = None) -> DataFrame:
+    """Per repository: number of files, of unused files, and the languages in use (none where there is no file)."""
     # Languages are a handful per repository, so the set is small.
     per_repo = files.groupBy("repo_id").agg(
         F.count("*").alias("total_files"), F.array_sort(F.collect_set("language")).alias("languages")
     )
     unused = dead.groupBy("repo_id").agg(F.count("*").alias("dead_files"))
-    return per_repo.join(unused, "repo_id", "left").select(
-        "repo_id", "total_files", F.coalesce("dead_files", F.lit(0)).cast("bigint").alias("dead_files"), "languages"
-    )
+    rows = per_repo.join(unused, "repo_id", "left").select("repo_id", "total_files", _zero("dead_files"), "languages")
+    no_languages = F.array().cast("array<string>")
+    return on_every(repositories, rows, ["total_files", "dead_files"]).withColumn("languages", F.coalesce("languages", no_languages))
+
 
+def risk_summary(scored: DataFrame, threshold: int = 5, repositories: DataFrame | None = None) -> DataFrame:
+    """Number and mean score of the files at or above the threshold, and of the two worst bands.
 
-def risk_summary(scored: DataFrame, threshold: int = 5) -> DataFrame:
-    """Number and mean score of the files at or above the threshold, and of the two worst bands."""
+    Given ``repositories`` without such a file have a row too, with no mean.
+    """
     score = F.col("risk_score")
-    return (
+    rows = (
         scored.filter(score >= threshold)
         .groupBy("repo_id")
         .agg(
@@ -191,3 +205,4 @@ def risk_summary(scored: DataFrame, threshold: int = 5) -> DataFrame:
             F.count_if((score >= 7) & (score < 10)).alias("high_files"),
         )
     )
+    return on_every(repositories, rows, ["high_risk_files", "critical_files", "high_files"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import cochange, files as file_ops, graph, history, imports, summary
 from ..sources import config as configs
-from ..sources.sinks import nested_features, nested_files
+from ..sources.sinks import document_tables
 
 
 @dataclass(frozen=True)
@@ -34,11 +34,8 @@ class Analysis(Mapping):
             table.unpersist()
 
     def documents(self) -> dict[str, DataFrame]:
-        """Files and features in document form, with their lists nested."""
-        return {
-            "files": nested_files(self["files"], self["file_authors"], self["call_graph"]),
-            "features": nested_features(summary.feature_files(self["files"])),
-        }
+        """The analysis as documents: files and features, and a table with one row per item for each of their lists."""
+        return document_tables(self)
 
 
 def _keep(table: DataFrame, workdir: str | None, name: str) -> DataFrame:
@@ -60,6 +57,7 @@ def analyze(
     repo_paths: DataFrame | None = None,
     use_config: bool = True,
     workdir: str | None = None,
+    repositories: DataFrame | None = None,
 ) -> Analysis:
     """Analyse source texts (repo_id, path, content) and their commit log together.
 
@@ -67,7 +65,10 @@ def analyze(
     ``use_config`` the path configs among ``files`` resolve aliases; finding inherited
     configs takes one small job per level.
 
-    Facts, edges, authors, partners and enriched files, which the other tables are made from, are
+    ``repositories`` (repo_id) lists those that reports speak of even when nothing in them is
+    analysed; without it these are the repositories of ``files``. The log is read once.
+
+    Facts, edges, the log's columns, authors, partners and enriched files, which the other tables are made from, are
     written to ``workdir``, a folder the whole cluster reaches. Without one they are
     persisted when first used, until ``Analysis.release``.
     """
@@ -81,17 +82,22 @@ def analyze(
         aliases = configs.path_aliases(chain, config)
     edges = imports.import_edges(imports.resolve_imports(facts, existing, config, aliases), facts)
     edges = _keep(edges, workdir, "edges")
-    authors = _keep(history.file_authors(commit_files), workdir, "file_authors")
+    # Whatever parses the log does so once: all that is made from it starts at these columns.
+    log = commit_files.select("repo_id", "hash", "file", "author", "ts", "log_pos")
+    if include_co_change:
+        log = _keep(log, workdir, "commit_files")
+    states = _keep(history.author_states(log), workdir, "author_states")
+    authors = history.ranked_authors(states)
 
     degrees = graph.degrees(facts, edges)
     partners = None
     if include_co_change:
-        partners = _keep(cochange.top_co_change(commit_files, targets=facts), workdir, "co_change")
-    enriched = summary.enrich_files(
-        facts, history.ownership(authors), history.change_frequency(commit_files), degrees, partners
-    )
+        partners = _keep(cochange.top_co_change(log, targets=facts), workdir, "co_change")
+    enriched = summary.enrich_files(facts, history.file_states(states), None, degrees, partners)
     enriched = _keep(enriched, workdir, "files")
+    known = files.select("repo_id") if repositories is None else repositories.select("repo_id")
     tables = {
+        "repositories": known.distinct(),
         "files": enriched,
         "file_facts": facts,
         "edges": edges,
@@ -102,8 +108,9 @@ def analyze(
         "ownership": history.ownership_of(facts, authors),
         "languages": summary.language_stats(facts),
         "contributors": summary.contributor_stats(facts, authors),
-        "total_files": summary.total_files(facts),
+        "total_files": summary.total_files(facts, known),
     }
     if partners is not None:
-        tables["co_change"] = partners
+        tables |= {"co_change": partners, "commit_files": log}
+    tables["author_states"] = states
     return Analysis(tables)

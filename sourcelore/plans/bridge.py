@@ -154,7 +154,15 @@ select 'r0' as repo_id, concat('web/', p.stem, case p.pk % 3 when 0 then '.jsx'
 from (select {SPREAD} {PART_FIELDS} from part) p
 """
 
+# Every part a repository of its own; those that hold a note only have nothing to analyse.
+SINGLE_FILES = f"""
+select concat('part-', p.k) as repo_id, p.category_path as path, {_code("concat('./', q.stem)")} as content
+from (select {SPREAD} {PART_FIELDS} from part) p
+join (select {PART_FIELDS} from part) q on q.pk = cast(floor(p.pk / 8.0) as bigint)
+"""
+
 ORACLE_VIEWS = {
+    "single_files": SINGLE_FILES,
     "script_files": SCRIPT_FILES,
     "bulk_commit_files": BULK_COMMIT_FILES,
     "commit_files": DUCK_COMMIT_FILES,
@@ -200,6 +208,10 @@ def brand_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, BRAND_CONFIGS)
 
 
+def single_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, SINGLE_FILES)
+
+
 def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, SCRIPT_FILES)
 

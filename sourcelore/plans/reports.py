@@ -13,7 +13,7 @@ from ..operators import listings, summary
 def analysis_summary(analysis: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Sections of the plain analysis report."""
     return {
-        "overview": summary.overview(analysis["files"], analysis["dead_code"]),
+        "overview": summary.overview(analysis["files"], analysis["dead_code"], analysis["repositories"]),
         "languages": analysis["languages"],
         "top_contributors": listings.top_contributors(analysis["contributors"], 5),
         "dead_code": listings.dead_code_listing(analysis["dead_code"]),
@@ -25,7 +25,7 @@ def architecture_map(analysis: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     categorized = summary.categorize(analysis["files"])
     grouped = summary.feature_files(analysis["files"])
     return {
-        "overview": summary.overview(analysis["files"], analysis["dead_code"]),
+        "overview": summary.overview(analysis["files"], analysis["dead_code"], analysis["repositories"]),
         "categories": categorized,
         "category_counts": summary.category_counts(categorized),
         "entry_points": listings.entry_points(categorized),
@@ -42,7 +42,7 @@ def onboarding(analysis: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     categorized = summary.categorize(analysis["files"])
     tests = categorized.filter(F.col("category") == "tests")
     return {
-        "overview": summary.overview(analysis["files"], analysis["dead_code"]),
+        "overview": summary.overview(analysis["files"], analysis["dead_code"], analysis["repositories"]),
         "languages": summary.language_percentages(analysis["languages"]),
         "entry_points": listings.entry_points(categorized, 5),
         "core_files": listings.core_files(categorized, 5),
@@ -62,6 +62,6 @@ def risk_report(analysis: Mapping[str, DataFrame], threshold: str | int | None =
     return {
         "high_risk_files": ranked,
         "top_risk_files": listings.top_risk_files(scored, value),
-        "summary": summary.risk_summary(scored, value),
+        "summary": summary.risk_summary(scored, value, analysis["repositories"]),
         "critical_files": ranked.filter(F.col("risk_score") >= 10).select("repo_id", "path", "risk_score", "rank"),
     }

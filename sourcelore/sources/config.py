@@ -36,65 +36,71 @@ def _parsed(configs: DataFrame) -> DataFrame:
     )
 
 
+def parsed_configs(files: DataFrame) -> DataFrame:
+    """Every file that may be a path config with its fields: one pass over the texts.
+
+    A text without any of the words that a config is read for has no effect as one, unless it is a root config, which
+    hides the other one.
+    """
+    text = F.col("content")
+    telling = text.contains("extends") | text.contains("compilerOptions") | text.contains("\\u")
+    config_like = files.filter(language_of(F.col("path")).isNull() & (F.col("path").isin(ROOT_CONFIGS) | telling))
+    return _parsed(config_like.select("repo_id", "path", "content"))
+
+
 def config_chain(files: DataFrame, repo_paths: DataFrame | None = None) -> DataFrame:
     """Every config that applies to a repository, in the order in which they are laid over each other.
 
     ``files`` holds (repo_id, path, content) of all files, ``repo_paths`` the paths that
     exist. Inherited configs come first; a config reached twice counts once, where it is met
-    first. The loop takes one step per level of inheritance and ends when none is left.
+    first. Texts are read and parsed once; the loop over the small table of configs takes one
+    step per level of inheritance, goes on from a config only where it is met earlier than
+    before, and so ends in cycles too.
     """
-    known = files.filter(language_of(F.col("path")).isNull())
     existing = (files if repo_paths is None else repo_paths).select("repo_id", "path")
-    texts = known.select("repo_id", "path", "content")
+    # One small row per config, written out, so that no step reads a text again or repeats the steps before.
+    ensure_checkpoint_dir(files.sparkSession)
+    configs = parsed_configs(files).checkpoint()
 
-    roots = _parsed(texts.filter(F.col("path").isin(ROOT_CONFIGS)))
+    roots = configs.filter(F.col("path").isin(ROOT_CONFIGS))
     # The first root config that can be read wins.
     chosen = roots.groupBy("repo_id").agg(F.max("path").alias("path"))
-    level = roots.join(chosen, ["repo_id", "path"], "left_semi").select(
-        "*", F.array().cast("array<int>").alias("place"), F.array("path").alias("through")
-    )
-    # One small row per config. Written out per level, so that no level repeats the ones before.
-    ensure_checkpoint_dir(files.sparkSession)
-    level = level.checkpoint()
+    level = chosen.withColumn("place", F.array().cast("array<int>")).checkpoint()
     found = level
     while True:
         folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-        links = level.select("repo_id", "path", "place", "through", F.posexplode("extends").alias("ord", "value")).filter(
-            F.col("value").startswith(".")
+        links = level.join(configs, ["repo_id", "path"]).select(
+            "repo_id", "path", "place", F.posexplode("extends").alias("ord", "value")
         )
         base = paths.join_path(folder, F.col("value"))
         below = F.when(base == "", "").otherwise(F.concat(base, F.lit("/")))
-        spelled = links.withColumn("base", base).select(
+        spelled = links.filter(F.col("value").startswith(".")).withColumn("base", base).select(
             "repo_id",
             F.concat("place", F.array("ord")).alias("place"),
-            "through",
             F.posexplode(
                 F.array(
                     base, F.concat(base, F.lit(".json")), *[F.concat(below, F.lit(name)) for name in ROOT_CONFIGS]
                 )
             ).alias("spelling", "path"),
         )
-        first = (
+        named = (
             spelled.join(existing, ["repo_id", "path"], "left_semi")
-            .filter(~F.array_contains("through", F.col("path")))
-            .groupBy("repo_id", "place", "through")
+            .groupBy("repo_id", "place")
             .agg(F.min_by("path", "spelling").alias("path"))
         )
-        level = (
-            _parsed(first.join(texts, ["repo_id", "path"]))
-            .withColumn("through", F.concat("through", F.array("path")))
-            .checkpoint()
-        )
+        first = named.join(configs.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+        first = first.groupBy("repo_id", "path").agg(F.min("place").alias("place"))
+        known = found.groupBy("repo_id", "path").agg(F.min("place").alias("known"))
+        earlier = first.join(known, ["repo_id", "path"], "left").filter(F.col("known").isNull() | (F.col("place") < F.col("known")))
+        level = earlier.select("repo_id", "path", "place").checkpoint()
         if level.isEmpty():
             break
         found = found.unionByName(level)
     once = found.groupBy("repo_id", "path").agg(F.min("place").alias("place"))
     # Depth-first order with parents ahead of the config that extends them.
     after_parents = F.concat("place", F.array(F.lit(2**31 - 1)))
-    return (
-        found.join(once, ["repo_id", "path", "place"], "left_semi")
-        .withColumn("layer", after_parents)
-        .select("repo_id", "path", "layer", "base_url_raw", "paths")
+    return once.join(configs, ["repo_id", "path"]).select(
+        "repo_id", "path", after_parents.alias("layer"), "base_url_raw", "paths"
     )
 
 

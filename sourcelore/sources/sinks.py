@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.nesting import PAGE_SIZE, paged_lists
+from ..operators.summary import feature_files
 
 
 def write_tables(tables: Mapping[str, DataFrame], directory: str, format: str = "parquet", mode: str = "overwrite") -> None:
@@ -16,64 +16,29 @@ def write_tables(tables: Mapping[str, DataFrame], directory: str, format: str =
         table.write.mode(mode).format(format).save(f"{directory}/{name}")
 
 
-write_report_sections = write_tables
+def write_report_sections(report: Mapping[str, DataFrame], directory: str, format: str = "json", mode: str = "overwrite") -> None:
+    """Write the sections of a report, each sorted by its repository and rank, as one folder per section."""
+    for name, section in report.items():
+        order = [c for c in ("repo_id", "rank", "path", "name") if c in section.columns]
+        write_tables({name: section.repartitionByRange(*order).sortWithinPartitions(*order)}, directory, format, mode)
 
 
-def nested_files(
-    files: DataFrame, authors: DataFrame, call_graph: DataFrame, page_size: int = PAGE_SIZE
-) -> DataFrame:
-    """Files in document form, with contributors, co-changed files and graph neighbours as lists.
+def document_tables(analysis: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Files and features in document form.
 
-    A file has one row, ``page`` 0, unless one of its lists is longer than ``page_size``: the
-    list then goes on in further rows of the file that repeat nothing else. Contributors are
-    in rank order, neighbours by name.
+    A file's few co-changed files are a list in its row. Contributors, neighbours in the import graph and the files of a
+    feature may be very many, so they are tables of their own with one row per item, by the key of what they belong to.
     """
+    files = analysis["files"]
     key = ["repo_id", "path"]
-    page = F.floor((F.col("rank") - 1) / page_size).cast("bigint").alias("page")
-    ranked = F.sort_array(F.collect_list(F.struct("rank", "author", "commits")))
-    contributors = (
-        authors.groupBy(*key, page)
-        .agg(ranked.alias("ranked"))
-        .select(
-            *key,
-            "page",
-            F.transform(
-                "ranked", lambda a: F.struct(a["author"].alias("author"), a["commits"].alias("commits"))
-            ).alias("contributors"),
-        )
-    )
-
-    def neighbours(direction: str, name: str) -> DataFrame:
-        rows = call_graph.filter(F.col("direction") == direction)
-        return paged_lists(rows, key, F.col("other"), name, page_size)
-
-    lists = contributors.join(neighbours("calls", "calls"), [*key, "page"], "full").join(
-        neighbours("calledBy", "called_by"), [*key, "page"], "full"
-    )
-    no_names = F.array().cast("array<string>")
-    heads = files.withColumn("page", F.lit(0).cast("bigint"))
-    # Every file has its page 0; further pages exist only for files that are analysed.
-    pages = lists.join(files.select(*key), key, "left_semi")
-    facts = [c for c in files.columns if c not in (*key, "primary_author", "total_commits", "co_changed_files")]
-    return heads.join(pages, [*key, "page"], "full").select(
-        *key,
-        "page",
-        *facts,
-        F.struct(
-            F.col("primary_author").alias("primary"),
-            F.coalesce("contributors", F.array().cast("array<struct<author:string,commits:bigint>>")).alias("contributors"),
-            "total_commits",
-        ).alias("ownership"),
-        "co_changed_files",
-        F.struct(
-            F.coalesce("calls", no_names).alias("calls"), F.coalesce("called_by", no_names).alias("called_by")
-        ).alias("call_graph_info"),
-    )
-
-
-def nested_features(feature_files: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Features with their files as lists, in pages."""
-    counts = feature_files.groupBy("repo_id", "name").agg(F.count("*").alias("file_count"))
-    return counts.join(
-        paged_lists(feature_files, ["repo_id", "name"], F.col("path"), "files", page_size), ["repo_id", "name"]
-    )
+    facts = [c for c in files.columns if c not in (*key, "primary_author", "total_commits")]
+    owner = F.struct(F.col("primary_author").alias("primary"), "total_commits")
+    analysed = files.select(*key)
+    grouped = feature_files(files)
+    return {
+        "files": files.select(*key, *facts, owner.alias("ownership")),
+        "contributors": analysis["file_authors"].join(analysed, key, "left_semi").select(*key, "rank", "author", "commits"),
+        "neighbours": analysis["call_graph"].select(*key, "direction", "other", "import"),
+        "features": grouped.groupBy("repo_id", "name").agg(F.count("*").alias("file_count")),
+        "feature_files": grouped.select("repo_id", "name", "path"),
+    }

@@ -16,6 +16,8 @@ NAMES = [
     "filter_ignored",
     "names_regex",
     "names_lexical",
+    "names_regex_scripts",
+    "names_lexical_scripts",
     "expand_candidates",
     "import_edges",
     "dead_code",
@@ -25,11 +27,18 @@ NAMES = [
     "recently_modified",
     "change_frequency",
     "co_change",
+    "co_change_bulk",
     "co_change_top",
     "contributor_stats",
     "category_counts",
     "feature_listing",
     "high_risk_files",
+    "analyze_edges",
+    "analyze_total_files",
+    "analysis_overview",
+    "risk_report_summary",
+    "documents_files",
+    "documents_neighbours",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="benchmark tables are not here")

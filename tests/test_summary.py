@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourcelore import analyze, architecture_map, onboarding, risk_report
-from sourcelore.operators import listings, nesting, summary
+from sourcelore.operators import listings, summary
 from sourcelore.operators.joins import attach
 from sourcelore.plans.reports import analysis_summary
 from sourcelore.sources import files as file_sources
@@ -83,16 +83,6 @@ def test_limits_and_remainders(spark):
         assert listings.threshold_value(option) == value
 
 
-def test_pages_keep_every_item(spark):
-    rows = spark.range(1_000).select(
-        F.lit("r").alias("repo_id"), F.when(F.col("id") < 990, "hot").otherwise(F.col("id").cast("string")).alias("path"), "id"
-    )
-    pages = nesting.paged_lists(rows, ["repo_id", "path"], F.col("id"), "ids", 100).collect()
-    hot = [r["ids"] for r in pages if r["path"] == "hot"]
-    assert len(hot) > 5 and sorted(i for ids in hot for i in ids) == list(range(990)) and max(map(len, hot)) < 200
-    assert all(r["page"] == 0 and len(r["ids"]) == 1 for r in pages if r["path"] != "hot")
-
-
 def test_attach_splits_a_hot_key(spark):
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -187,26 +177,40 @@ def test_reports(analysis, tmp_path):
 
 def test_documents(spark, analysis, tmp_path):
     sinks.write_tables(analysis.documents(), str(tmp_path), "json")
-    rows = {}
-    for part in (tmp_path / "files").glob("part-*"):
-        for line in part.read_text().splitlines():
-            row = json.loads(line)
-            rows[row["path"]] = row
-    core = rows["src/core.js"]
-    assert core["ownership"] == {
-        "primary": "Ann",
-        "contributors": [{"author": "Ann", "commits": 2}, {"author": "Bob", "commits": 1}],
-        "total_commits": 3,
-    }
-    assert core["call_graph_info"] == {"calls": [], "called_by": ["src/auth/login.js", "src/index.js", "tests/core.test.js"]}
-    assert rows["src/auth/unused.js"]["ownership"]["contributors"] == [] and core["page"] == 0
-    features = spark.read.json(str(tmp_path / "features")).collect()
-    assert [(r["name"], r["files"]) for r in features] == [("auth", ["src/auth/login.js", "src/auth/unused.js"])]
-
-    small = sinks.nested_files(analysis["files"], analysis["file_authors"], analysis["call_graph"], page_size=1)
-    pages = small.filter("path = 'src/core.js'").collect()
-    assert sum(r["ownership"]["total_commits"] or 0 for r in pages) == 3 and len(pages) > 1
-    assert sorted(n for r in pages for n in r["call_graph_info"]["called_by"]) == core["call_graph_info"]["called_by"]
+    read = lambda name: [r.asDict(True) for r in spark.read.json(str(tmp_path / name)).collect()]
+    files = {r["path"]: r for r in read("files")}
+    assert files["src/core.js"]["ownership"] == {"primary": "Ann", "total_commits": 3}
+    assert len(files) == 6 and "page" not in files["src/core.js"]
+    of = lambda name, path: [r for r in read(name) if r["path"] == path]
+    assert sorted((r["rank"], r["author"], r["commits"]) for r in of("contributors", "src/core.js")) == [(1, "Ann", 2), (2, "Bob", 1)]
+    assert of("contributors", "src/auth/unused.js") == [] == of("contributors", "gone.js")
+    assert sorted((r["direction"], r["other"]) for r in of("neighbours", "src/core.js")) == [
+        ("calledBy", "src/auth/login.js"), ("calledBy", "src/index.js"), ("calledBy", "tests/core.test.js"),
+    ]
+    assert [(r["name"], r["file_count"]) for r in read("features")] == [("auth", 2)]
+    assert sorted(r["path"] for r in read("feature_files")) == ["src/auth/login.js", "src/auth/unused.js"]
+
+
+def test_repositories_without_files_have_rows(spark, source_files):
+    given = spark.createDataFrame([("r",), ("bare",)], "repo_id string")
+    history = log(spark, [("c1", "a", 0, ["a.md"])])
+    result = analyze(source_files({"a.md": ""}), history, use_config=False, repositories=given)
+    assert {tuple(r) for r in result["total_files"].collect()} == {("r", 0), ("bare", 0)}
+    assert sorted(tuple(r) for r in analysis_summary(result)["overview"].collect()) == [("bare", 0, 0, []), ("r", 0, 0, [])]
+    assert sorted(tuple(r) for r in risk_report(result)["summary"].collect()) == [("bare", 0, None, 0, 0), ("r", 0, None, 0, 0)]
+    result.release()
+
+
+def test_one_scan_of_the_log_for_owners_and_frequency(spark):
+    from sourcelore.operators import history as history_ops
+
+    table = log(spark, [("c3", "b", 4, ["x"]), ("c2", "a", 2, ["x", "y"]), ("c1", "a", 0, ["x"])])
+    states = history_ops.file_states(history_ops.author_states(table))
+    got = {r["path"]: tuple(r)[2:] for r in states.collect()}
+    frequency = {r["path"]: r["change_frequency"] for r in history_ops.change_frequency(table).collect()}
+    owners = {r["path"]: (r["primary_author"], r["total_commits"], r["contributor_count"]) for r in history_ops.ownership(history_ops.file_authors(table)).collect()}
+    assert got == {p: (*owners[p], frequency[p]) for p in owners} and got["x"][:3] == ("a", 3, 2)
+    assert states._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
 
 
 def test_workdir(spark, source_files, tmp_path):
