@@ -24,22 +24,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the largest id."""
     return exact_dedup.deduplicated(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; null and empty texts stay."""
     return jaccard_join.without_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, each as often as it takes it."""
     return mixing.mixture(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, the token ids of each document of the mix, their number, and a digest of the text they decode to."""
-    ids = bpe.encoded(docs, carried=["doc_id", "source", "lang"]).select("row.*", "ids")
-    back = bpe.decoded(ids)
-    return back.select("row.*", F.size("row.ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = bpe.round_trip(docs, carried=["doc_id", "source", "lang"])
+    return made.select("row.*", "ids", "n_tokens", "decoded_sha256")
 
 
 STAGES = [
