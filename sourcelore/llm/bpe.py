@@ -24,7 +24,7 @@ SHORT = 96
 #: Words of one length that are scanned side by side.
 ABREAST = 4096
 #: Bytes, roughly, that the ids of short words which a task remembers may take.
-MEMORY = 24 << 20
+MEMORY = 48 << 20
 #: What a remembered word takes, and each of its ids.
 A_WORD, AN_ID = 250, 36
 #: Characters of text that are cut into words at a time (a longer text alone).
@@ -284,8 +284,8 @@ def round_trip(docs: DataFrame, text_name: str = "text", vocabulary: str | None
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ByteBPE(described)
         for batch in batches:
-            for start in range(0, batch.num_rows, 50):
-                part = batch.slice(start, 50)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 lists = model.encode_all(part.column("given"))
                 values, offsets = lists.values.to_numpy(), lists.offsets.to_pylist()
                 sizes, digests, texts = [], [], []
