@@ -51,7 +51,7 @@ def family_of(language: str) -> str:
 def _letters() -> np.ndarray:
     """For each code point its lower-case letter, or a space for what is no letter."""
     table = np.full(0x110000, 32, np.int64)
-    for point in range(0x30000):
+    for point in range(0x110000):
         char = chr(point)
         if char.isalpha():
             table[point] = ord(char.lower()[0])
