@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcelore.llm.common import column, settle
+from sourcelore.operators.joins import attach
 
 SHARDS = 24
 #: Metadata a cut may follow. The id comes last, so that other dimensions win ties.
@@ -45,9 +46,17 @@ def _measured(docs: DataFrame, id_name: str, text_name: str, source_name: str, l
         F.log2(size.cast("double")).alias("d_size"),
         F.coalesce(key.cast("double"), F.lit(-1.0)).alias("d_id"),
         F.xxhash64(key, text).alias("tie"),
+        F.monotonically_increasing_id().alias("number"),
     )
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Rows that repeat an id and a text get ties of their own, from the numbers that a checkpoint has fixed."""
+    repeated = rows.groupBy("tie").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    own = F.when(F.col("copies").isNotNull(), F.xxhash64("tie", "number")).otherwise(F.col("tie"))
+    return attach(rows, repeated, ["tie"], "left").withColumn("tie", own).drop("number", "copies")
+
+
 def _halves(node: _Node) -> tuple[_Node, _Node]:
     left = node.shards // 2
     return _Node(node.first, left), _Node(node.first + left, node.shards - left)
@@ -63,7 +72,7 @@ def _places(rows: DataFrame) -> DataFrame:
         low, high = ends[f"min_{d}"] or 0.0, ends[f"max_{d}"] or 0.0
         scaled = F.floor((F.col(f"d_{d}") - low) / (high - low) * top) if high > low else F.lit(0).cast("long")
         places[f"p_{d}"] = F.shiftleft(scaled, PLACE_BITS) + low_bits
-    return rows.select("doc_id", "size", "text_crc32", "tie", *[c.alias(name) for name, c in places.items()])
+    return _told_apart(rows).select("doc_id", "size", "text_crc32", "tie", *[c.alias(name) for name, c in places.items()])
 
 
 def _cut_level(rows: DataFrame, level: list[_Node]) -> dict[_Node, tuple[str, int]]:
@@ -128,9 +137,10 @@ def sharded(
 
     Every node of the tree is cut along the dimension (source, language, size, id) in which its rows lie farthest
     apart, where the bytes on both sides are as its numbers of shards. Equal places are told apart by a hash of id
-    and text, so any one value may hold most of the rows. The law is ``bytes``: shards differ by about one document.
-    Slots number the rows of a shard without gaps, in groups whose sizes are summed up first. Null texts have
-    8 bytes; null ids and repeated rows are placed like others; an empty table gives an empty result.
+    and text, and rows that repeat both by their number, so any one value or row may hold most of the table.
+    The law is ``bytes``: shards differ by about one document. Slots number the rows of a shard without gaps, in
+    groups whose sizes are summed up first. Null texts have 8 bytes; null ids are placed like others; a text of any
+    length counts with all its bytes, and one longer than a shard leaves others short; an empty table gives an empty result.
     """
     rows = _with_shards(_places(settle(_measured(docs, id_name, text_name, source_name, lang_name))), shards)
     total = rows.count()
