@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,10 +124,47 @@ def test_vectors(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     found = [(r.query_id, r["rank"], r.vec_id, r.score) for r in vector_search.top_k(frame).orderBy("query_id", "rank").collect()]
     one = 1024 * 1024
-    assert found == [(0, 1, 1, one), (0, 2, 2, one), (0, 3, 3, -one), (200, 1, 9, 2 * one)]
+    twice = [(0, 1, 0, one), (0, 2, 1, one), (0, 3, 2, one), (0, 4, 3, -one)]
+    assert found == sorted(twice * 2, key=lambda r: r[1]) + [(200, 1, 9, 2 * one)]
     assert vector_search.top_k(frame.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rng = random.Random(5)
+    rows = [(i // 2, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(402)]
+    rows += [(i, [0.0] * 4) for i in (100, 100, 300, 301)] + [(100, rows[3][1])]
+    found = [tuple(r) for r in vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), k=5).collect()]
+    ints = [[math.floor(1024 * x) for x in v] for _, v in rows]
+    want = []
+    for q, (query_id, _) in enumerate(rows):
+        if query_id % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(ints[q], ints[v])), rows[v][0]) for v in range(len(rows)) if v != q)[:5]
+            want += [(query_id, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(found) == sorted(want)
+
+
+def test_a_query_of_zeros_keeps_few_candidates():
+    cells = pd.DataFrame({"rep": range(3000), "least_id": range(3000), "copies": 1, "cells": [[i % 200, i % 7] for i in range(3000)]})
+    queries = pd.DataFrame({"query": [0, 5], "numbers": [[0, 0], [300, -20]]})
+    kept = vector_search._bounds(10, -1000.0, 8.0)(None, queries, cells)
+    assert sorted(kept[kept["query"] == 0]["rep"]) == list(range(1, 12))
+    assert len(kept[kept["query"] == 5]) >= 10
+
+
+def test_one_row_repeated_fills_all_shards(spark):
+    text = "same words in all rows"
+    rows = [(None, text)] * 480 + [(1, text), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    found = sharding.sharded(docs.repartition(4)).groupBy("shard").agg(F.sum("size").alias("bytes"), F.collect_list("slot").alias("slots")).collect()
+    assert len(found) == 24 and sum(len(r.slots) for r in found) == len(rows)
+    assert all(abs(r.bytes - sum(o.bytes for o in found) / 24) <= 2.5 * (len(text) + 8) and sorted(r.slots) == list(range(len(r.slots))) for r in found)
+
+
+def test_letters_of_all_planes():
+    assert language_id.features("\U00030001\U00031350") is not None
+    assert language_id.features("\U000E0001 12 \U0001F600") is None
+
+
 def test_many_equal_vectors(spark):
     rows = [(i, [0.5, 0.25] if i % 3 else [float(i % 7), 1.0]) for i in range(400)]
     found = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
