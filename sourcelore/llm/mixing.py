@@ -1,8 +1,10 @@
 """Mix sources to target weights by Pareto order sampling, with built-in functions only.
 
 Every document is taken floor(rate) times for certain, rate being its source's target over its size. The rest
-of the target is filled by a sample: documents are ranked by the odds of a random number divided by
-their inclusion odds, and taken in that order until the words wanted are reached.
+of the target is filled by a sample with odds in proportion to size, where documents whose share would be one or
+more come first: documents are ranked by the odds of a random number divided by their inclusion odds, and taken in
+that order until the words wanted would be passed. Then the order is followed on, past documents that are too long
+for what is left, and at last the one document that fits best closes the gap.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ MAX_REPEATS = 3
 SEED = "mix-1"
 #: Ranks are cut into this many even steps, to find where a source's sample ends.
 STEPS = 4096
+#: So often the order is followed until the words left would be passed.
+FILLS = 3
+#: Facts of sources are sent to every executor while they are known to have no more bytes than this.
+BROADCAST_BYTES = 16 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -55,15 +61,33 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return levels.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")).alias("target"))
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows with the facts of their source. ``facts`` has been written, so that its size can be asked."""
+    held = facts.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 256)).first()[0] or 0
+    if held > BROADCAST_BYTES:
+        return attach(rows, facts, ["source"])
+    named = F.broadcast(facts.withColumnRenamed("source", "_source"))
+    return rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
 def _rate() -> Column:
     return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
 
 
-def _pareto(rate: Column) -> Column:
+def _wanted() -> Column:
+    """Words that the sample of a source is to have."""
+    return F.col("target") - F.floor(_rate()) * F.col("source_size")
+
+
+def _pareto() -> Column:
     """Rank in [0, 1]: q / (1 + q), where q is the odds of the random number over the inclusion odds."""
-    p = rate - F.floor(rate)
+    p = F.least(F.lit(1.0), F.col("factor") * F.col("size"))
     u = F.col("random")
-    return F.when(p <= 0, F.lit(1.0)).otherwise(u * (1 - p) / (u * (1 - p) + (1 - u) * p))
+    return F.when(p > 0, u * (1 - p) / (u * (1 - p) + (1 - u) * p)).otherwise(F.lit(1.0))
+
+
+def _step() -> Column:
+    return F.least(F.floor(F.col("rank") * STEPS), F.lit(STEPS - 1)).cast("int")
 
 
 _ORDER = ("rank", "id", "digest")
@@ -80,44 +104,104 @@ def _measured(docs: DataFrame, id_name: str, text_name: str, source_name: str) -
     ]
 
 
-def sample_ends(measured: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Per source: source_size, target, and the last (rank, id, digest) that its sample takes (null: none).
+def odds_factors(measured: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, factor): inclusion odds are the lesser of 1 and factor times size, and sum up to the words wanted.
 
-    A document is taken if the words before it in rank order plus half its own are at most the words wanted,
-    so a source misses its target by half a document at most. Sums per step of the rank show in which step that
-    happens; only the documents of that one step are put in order.
+    From the largest size down, sizes whose share would be one or more are certain; the first that is not
+    gives the factor. Only the numbers of documents by size are looked at. No factor where no sample is wanted.
     """
-    sizes = measured.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = settle(source_targets(sizes, weights, max_repeats))
-    ranked = attach(measured, targets, ["source"]).withColumn("rank", _pareto(_rate()))
-    ranked = ranked.withColumn("wanted", F.col("target") - F.floor(_rate()) * F.col("source_size"))
-    ranked = ranked.withColumn("step", F.least(F.floor(F.col("rank") * STEPS), F.lit(STEPS - 1)).cast("int"))
-    steps = ranked.groupBy("source", "step", "wanted").agg(F.sum("size").alias("words"))
+    sampled = targets.where(_rate() > F.floor(_rate())).select("source", _wanted().alias("wanted"))
+    by_size = measured.where(F.col("size") > 0).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    larger = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    sums = attach(by_size, sampled, ["source"]).select(
+        "source",
+        "size",
+        (F.col("wanted") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(larger), F.lit(0))).alias("left"),
+        F.sum(F.col("n") * F.col("size").cast("double") * F.col("size")).over(up_to).alias("squares"),
+    )
+    uncertain = sums.where(F.col("left") * F.col("size") < F.col("squares"))
+    return uncertain.groupBy("source").agg(F.max_by(F.col("left") / F.col("squares"), "size").alias("factor"))
+
+
+def _order() -> Column:
+    return F.struct(*_ORDER)
+
+
+def _open() -> Column:
+    """Whether a document comes after the place reached and is not too long for what is left."""
+    return (F.col("after").isNull() | (_order() > F.col("after"))) & (F.col("size") <= F.col("gap"))
+
+
+def _filled(ranked: DataFrame, state: DataFrame) -> DataFrame:
+    """Follow the order until the words left would be passed; ``state`` is (source, after, gap, fills).
+
+    Sums per step of the rank show in which step that happens; only the documents of that one step are put in order.
+    """
+    open_ = _with_facts(ranked, state.drop("fills")).where(_open())
     upto = Window.partitionBy("source").orderBy("step")
+    steps = open_.groupBy("source", "step", "gap").agg(F.sum("size").alias("words"))
     steps = steps.withColumn("before", F.sum("words").over(upto) - F.col("words"))
-    # The last step that begins before the words wanted are reached.
-    last = (
-        steps.where((F.col("before") < F.col("wanted")) | (F.col("before") == 0))
-        .groupBy("source")
-        .agg(F.max_by("before", "step").alias("before"), F.max("step").alias("last_step"))
-    )
-    # A source without a remainder has no sample, and all its documents share one rank.
-    inside = attach(ranked.where(_rate() > F.floor(_rate())), last, ["source"]).where(F.col("step") == F.col("last_step"))
-    units = inside.groupBy("source", "wanted", "before", *_ORDER).agg(F.sum("size").alias("words"))
+    last = steps.where(F.col("before") < F.col("gap")).groupBy("source").agg(F.max("before").alias("before"), F.max("step").alias("last_step"))
+    last = settle(last)
+    inside = _with_facts(open_, last).where(F.col("step") == F.col("last_step"))
+    units = inside.groupBy("source", "gap", "before", *_ORDER).agg(F.sum("size").alias("words"))
     so_far = Window.partitionBy("source").orderBy(*_ORDER)
-    reached = F.col("before") + F.sum("words").over(so_far) - F.col("words") / 2
-    taken = units.withColumn("reached", reached).where(F.col("reached") <= F.col("wanted"))
-    ends = taken.groupBy("source").agg(F.max(F.struct(*_ORDER)).alias("end"))
-    known = attach(targets, last.select("source", "last_step"), ["source"], "left")
-    return attach(known, ends, ["source"], "left")
+    taken = units.withColumn("reached", F.col("before") + F.sum("words").over(so_far)).where(F.col("reached") <= F.col("gap"))
+    ends = taken.groupBy("source").agg(F.max(_order()).alias("end"), F.max("reached").alias("reached"))
+    known = attach(attach(state, last, ["source"], "left"), ends, ["source"], "left")
+    # Where no document of the last step is taken, the end lies at its beginning.
+    begin = F.struct((F.col("last_step") / STEPS).alias("rank"), F.lit(-(1 << 63)).cast("long").alias("id"), F.lit("").alias("digest"))
+    end = F.coalesce("end", F.when(F.col("last_step").isNotNull(), begin))
+    fill = F.struct("after", "gap", end.alias("end"))
+    return settle(
+        known.select(
+            "source",
+            F.coalesce(end, "after").alias("after"),
+            (F.col("gap") - F.coalesce("reached", "before", F.lit(0))).alias("gap"),
+            F.concat("fills", F.array(fill)).alias("fills"),
+        )
+    )
+
+
+def _in_order() -> Column:
+    """Whether one of the fills of its source takes a document."""
+    inside = lambda f: (f["after"].isNull() | (_order() > f["after"])) & (F.col("size") <= f["gap"]) & (_order() <= f["end"])
+    return F.coalesce(F.exists("fills", inside), F.lit(False)) & (F.col("size") > 0)
+
+
+def sample_ends(measured: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """Per source: source_size, target, factor, the fills (from which place, for how many words, to which place its
+    sample takes documents) and the place of the one that it takes besides (null: none).
+
+    Of the documents left the one is added that leaves the smallest miss.
+    """
+    sizes = measured.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = settle(source_targets(sizes, weights, max_repeats))
+    facts = settle(attach(targets, odds_factors(measured, targets), ["source"], "left"))
+    # A source without a remainder has no sample.
+    sampled = facts.where(F.col("factor").isNotNull())
+    ranked = _with_facts(measured.where(F.col("size") > 0), settle(sampled)).withColumn("rank", _pareto())
+    ranked = settle(ranked.select("source", "size", _step().alias("step"), *_ORDER))
+    nowhere = F.lit(None).cast("struct<rank: double, id: long, digest: string>")
+    fills = F.array().cast("array<struct<after: struct<rank: double, id: long, digest: string>, gap: double, end: struct<rank: double, id: long, digest: string>>>")
+    state = settle(sampled.select("source", nowhere.alias("after"), _wanted().alias("gap"), fills.alias("fills")))
+    for _ in range(FILLS):
+        state = _filled(ranked, state)
+
+    left = _with_facts(ranked, state).where(~_in_order() & (F.col("size") < 2 * F.col("gap")))
+    others = left.groupBy("source", "gap", *_ORDER).agg(F.sum("size").alias("words")).where(F.col("words") < 2 * F.col("gap"))
+    best = others.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("words")).alias("miss"), *_ORDER)).alias("best"))
+    besides = best.select("source", F.struct(*[F.col("best")[name].alias(name) for name in _ORDER]).alias("besides"))
+    whole = attach(facts, state.select("source", "fills"), ["source"], "left")
+    return settle(attach(whole, besides, ["source"], "left"))
 
 
 def _copies() -> Column:
     """Certain copies and the sampled one, for rows with the columns of ``sample_ends``."""
-    step = F.least(F.floor(F.col("rank") * STEPS), F.lit(STEPS - 1))
-    chosen = (step < F.col("last_step")) | ((step == F.col("last_step")) & F.col("end").isNotNull() & (F.struct(*_ORDER) <= F.col("end")))
-    sampled = (_rate() > F.floor(_rate())) & chosen
-    return (F.floor(_rate()) + F.coalesce(sampled, F.lit(False)).cast("int")).cast("int")
+    besides = F.col("besides").isNotNull() & _order().eqNullSafe(F.col("besides"))
+    sampled = F.col("factor").isNotNull() & (F.col("size") > 0) & (_in_order() | besides)
+    return (F.floor(_rate()) + sampled.cast("int")).cast("int")
 
 
 def mixed(
@@ -132,14 +216,15 @@ def mixed(
     """The documents with size, source_size, target and copies (how often the mix takes them, 0 too).
 
     With ``keep_rows`` the document is in the struct ``row``, else only its id is. Null texts and
-    texts without words have size 0; a null source is a source of its own; rows that repeat id and text share one fate.
+    texts without words have size 0 and are in no sample; a null source is a source of its own; rows that repeat id
+    and text share one fate; a text longer than the words wanted is left out if others come nearer to them.
     Reruns give the same mix. An empty table gives an empty result.
     """
     fields = _measured(docs, id_name, text_name, source_name)
     measured = settle(docs.select(column(id_name).alias("doc_id"), *fields))
     ends = sample_ends(measured.drop("doc_id"), weights, max_repeats)
     rows = docs.select(packed(docs).alias("row"), *fields) if keep_rows else measured
-    placed = attach(rows, ends, ["source"]).withColumn("rank", _pareto(_rate()))
+    placed = _with_facts(rows, ends).withColumn("rank", _pareto())
     return placed.select("row" if keep_rows else "doc_id", "size", "source_size", "target", _copies().alias("copies"))
 
 
@@ -153,13 +238,26 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves, each as often as the mix takes it, with their own columns.
 
-    A document without words adds nothing to a target, so its copies are those of its source's rate like any other's.
+    A document without words adds nothing to a target, so it is taken floor(rate) times only.
     """
     taken = mixed(docs, **options).where(F.col("copies") > 0)
     repeated = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return repeated.select("row.*")
 
 
+def _fill_sql(k: int) -> str:
+    return f"""
+), run{k} as (
+    select *, sum(size) over (partition by source order by rank, id, digest range between unbounded preceding and current row) as upto
+    from open{k} where size <= gap
+), gap{k + 1} as (
+    select g.source, g.gap - coalesce(max(r.upto) filter (r.upto <= g.gap), 0) as gap
+    from gap{k} g left join run{k} r on g.source is not distinct from r.source group by g.source, g.gap
+), open{k + 1} as (
+    select r.source, r.rank, r.id, r.digest, r.size, g.gap
+    from run{k} r join gap{k + 1} g on r.source is not distinct from g.source where r.upto > r.gap"""
+
+
 MIX_SQL = """
 with measured as (
     select doc_id, source, coalesce(doc_id, -1) as id, md5(coalesce(text, '')) as digest,
@@ -183,14 +281,37 @@ with measured as (
     from measured m join targets t on m.source is not distinct from t.source
 ), parts as (
     select *, rate - floor(rate) as p, target - floor(rate) * source_size as wanted from rated
+), by_size as (
+    select source, wanted, size, count(*) as n from parts where p > 0 and size > 0 group by all
+), shares as (
+    select source, size, wanted - coalesce(sum(n * size) over (partition by source order by size desc rows between unbounded preceding and 1 preceding), 0)::double as words_left,
+           sum(n * size::double * size) over (partition by source order by size rows between unbounded preceding and current row) as squares
+    from by_size
+), factors as (
+    select source, max_by(words_left / squares, size) as factor from shares where words_left * size < squares group by source
+), odds as (
+    select p.*, f.factor, least(1.0, coalesce(f.factor * p.size, 0.0)) as inclusion
+    from parts p left join factors f on p.source is not distinct from f.source
 ), ranked as (
-    select *, case when p <= 0 then 1.0 else random * (1 - p) / (random * (1 - p) + (1 - random) * p) end as rank from parts
-), placed as (
-    select *, sum(size) over (partition by source order by rank, id, digest range between unbounded preceding and current row) as upto,
-           sum(size) over (partition by source, rank, id, digest) as own
-    from ranked
+    select *, case when inclusion > 0 then random * (1 - inclusion) / (random * (1 - inclusion) + (1 - random) * inclusion) else 1.0 end as rank from odds
+), gap0 as (
+    select distinct source, wanted as gap from ranked where factor is not null
+), open0 as (
+    select source, rank, id, digest, size, wanted as gap from ranked where factor is not null and size > 0""" + "".join(map(_fill_sql, range(FILLS))) + """
+), in_order as (
+    """ + " union ".join(f"select source, rank, id, digest from run{k} where upto <= gap" for k in range(FILLS)) + """
+), others as (
+    select r.source, r.rank, r.id, r.digest, sum(r.size) as words
+    from ranked r anti join in_order t on r.source is not distinct from t.source and r.rank = t.rank and r.id = t.id and r.digest = t.digest
+    where r.factor is not null and r.size > 0 group by all
+), besides as (
+    select o.source, o.rank, o.id, o.digest
+    from others o join gap""" + str(FILLS) + """ g on o.source is not distinct from g.source
+    where o.words < 2 * g.gap
+    qualify row_number() over (partition by o.source order by abs(g.gap - o.words), o.rank, o.id, o.digest) = 1
+), sample as (
+    select * from in_order union select * from besides
 )
-select doc_id, size, source_size, target,
-       (size * (floor(rate) + case when p > 0 and upto - own / 2.0 <= wanted then 1 else 0 end))::bigint as taken
-from placed
+select doc_id, r.size, source_size, target, (r.size * (floor(rate) + case when s.id is not null then 1 else 0 end))::bigint as taken
+from ranked r left join sample s on r.source is not distinct from s.source and r.rank = s.rank and r.id = s.id and r.digest = s.digest
 """
