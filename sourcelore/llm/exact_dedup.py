@@ -89,10 +89,23 @@ def _largest(a: int | None, b: int | None) -> bool:
 def _merge(batches: Iterator[pa.RecordBatch], id_name: str, text_name: str, counted: bool) -> Iterator[pa.RecordBatch]:
     """One row for each text of each stretch of rows that a trie holds.
 
+    Of copies only the owner's row is held, so memory follows the distinct texts however many copies there are.
     With ``counted`` the rows are sorted by length and hash, so at each change of these all subtrees
     in memory are complete; before it (map side) a text may come again in a later stretch.
     """
     trie, waiting = PatriciaTrie(), []
+    held = bound = 0
+
+    def owners_only() -> list[pa.RecordBatch]:
+        """The rows of owners in one batch; those of other copies are let go."""
+        nodes = sorted(trie.terminals, key=lambda node: node.owner[2:])
+        rows: list[list[int]] = [[] for _ in waiting]
+        for place, node in enumerate(nodes):
+            batch_no, row = node.owner[2:]
+            rows[batch_no].append(row)
+            node.owner[2:] = 0, place
+        parts = [batch.take(pa.array(r, pa.int64())) for batch, r in zip(waiting, rows, strict=True) if r]
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()
 
     def flush() -> Iterator[pa.RecordBatch]:
         taken: list[list[tuple[int, int]]] = [[] for _ in waiting]
@@ -116,11 +129,13 @@ def _merge(batches: Iterator[pa.RecordBatch], id_name: str, text_name: str, coun
         lengths, hashes = batch.column("length").to_pylist(), batch.column("text_sha256").to_pylist()
         counts = batch.column("group_size").to_pylist()
         waiting.append(batch)
+        held += batch.nbytes
         for i, text in enumerate(texts):
             place = (lengths[i], hashes[i])
             if trie.held > TRIE_BYTES and (not counted or place != last):
                 yield from flush()
-                trie, waiting = PatriciaTrie(), [batch]
+                trie, waiting, bound = PatriciaTrie(), [batch], 0
+                held = batch.nbytes
             last = place
             node = trie.terminal((text or "").encode().translate(_FOLD))
             if node.owner is None:
@@ -129,6 +144,9 @@ def _merge(batches: Iterator[pa.RecordBatch], id_name: str, text_name: str, coun
                 node.owner[1] += counts[i]
                 if _largest(ids[i], node.owner[0]):
                     node.owner[0], node.owner[2:] = ids[i], [len(waiting) - 1, i]
+        if held > 2 * bound + TRIE_BYTES:
+            waiting = owners_only()
+            held = bound = sum(part.nbytes for part in waiting)
     yield from flush()
 
 

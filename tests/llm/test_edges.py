@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+import weakref
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +96,28 @@ def test_copies_merge_across_flushes(spark, monkeypatch):
     assert {(r.keep_id, r.group_size) for r in rows} == {(max(range(k, 300, 7)), len(range(k, 300, 7))) for k in range(7)}
 
 
+def test_copies_are_not_held(monkeypatch):
+    """20,000 copies of 7 texts in 200 batches: at most a few batches wait at any time, and one row a text comes out."""
+    monkeypatch.setattr(exact_dedup, "TRIE_BYTES", 40_000)
+    weak = []
+
+    def batches():
+        for b in range(200):
+            ids = list(range(100 * b, 100 * b + 100))
+            texts = [f"Text {i % 7} " + "x" * 30 for i in ids]
+            row = pa.StructArray.from_arrays([pa.array(ids), pa.array(texts)], ["doc_id", "text"])
+            lengths, hashes = pa.array([len(t) for t in texts]), pa.array([t[:6] for t in texts])
+            batch = pa.RecordBatch.from_arrays([row, lengths, hashes, pa.array([1] * 100)], ["row", "length", "text_sha256", "group_size"])
+            weak.append(weakref.ref(batch))
+            yield batch
+            alive.append(sum(w() is not None for w in weak))
+
+    alive: list[int] = []
+    out = [r for batch in exact_dedup._merge(batches(), "doc_id", "text", False) for r in batch.to_pylist()]
+    assert sorted((r["row"]["doc_id"], r["group_size"]) for r in out) == sorted((max(range(k, 20_000, 7)), len(range(k, 20_000, 7))) for k in range(7))
+    assert max(alive) < 20
+
+
 def test_lines_that_recur_go(spark):
     rows = [(i, f"own words of number{i} here\nPage {i} of 9 printed by user{i}\n\nlast {i}") for i in range(8)]
     rows += [(100, "something else"), (101, "one two three four five six")]
