@@ -4,9 +4,11 @@ The text is the output of::
 
     git -c core.quotepath=off log --name-only --date=iso-strict --pretty=format:%H%x09%an%x09%aI%x09%s
 
-A line belongs to the nearest header above it. Input splits are filled independently; only
-the last header of each split travels to the lines at the start of the next one, so neither
-a long log nor a commit with very many files ends up in one task.
+A line belongs to the nearest header above it. Ranges of lines are filled independently; only
+the last header of each range travels to the lines at the start of the next one, so neither
+a long log nor a commit with very many files ends up in one task. Input splits are cut into
+ranges too: a compressed log, which Spark reads as one split, is a stream to one reader and
+many ranges to all that follows.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.fixed import COMMIT_HASH
 from ..functions.paths import strip
 
+#: A range has at most 2**RANGE_BITS lines.
+RANGE_BITS = 17
+
 
 def read_log_lines(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
     """Lines of log files as (repo_id, file, block, seq, value), one log file per repository.
@@ -50,25 +55,32 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
         F.get(parts, F.lit(2)).alias("date_raw"),
         F.array_join(F.slice(parts, F.lit(4), F.size(parts)), "\t").alias("message"),
     )
-    split = ["repo_id", "file", "block"]
-    in_split = Window.partitionBy(*split).orderBy("seq")
-    # Byte offset of the split plus the bytes read so far in it: ascends over the whole file.
-    # Summed before empty lines go, since they take up bytes too.
-    offset = F.col("block") + F.coalesce(
-        F.sum(F.octet_length("value") + 1).over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    marked = (
-        lines.withColumn("is_header", is_header)
-        .withColumn("log_pos", offset.cast("bigint"))
-        .withColumn("header", F.when(F.col("is_header"), header.withField("log_pos", F.col("log_pos"))))
-        .filter(F.col("is_header") | (strip(F.col("value")) != ""))
+    split = ["repo_id", "file", "block", "range"]
+    in_range = Window.partitionBy(*split).orderBy("seq")
+    upto_before = Window.unboundedPreceding, -1
+    length = F.octet_length("value") + 1
+    # Bytes read so far in the range, those of empty lines included.
+    place = F.coalesce(F.sum(length).over(in_range.rowsBetween(*upto_before)), F.lit(0)).cast("bigint")
+    placed = (
+        lines.withColumn("range", F.shiftright("seq", RANGE_BITS))
+        .withColumn("is_header", is_header)
+        .withColumn("place", place)
+        .withColumn("header", F.when(F.col("is_header"), header.withField("log_pos", F.col("place"))))
     )
-    filled = marked.withColumn("header", F.last("header", ignorenulls=True).over(in_split))
 
-    last_headers = marked.groupBy(*split).agg(F.max_by("header", F.when(F.col("is_header"), F.col("seq"))).alias("last"))
-    earlier = Window.partitionBy("repo_id", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last_headers.withColumn("carried", F.last("last", ignorenulls=True).over(earlier)).drop("last")
-    whole = filled.join(carried, split, "left").withColumn("header", F.coalesce("header", "carried"))
+    def from_start(name: str):
+        """A header whose position is counted from the beginning of the file."""
+        return F.col(name).withField("log_pos", F.col("start") + F.col(f"{name}.log_pos"))
+
+    ranges = placed.groupBy(*split).agg(F.sum(length).alias("bytes"), F.max_by("header", F.when(F.col("is_header"), F.col("seq"))).alias("last"))
+    in_block = Window.partitionBy("repo_id", "file", "block").orderBy("range").rowsBetween(*upto_before)
+    in_file = Window.partitionBy("repo_id", "file").orderBy("block", "range").rowsBetween(*upto_before)
+    started = ranges.withColumn("start", F.col("block") + F.coalesce(F.sum("bytes").over(in_block), F.lit(0)))
+    carried = started.select(*split, "start", F.last(from_start("last"), ignorenulls=True).over(in_file).alias("carried"))
+
+    kept = placed.filter(F.col("is_header") | (strip(F.col("value")) != ""))
+    filled = kept.withColumn("header", F.last("header", ignorenulls=True).over(in_range))
+    whole = filled.join(carried, split).withColumn("header", F.coalesce(from_start("header"), "carried"))
     return whole.filter(F.col("header").isNotNull()).select(
         "repo_id",
         "header",

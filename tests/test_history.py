@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gzip
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -255,3 +256,28 @@ def test_commit_log_over_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_compressed_log_is_cut_into_ranges(spark, tmp_path, monkeypatch):
+    """One unsplittable file: no window holds more than a range, and positions are those of the plain text."""
+    rng = random.Random(6)
+    expected, positions, text = [], [], ""
+    for i in range(120):
+        positions.append(len(text.encode()))
+        text += f"{i:07x}abc\tJörg {i % 7}\t2024-01-01T00:00:00Z\tmessage {i}\n"
+        for j in range(rng.choice([0, 1, 3, 60 if i % 20 == 0 else 2])):
+            text += f"dir/file{rng.randint(0, 40)}.js\n"
+            expected.append((f"{i:07x}abc", text.rsplit("\n", 2)[1], positions[-1]))
+        text += rng.choice(["", "\n", "\n\n\n"])
+    with gzip.open(tmp_path / "r1.log.gz", "wt", encoding="utf-8") as file:
+        file.write(text)
+    (tmp_path / "r2.log").write_text(text, encoding="utf-8")
+    monkeypatch.setattr(commit_log, "RANGE_BITS", 3)
+    lines = commit_log.read_log_lines(spark, str(tmp_path))
+    assert lines.filter("repo_id = 'r1'").select("block").distinct().count() == 1
+    commits, touched = commit_log.load_commit_log(spark, str(tmp_path))
+    for repo in ("r1", "r2"):
+        rows = commits.filter(F.col("repo_id") == repo).orderBy("log_pos").collect()
+        assert [(r["hash"], r["log_pos"]) for r in rows] == [(f"{i:07x}abc", at) for i, at in enumerate(positions)]
+        got = touched.filter(F.col("repo_id") == repo).collect()
+        assert sorted((r["hash"], r["file"], r["log_pos"]) for r in got) == sorted(expected)

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourcelore import analyze, architecture_map, onboarding, risk_report
+from sourcelore.functions.fixed import LANGUAGES
 from sourcelore.operators import listings, summary
+from sourcelore.operators.files import ignore_patterns
 from sourcelore.operators.joins import attach
 from sourcelore.plans.reports import analysis_summary
 from sourcelore.sources import files as file_sources
@@ -237,3 +239,29 @@ def test_readers(spark, tmp_path):
     assert [r["path"] for r in listed.collect()] == ["src/a.js", "__tests__/t.js", ".hidden.js", "missing.js"]
     read = {r["path"]: r["content"] for r in file_sources.read_listed_files(listed, str(root)).collect()}
     assert read == {"src/a.js": "const a = 1;", "__tests__/t.js": "t", ".hidden.js": "h"}
+
+
+def test_ignored_files_are_not_opened(spark, tmp_path):
+    """Files over the reader's limit fail when they are opened, so none that is dropped can have been."""
+    root = tmp_path / "tree+1"
+    for name, size in {"src/a b.js": 5, "lib/c.py": 7, "node_modules/x/big.js": 5000, "docs/api/big.js": 5000, "src/big.bin": 5000, "docs/d.go": 3}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x" * size)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        files = file_sources.load_source_files(spark, str(root), "r", ignore=ignore_patterns("docs/api"), languages=LANGUAGES)
+        assert {(r["path"], len(r["content"])) for r in files.collect()} == {("src/a b.js", 5), ("lib/c.py", 7), ("docs/d.go", 3)}
+        assert files.columns == ["repo_id", "path", "content"]
+        with pytest.raises(Exception, match="(?i)max.*length|length.*max|5000"):
+            file_sources.load_source_files(spark, str(root), "r").collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_listed_files_come_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(file_sources, "BATCH_BYTES", 50)
+    for i in range(40):
+        (tmp_path / f"f{i}.js").write_text("x" * (i % 30))
+    listed = spark.createDataFrame([("r", f"f{i}.js") for i in range(42)], "repo_id string, path string").coalesce(1)
+    found = {r["path"]: r["content"] for r in file_sources.read_listed_files(listed, str(tmp_path)).collect()}
+    assert found == {f"f{i}.js": "x" * (i % 30) for i in range(40)}
