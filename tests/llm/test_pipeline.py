@@ -65,11 +65,34 @@ def _copies(rows):
     copies = Counter()
     for s, ids in of.items():
         rate = target[s] / words[s]
-        wanted, before = target[s] - math.floor(rate) * words[s], 0
-        draw = {i: int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:12], 16) for i in ids}
-        for i in sorted(ids, key=draw.get):
-            copies[i] = math.floor(rate) + (rate > math.floor(rate) and before + size[i] / 2 <= wanted)
-            before += size[i]
+        left = target[s] - math.floor(rate) * words[s]
+        copies |= dict.fromkeys(ids, math.floor(rate))
+        if rate == math.floor(rate):
+            continue
+        # Odds in proportion to size; from the largest down, those of one or more are certain.
+        factor, rest = None, left
+        for n, i in enumerate(by_size := sorted(ids, key=lambda i: -size[i])):
+            factor = rest / sum(size[j] ** 2 for j in by_size[n:])
+            if factor * size[i] < 1:
+                break
+            rest -= size[i]
+
+        def rank(i):
+            u = (int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            p = min(1, factor * size[i])
+            return u * (1 - p) / (u * (1 - p) + (1 - u) * p), i
+
+        order = sorted(ids, key=rank)
+        for _ in range(3):
+            order, taken, gap = [i for i in order if size[i] <= left], [], left
+            while order and size[order[0]] <= gap:
+                taken.append(order.pop(0))
+                gap -= size[taken[-1]]
+            left = gap
+            copies.update(taken)
+        spare = [i for i in ids if copies[i] == math.floor(rate) and size[i] < 2 * left]
+        if spare:
+            copies[min(spare, key=lambda i: (abs(left - size[i]), rank(i)))] += 1
     return copies
 
 
