@@ -13,11 +13,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sourcelore.llm.common import column, packed, settle
 
@@ -28,6 +26,8 @@ RECALL = 0.9999
 SHARED_A_RUN = 3.0
 #: Sets that one task compares with each other, and how often a larger bucket is split before it is cut into blocks.
 BUCKET, DEPTH = 500, 2
+#: Leaves of up to so many sets are compared together, in pieces of so many rows.
+SMALL, PIECE = 32, 4000
 #: Smallest hashes of a set, by which a pair is judged before whole sets are moved; and four deviations of it.
 SKETCH = 64
 SKETCH_SLACK = 0.25
@@ -96,8 +96,28 @@ def _paths(tokens: np.ndarray, threshold: float, runs: int) -> list[int]:
     return out
 
 
+def _steps(tokens: np.ndarray, paths: list[int]) -> list[int]:
+    """The further steps of each path, in order.
+
+    A step follows the token of the whole set that a hash of the path so far puts first, so two sets on one path stay
+    together with a chance of exactly their similarity, contained ones too. Steps are made here, where the set is at
+    hand: splitting a bucket later moves numbers only.
+    """
+    if not paths:
+        return []
+    wide, at = tokens.astype(np.uint64), np.array(paths, np.int64).view(np.uint64)
+    out = np.empty((len(paths), DEPTH), np.uint64)
+    side = max(1, (1 << 17) // len(wide))
+    with np.errstate(over="ignore"):
+        for step in range(DEPTH):
+            lowest = [_mix(wide + at[i : i + side, None]).min(axis=1) for i in range(0, len(at), side)]
+            at = out[:, step] = _mix(np.concatenate(lowest) ^ (at * _STEP))
+    return out.view(np.int64).ravel().tolist()
+
+
 def shingle_sets(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, sig, size, tokens, paths): the set of each document, a digest of it, and where its runs begin."""
+    """(doc_id, sig, size, tokens, paths, steps): the set of each document, a digest of it, where its runs begin and how
+    each goes on, ``DEPTH`` steps a path."""
     runs = runs_for(recall, threshold)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,77 +127,51 @@ def shingle_sets(docs: DataFrame, id_name: str = "doc_id", text_name: str = "tex
                 part = batch.slice(start, 500)
                 sets = [shingler.set_of(text) for text in part.column("text").to_pylist()]
                 raw = [s.tobytes() for s in sets]
+                paths = [_paths(s, threshold, runs) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array(raw, pa.binary()),
-                        pa.array([_paths(s, threshold, runs) for s in sets], pa.list_(pa.int64())),
+                        pa.array(paths, pa.list_(pa.int64())),
+                        pa.array([_steps(s, p) for s, p in zip(sets, paths)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "sig", "size", "tokens", "paths"],
+                    names=["doc_id", "sig", "size", "tokens", "paths", "steps"],
                 )
 
     rows = docs.select(column(id_name).cast("long").alias("doc_id"), column(text_name).alias("text"))
-    return rows.mapInArrow(convert, "doc_id long, sig binary, size int, tokens binary, paths array<long>")
+    return rows.mapInArrow(convert, "doc_id long, sig binary, size int, tokens binary, paths array<long>, steps array<long>")
 
 
-def _next_path(tokens: np.ndarray, path: np.uint64) -> np.uint64:
-    """Follow the token of the whole set that a hash of this very path puts first.
+def leaves(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(sig, path, left, right, block, blocks): the buckets in which a set is compared.
 
-    Two sets on one path stay together with a chance of exactly their similarity, contained ones too.
+    Buckets with more than ``bucket`` sets are split by the next step of their paths, up to ``DEPTH`` times. One that is
+    still too large holds sets which are alike or share most of what they have; it is cut into blocks of twice that
+    size, and every two blocks make one leaf (left, right), so that no pair of it is left out and no task gets it whole.
     """
-    with np.errstate(over="ignore"):
-        return _mix(_mix(tokens + path).min() ^ (path * _STEP))
-
-
-def _split(large: DataFrame, texts: DataFrame) -> DataFrame:
-    """(sig, path): the paths of large buckets, one token longer. Only sets in such buckets are read again."""
-
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs, found = [], []
-            for sig, raw, paths in zip(*(batch.column(name).to_pylist() for name in ("sig", "tokens", "paths"))):
-                tokens = np.frombuffer(raw, np.uint32).astype(np.uint64)
-                sigs += [sig] * len(paths)
-                found += [_next_path(tokens, path) for path in np.array(paths, np.int64).view(np.uint64)]
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(np.array(found, np.uint64).view(np.int64))], names=["sig", "path"])
-
-    followed = large.groupBy("sig").agg(F.collect_list("path").alias("paths"))
-    whole = texts.join(followed.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens"))
-    return followed.join(whole, "sig").mapInArrow(convert, "sig binary, path long")
-
-
-def leaves(sets: DataFrame, bucket: int = BUCKET, depth: int = DEPTH, texts: DataFrame | None = None) -> DataFrame:
-    """(sig, path, left, right, block): the buckets in which a set is compared. ``texts`` has the tokens of each set.
-
-    Buckets with more sets are split up to ``depth`` times. One that is still too large holds sets which are alike or
-    share most of what they have; it is cut into blocks, and every two blocks make one leaf (left, right), so that no
-    pair of it is left out and no task gets it whole.
-    """
-    some = sets.where(F.col("size") > 0)
-    texts = some.select("sig", "tokens") if texts is None else texts
-    rows = some.select("sig", F.explode("paths").alias("path"))
+    steps = [f"step{i}" for i in range(DEPTH)]
+    rows = sets.where(F.col("size") > 0).select("sig", "steps", F.posexplode("paths").alias("at", "path"))
+    rows = rows.select("sig", "path", *[F.col("steps")[F.col("at") * DEPTH + i].alias(name) for i, name in enumerate(steps)])
     done = []
-    for step in range(depth + 1):
+    for depth in range(DEPTH + 1):
         counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
         counts = counts.withColumnRenamed("path", "bucket")
-        counted = rows.join(counts, F.col("path").eqNullSafe(F.col("bucket"))).drop("bucket")
-        if step == depth:
-            blocks = F.ceil(F.col("n") / bucket).cast("int")
-            mine = F.pmod(F.xxhash64("sig", "path"), blocks).cast("int")
-            placed = counted.withColumn("blocks", blocks).withColumn("block", mine)
-            every = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            pair = (F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-            done.append(every.select("sig", "path", *pair, "block", "blocks"))
-            break
+        counted = settle(rows.join(counts, F.col("path").eqNullSafe(F.col("bucket"))).drop("bucket"))
         whole = [*[F.lit(0).alias(name) for name in ("left", "right", "block")], F.lit(1).alias("blocks")]
-        counted = settle(counted.select("sig", "path", "n"))
         done.append(counted.where(F.col("n") <= bucket).select("sig", "path", *whole))
         large = counted.where(F.col("n") > bucket)
         if large.isEmpty():
             break
-        rows = settle(_split(large, texts))
+        if depth < DEPTH:
+            rows = large.select("sig", F.col(steps[depth]).alias("path"), *steps[depth + 1 :])
+            continue
+        blocks = F.ceil(F.col("n") / (2 * bucket)).cast("int")
+        placed = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sig", "path"), blocks).cast("int"))
+        every = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pair = (F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+        done.append(every.select("sig", "path", *pair, "block", "blocks"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -212,15 +206,63 @@ def _own(paths: list[np.ndarray], here: int) -> np.ndarray:
     return own
 
 
-def _open_pairs(group: pd.DataFrame, threshold: float) -> np.ndarray:
-    """Pairs of one leaf to be looked at: its own, of different blocks unless the leaf is one block, of like size."""
-    own = _own(list(group["paths"]), int(group["path"].iloc[0]))
-    np.fill_diagonal(own, False)
-    if group["left"].iloc[0] != group["right"].iloc[0]:
-        block = group["block"].to_numpy()
-        own &= block[:, None] != block[None, :]
-    size = group["size"].to_numpy().astype(float)
-    return own & (np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size))
+def _whole_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by leaf, in pieces of whole leaves with their bounds: one large leaf, or many small ones together."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        bounds = _bounds(rows)
+        yield from _pieces(rows, bounds[:-1])
+        rest = rows.slice(int(bounds[-2]))
+    if rest is not None:
+        yield from _pieces(rest, _bounds(rest))
+
+
+def _bounds(rows: pa.Table) -> np.ndarray:
+    """Where leaves start, and the end."""
+    keys = np.stack([rows.column(name).to_numpy() for name in ("path", "left", "right")])
+    changes = np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1
+    return np.concatenate([[0], changes, [rows.num_rows]])
+
+
+def _pieces(rows: pa.Table, bounds: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    start = 0
+    while start < len(bounds) - 1:
+        end = start + 1
+        if bounds[end] - bounds[start] <= SMALL:
+            while end < len(bounds) - 1 and bounds[end + 1] - bounds[end] <= SMALL and bounds[end + 1] - bounds[start] <= PIECE:
+                end += 1
+        yield rows.slice(int(bounds[start]), int(bounds[end] - bounds[start])).combine_chunks(), bounds[start : end + 1] - bounds[start]
+        start = end
+
+
+def _open_pairs(rows: pa.Table, bounds: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows to be looked at: of one leaf that is their own, of different blocks unless it is one block, of like size."""
+    size, block, here = (rows.column(name).to_numpy() for name in ("size", "block", "path"))
+    several = rows.column("left").to_numpy() != rows.column("right").to_numpy()
+    paths = rows.column("paths").combine_chunks()
+    ends, values = paths.offsets.to_numpy() - paths.offsets[0].as_py(), paths.flatten().to_numpy()
+    if len(bounds) == 2:
+        i, j = np.nonzero(np.triu(_own(np.split(values, ends[1:-1]), int(here[0])), 1))
+    else:
+        counts = np.diff(bounds)
+        made = [(np.triu_indices(n, 1), bounds[:-1][counts == n, None]) for n in np.unique(counts)]
+        i, j = (np.concatenate([(starts + pair[side]).ravel() for pair, starts in made]) for side in (0, 1))
+    keep = (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])) & (~several[i] | (block[i] != block[j]))
+    i, j = i[keep], j[keep]
+    if len(bounds) > 2 and len(i):
+        counts = np.diff(ends)
+        table = np.full((len(counts), counts.max()), np.iinfo(np.int64).max)
+        table[np.arange(table.shape[1]) < counts[:, None]] = values
+        other = np.zeros(len(i), bool)
+        for column_ in table.T:
+            theirs = column_[j]
+            other |= (theirs < here[i]) & (table[i] == theirs[:, None]).any(axis=1)
+        i, j = i[~other], j[~other]
+    return i, j
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -245,59 +287,89 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _sketch_overlaps(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Numbers of hashes that rows i and j of a padded table of sketches share."""
+    out = np.empty(len(i), np.int64)
+    for start in range(0, len(i), PIECE):
+        part = slice(start, start + PIECE)
+        both = np.sort(np.concatenate([sketches[i[part]], sketches[j[part]]], axis=1), axis=1)
+        out[part] = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _PAD)).sum(axis=1)
+    return out
+
+
 def _hopeful(threshold: float):
     """The sets of a leaf that have a partner there, judged by their smallest hashes."""
 
-    def judge(group: pd.DataFrame) -> pd.DataFrame:
-        open_ = _open_pairs(group, threshold)
-        rows = np.nonzero(open_.any(axis=1))[0]
-        group, open_ = group.iloc[rows], open_[np.ix_(rows, rows)]
-        keep = np.zeros(len(group), bool)
-        if len(group):
-            sketches = [np.frombuffer(s, np.uint32) for s in group["sketch"]]
-            inside = _overlaps(sketches)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _whole_leaves(batches):
+            i, j = _open_pairs(rows, bounds, threshold)
+            if not len(i):
+                continue
+            sketches = [np.frombuffer(s, np.uint32) for s in rows.column("sketch").to_pylist()]
             lengths = np.array([len(s) for s in sketches])
-            ends = np.array([s[-1] if len(s) == SKETCH else _TOP for s in sketches], np.uint32)
+            table = np.full((len(sketches), SKETCH), _PAD, np.int64)
+            table[np.arange(SKETCH) < lengths[:, None]] = np.concatenate(sketches)
+            inside = _overlaps(sketches)[i, j] if len(bounds) == 2 else _sketch_overlaps(table, i, j)
             # Of a larger set the sketch is a part; what lies below both ends is comparable, and so is all that is shared.
-            below = np.stack([np.searchsorted(s, ends, "right") for s in sketches])
-            mine = np.where(ends[:, None] <= ends[None, :], lengths[:, None], below)
-            union = mine + mine.T - inside
-            part = (lengths == SKETCH)[:, None] | (lengths == SKETCH)[None, :]
-            like = inside >= np.where(part, threshold - SKETCH_SLACK, threshold) * union - 1e-6
-            keep = (like & open_).any(axis=1)
-        return group.loc[keep, ["sig", "path", "left", "right", "block"]]
+            full = lengths == SKETCH
+            ends = np.where(full, table[:, -1], _PAD - 1)
+            union = np.empty(len(i))
+            for start in range(0, len(i), PIECE):
+                part = slice(start, start + PIECE)
+                lowest = np.minimum(ends[i[part]], ends[j[part]])[:, None]
+                union[part] = (table[i[part]] <= lowest).sum(axis=1) + (table[j[part]] <= lowest).sum(axis=1)
+            union -= inside
+            like = inside >= np.where(full[i] | full[j], threshold - SKETCH_SLACK, threshold) * union - 1e-6
+            keep = np.zeros(rows.num_rows, bool)
+            keep[i[like]] = keep[j[like]] = True
+            yield from rows.select(["sig", "path", "left", "right", "block"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     return judge
 
 
-_TOP = np.uint32(0xFFFFFFFF)
+#: Above all 32-bit hashes.
+_PAD = 1 << 32
 
 
 def _verified(threshold: float):
     """Links that each set of a leaf has there (documents, not pairs), and the first set it hangs together with."""
 
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        open_ = _open_pairs(group, threshold)
-        sets = [np.frombuffer(s, np.uint32) for s in group["tokens"]]
-        shared = _overlaps(sets)
-        size = np.array([len(s) for s in sets], np.float64)
-        union = size[:, None] + size[None, :] - shared
-        linked = open_ & (shared >= threshold * union - 1e-6)
-        links = linked @ group["copies"].to_numpy().astype(np.int64)
-        # Labels spread along the links of the leaf until each part has its first member's.
-        root = np.arange(len(sets))
-        while True:
-            spread = np.minimum(root, np.where(linked, root[None, :], len(sets)).min(axis=1, initial=len(sets)))
-            if (spread == root).all():
-                break
-            root = spread
-        sigs = group["sig"].tolist()
-        touched = np.nonzero(links)[0].tolist()
-        return pd.DataFrame({"sig": [sigs[i] for i in touched], "root": [sigs[root[i]] for i in touched], "links": [int(links[i]) for i in touched]})
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _whole_leaves(batches):
+            i, j = _open_pairs(rows, bounds, threshold)
+            if not len(i):
+                continue
+            sets = [np.frombuffer(s, np.uint32) for s in rows.column("tokens").to_pylist()]
+            size, copies = (rows.column(name).to_numpy() for name in ("size", "copies"))
+            if len(bounds) == 2:
+                shared = _overlaps(sets)[i, j]
+            else:
+                shared = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())])
+            linked = shared >= threshold * (size[i].astype(float) + size[j] - shared) - 1e-6
+            i, j = i[linked], j[linked]
+            links = np.zeros(rows.num_rows, np.int64)
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            # Labels spread along the links of the leaf until each part has its first member's.
+            root = np.arange(rows.num_rows)
+            while (root[i] != root[j]).any():
+                lower = np.minimum(root[i], root[j])
+                np.minimum.at(root, i, lower)
+                np.minimum.at(root, j, lower)
+            touched = np.nonzero(links)[0]
+            sigs = rows.column("sig")
+            yield pa.RecordBatch.from_arrays(
+                [sigs.take(touched).combine_chunks(), sigs.take(root[touched]).combine_chunks(), pa.array(links[touched])], names=["sig", "root", "links"]
+            )
 
     return verify
 
 
+def _by_leaf(rows: DataFrame) -> DataFrame:
+    """Each leaf in one task, as neighbouring rows."""
+    return rows.repartition("path", "left", "right").sortWithinPartitions("path", "left", "right")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(sig, label): the smallest member of each connected part, by rounds of taking over neighbours' labels.
 
@@ -337,19 +409,16 @@ def near_duplicates(
     sets = settle(shingle_sets(docs, id_name, text_name, words, threshold, recall))
     some = sets.where(F.col("size") > 0)
     # One row for each distinct set; of equal rows any one will do.
-    reps = some.groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
-    reps = settle(reps)
+    once = some.select("sig", "size", "paths", "steps", F.substring("tokens", 1, 4 * SKETCH).alias("sketch")).groupBy("sig")
+    reps = settle(once.agg(F.count(F.lit(1)).alias("copies"), *[F.first(name).alias(name) for name in ("size", "paths", "steps", "sketch")]))
     texts = some.select("sig", "tokens")
-    sketches = some.select("sig", F.substring("tokens", 1, 4 * SKETCH).alias("sketch")).groupBy("sig").agg(F.first("sketch").alias("sketch"))
-    meeting = settle(distinct_leaves(settle(leaves(reps, bucket, texts=texts))))
-    own_paths = meeting.select("sig", "path").distinct().groupBy("sig").agg(F.collect_list("path").alias("paths"))
-    members = settle(reps.drop("paths").join(own_paths, "sig").join(sketches, "sig"))
-    leaf = ["path", "left", "right"]
-    judged = meeting.join(members, "sig").groupBy(*leaf).applyInPandas(_hopeful(threshold), meeting.schema)
-    hopeful = settle(judged)
+    meeting = settle(distinct_leaves(leaves(reps, bucket)))
+    own_paths = meeting.groupBy("sig").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    members = settle(reps.drop("paths", "steps").join(own_paths, "sig"))
+    hopeful = settle(_by_leaf(meeting.join(members, "sig")).mapInArrow(_hopeful(threshold), meeting.schema))
     whole = texts.join(hopeful.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens"))
     compared = hopeful.join(members.drop("sketch"), "sig").join(whole, "sig")
-    found = settle(compared.groupBy(*leaf).applyInPandas(_verified(threshold), "sig binary, root binary, links long"))
+    found = settle(_by_leaf(compared).mapInArrow(_verified(threshold), "sig binary, root binary, links long"))
     labels = components(found)
     links = found.groupBy("sig").agg(F.sum("links").alias("links"))
     # Sets with a label or links are few beside the documents; the table of classes stays narrow.
