@@ -1,8 +1,9 @@
 """Lines that recur across documents, found as templates by a tree of fixed depth; built-in functions only.
 
 A line goes to the leaf of its number of tokens and its leading tokens, where tokens with digits count as variable.
-Within a leaf, what few documents have at a position is variable too. Lines whose template enough documents share
-are dropped.
+Within a leaf, lines gather around the two tokens of theirs, each at its place, that most documents of the leaf have.
+What less than half of the documents of such a group have at a place is variable, however many documents there are; a
+line that has enough of the rest is of the group's template. Lines whose template enough documents share are dropped.
 """
 
 from __future__ import annotations
@@ -15,7 +16,12 @@ from sourcelore.operators.joins import attach
 
 LEADING = 3
 MIN_DOCUMENTS = 5
-#: Least share of a template's tokens that must be fixed.
+#: Tokens around which a line joins a group.
+ANCHORS = 2
+#: Least share of a group's documents that have what is fixed at a place.
+COMMON_SHARE = 0.5
+#: Least share of the places after the leading ones where a line has what is fixed, two places at least; of all tokens
+#: of a line that recurs as it is, the least share without digits.
 FIXED_SHARE = 0.5
 ANY = "<*>"
 
@@ -46,50 +52,76 @@ def _lines(docs: DataFrame, id_name: str, text_name: str) -> DataFrame:
 
 
 def _parts(classes: DataFrame) -> DataFrame:
-    """The classes with one row for each token that may be fixed: ``part`` tells its place and the token."""
+    """The classes with one row for each later token that may be fixed: ``part`` tells its place and the token."""
     kept = [c for c in classes.columns if c != "norm"]
-    tokens = classes.select(*kept, F.posexplode(F.split("norm", " ")).alias("place", "token")).where(F.col("token") != ANY)
-    return tokens.select(*kept, F.xxhash64("place", "token").alias("part"))
+    tokens = classes.select(*kept, F.posexplode(F.split("norm", " ")).alias("place", "token"))
+    tokens = tokens.where((F.col("place") >= LEADING) & (F.col("token") != ANY))
+    return tokens.select(*kept, "place", F.xxhash64("place", "token").alias("part"))
 
 
-def _fixed_parts(placed: DataFrame, texts: DataFrame, min_documents: int) -> DataFrame:
-    """(leaf, part) that enough documents have.
+def _part_documents(placed: DataFrame, texts: DataFrame, group: str) -> DataFrame:
+    """(group, part, documents): how many documents of a group have a part.
 
-    Documents with the same classes in a leaf are counted together, so copies cost nothing. A part that several
+    Documents with the same classes in a group are counted together, so copies cost nothing. A part that several
     classes of one document share counts once.
     """
-    of_document = placed.groupBy("leaf", "id", "content").agg(F.sort_array(F.collect_set("class")).alias("classes"))
-    sets = of_document.groupBy("leaf", "classes").agg(F.count(F.lit(1)).alias("documents"))
-    members = sets.select("leaf", F.xxhash64("classes").alias("set"), "documents", (F.size("classes") == 1).alias("alone"), F.explode("classes").alias("class"))
-    parts = _parts(attach(members, texts, ["leaf", "class"]))
-    several = parts.where(~F.col("alone")).select("leaf", "set", "part", "documents").distinct()
-    counted = parts.where("alone").select("leaf", "part", "documents").unionByName(several.select("leaf", "part", "documents"))
-    return counted.groupBy("leaf", "part").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= min_documents).select("leaf", "part")
+    of_document = placed.groupBy(group, "id", "content").agg(F.sort_array(F.collect_set("class")).alias("classes"))
+    sets = of_document.groupBy(group, "classes").agg(F.count(F.lit(1)).alias("documents"))
+    members = sets.select(group, F.xxhash64("classes").alias("set"), "documents", (F.size("classes") == 1).alias("alone"), F.explode("classes").alias("class"))
+    parts = _parts(attach(members, texts.select(group, "class", "norm"), [group, "class"]))
+    several = parts.where(~F.col("alone")).select(group, "set", "part", "documents").distinct()
+    counted = parts.where("alone").select(group, "part", "documents").unionByName(several.select(group, "part", "documents"))
+    return counted.groupBy(group, "part").agg(F.sum("documents").alias("documents"))
+
+
+def _documents(rows: DataFrame, key: list[str], least: int) -> DataFrame:
+    """The keys that enough documents have, and ``total``, their number."""
+    return rows.select(*key, "id", "content").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= least)
+
+
+def _groups(placed: DataFrame, texts: DataFrame, min_documents: int) -> DataFrame:
+    """(leaf, class, group): the groups of a line, by those of its parts that most documents of the leaf have."""
+    common = _part_documents(placed, texts, "leaf").where(F.col("documents") >= min_documents)
+    known = attach(_parts(texts.select("leaf", "class", "norm")), common, ["leaf", "part"])
+    ranked = known.groupBy("leaf", "class").agg(F.collect_list(F.struct((-F.col("documents")).alias("rank"), "place", "part")).alias("parts"))
+    first = ranked.select("leaf", "class", F.explode(F.slice(F.sort_array("parts"), 1, ANCHORS)).alias("anchor"))
+    return first.select("leaf", "class", F.xxhash64("leaf", "anchor.part").alias("group"))
+
+
+def _similar(placed: DataFrame, texts: DataFrame, min_documents: int) -> DataFrame:
+    """(leaf, class) of the lines that are of a group's template, where enough documents have such lines."""
+    groups = settle(_groups(placed, texts, min_documents))
+    members = settle(attach(placed.select("leaf", "class", "id", "content").distinct(), groups, ["leaf", "class"]))
+    totals = settle(_documents(members, ["group"], min_documents))
+    members = attach(members, totals.select("group"), ["group"])
+    words = settle(attach(attach(texts, groups, ["leaf", "class"]), totals.select("group"), ["group"]))
+    shares = attach(_part_documents(members, words, "group"), totals, ["group"])
+    fixed = shares.where(F.col("documents") >= F.col("total") * COMMON_SHARE).select("group", "part")
+    agreed = attach(_parts(words), fixed, ["group", "part"]).groupBy("group", "leaf", "class", "size").agg(F.count(F.lit(1)).alias("fixed"))
+    alike = agreed.where((F.col("fixed") >= 2) & (F.col("fixed") >= (F.col("size") - LEADING) * FIXED_SHARE)).select("group", "class")
+    joined = settle(attach(members, alike, ["group", "class"]))
+    return attach(joined, _documents(joined, ["group"], min_documents).select("group"), ["group"]).select("leaf", "class").distinct()
 
 
 def recurring_lines(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(id, content, dropped): for a document, the numbers of its lines whose template recurs.
 
-    Only hashes travel, but for the texts of lines in leaves that enough documents reach, one for each class. A template
-    is its leaf with its fixed parts: the leading tokens of such a leaf are fixed, so no two leaves share one.
+    Only hashes travel, but for the texts of lines in leaves that enough documents reach, one for each class. Lines that
+    recur as they are, digits aside, are a template without variable places, short lines too.
     """
     lines = _lines(docs, id_name, text_name)
     document = ["id", "content"]
     numbers = settle(lines.drop("line"))
-    busy = numbers.select("leaf", *document).distinct().groupBy("leaf").count().where(F.col("count") >= min_documents).select("leaf")
-    busy = settle(busy)
+    busy = settle(_documents(numbers, ["leaf"], min_documents).select("leaf"))
     placed = settle(attach(numbers, busy, ["leaf"]).distinct())
     texts = attach(lines.select("leaf", "class", "size", "line"), busy, ["leaf"]).distinct()
     texts = settle(texts.select("leaf", "class", "size", masked(F.col("line")).alias("norm")))
-    fixed = _fixed_parts(placed, texts.select("leaf", "class", "norm"), min_documents)
-    made = attach(_parts(texts), fixed, ["leaf", "part"]).groupBy("leaf", "class", "size")
-    made = made.agg(F.xxhash64(F.sort_array(F.collect_list("part"))).alias("template"), F.count(F.lit(1)).alias("fixed"))
-    usable = made.where(F.col("fixed") >= F.col("size") * FIXED_SHARE).select("leaf", "class", "template")
-    templated = settle(attach(placed, usable, ["leaf", "class"]))
-    known = templated.select("leaf", "template", *document).distinct().groupBy("leaf", "template").count()
-    known = known.where(F.col("count") >= min_documents).select("leaf", "template")
-    dropped = attach(templated, known, ["leaf", "template"])
-    return dropped.groupBy(*document).agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    plain = F.size(F.filter(F.split("norm", " "), lambda token: token != ANY))
+    same = texts.where(plain >= F.col("size") * FIXED_SHARE).select("leaf", "class", F.xxhash64("norm").alias("template"))
+    same = settle(attach(placed.select("leaf", "class", *document), same, ["leaf", "class"]))
+    again = attach(same, _documents(same, ["leaf", "template"], min_documents).drop("total"), ["leaf", "template"]).select("leaf", "class")
+    gone = again.unionByName(_similar(placed, texts, min_documents)).distinct()
+    return attach(placed, gone, ["leaf", "class"]).groupBy(*document).agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
 def without_recurring_lines(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -125,21 +157,40 @@ with rows as (
 ), busy as (
     select leaf from (select distinct leaf, id, content from leaves) group by leaf having count(*) >= {MIN_DOCUMENTS}
 ), placed as (
-    select leaf, id, content, line_no, unnest(tokens) as token, unnest(range(0, len(tokens))) as place from leaves where leaf in (select leaf from busy)
-), shared as (
-    select leaf, place, token from (select distinct leaf, place, token, id, content from placed) group by all having count(*) >= {MIN_DOCUMENTS}
-), made as (
-    select p.leaf, id, content, line_no,
-           string_agg(case when s.token is not null and p.token <> '{ANY}' then p.token else '{ANY}' end, ' ' order by p.place) as template,
-           count(*) filter (s.token is not null and p.token <> '{ANY}') as fixed, count(*) as size
-    from placed p left join shared s on p.leaf = s.leaf and p.place = s.place and p.token = s.token
-    group by p.leaf, id, content, line_no
-), usable as (
-    select * from made where fixed >= size * {FIXED_SHARE}
+    select *, array_to_string(tokens, ' ') as norm from leaves where leaf in (select leaf from busy)
+), classes as (
+    select distinct leaf, norm, tokens, id, content from placed
+), parts as (
+    select * from (select leaf, norm, id, content, len(tokens) as size, unnest(tokens) as token, unnest(range(0, len(tokens))) as place from classes)
+    where place >= {LEADING} and token <> '{ANY}'
+), common as (
+    select leaf, place, token, count(*) as documents from (select distinct leaf, place, token, id, content from parts) group by all having count(*) >= {MIN_DOCUMENTS}
+), anchors as (
+    select leaf, norm, place as a_place, token as a_token from (select distinct leaf, norm, place, token, documents from parts join common using (leaf, place, token))
+    qualify row_number() over (partition by leaf, norm order by documents desc, place) <= {ANCHORS}
+), members as (
+    select leaf, a_place, a_token, norm, id, content from classes join anchors using (leaf, norm)
+), totals as (
+    select leaf, a_place, a_token, count(*) as total from (select distinct leaf, a_place, a_token, id, content from members) group by all having count(*) >= {MIN_DOCUMENTS}
+), shares as (
+    select leaf, a_place, a_token, place, token, count(*) as documents
+    from (select distinct leaf, a_place, a_token, place, token, id, content from members join parts using (leaf, norm, id, content)) group by all
+), fixed as (
+    select leaf, a_place, a_token, place, token from shares join totals using (leaf, a_place, a_token) where documents >= total * {COMMON_SHARE}
+), alike as (
+    select leaf, a_place, a_token, norm from (select distinct leaf, norm, size, place, token from parts) join anchors using (leaf, norm)
+    join fixed using (leaf, a_place, a_token, place, token) group by leaf, a_place, a_token, norm, size
+    having count(*) >= 2 and count(*) >= (size - {LEADING}) * {FIXED_SHARE}
+), joined as (
+    select * from members join alike using (leaf, a_place, a_token, norm)
 ), recurring as (
-    select template from (select distinct template, id, content from usable) group by template having count(*) >= {MIN_DOCUMENTS}
+    select distinct leaf, norm from joined join (select leaf, a_place, a_token from (select distinct leaf, a_place, a_token, id, content from joined)
+    group by all having count(*) >= {MIN_DOCUMENTS}) using (leaf, a_place, a_token)
+    union
+    select leaf, norm from classes where len(list_filter(tokens, lambda t: t <> '{ANY}')) >= len(tokens) * {FIXED_SHARE}
+    group by leaf, norm having count(*) >= {MIN_DOCUMENTS}
 ), gone as (
-    select id, content, list(distinct line_no) as dropped from usable where template in (select template from recurring) group by id, content
+    select id, content, list(distinct line_no) as dropped from placed join recurring using (leaf, norm) group by id, content
 )
 select doc_id, array_to_string(list_filter(string_split(r.content, chr(10)), lambda line, i: not list_contains(coalesce(dropped, []), i - 1)), chr(10)) as text,
        len(string_split(r.content, chr(10)))::bigint as n_lines, coalesce(len(dropped), 0)::bigint as n_dropped

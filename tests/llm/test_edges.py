@@ -126,6 +126,48 @@ def test_lines_that_recur_go(spark):
     assert found[100].text == "something else" and found[100].n_dropped == 0
 
 
+def _without_lines(spark, texts: list[str]) -> list[str]:
+    """What is left of each text, as built and by the SQL."""
+    import duckdb
+
+    rows = list(enumerate(texts))
+    built = line_templates.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in built.collect()}
+    connection = duckdb.connect()
+    connection.execute("create table documents (doc_id bigint, text varchar)")
+    connection.executemany("insert into documents values (?, ?)", rows)
+    assert found == set(connection.execute(f"select doc_id, text, n_lines, n_dropped from ({line_templates.LINES_SQL})").fetchall())
+    return [text for _, text, *_ in sorted(found)]
+
+
+@pytest.mark.parametrize("documents, names", [(20, 20), (400, 20)])
+def test_templates_do_not_depend_on_the_number_of_documents(spark, documents, names):
+    """With 400 documents every name is in 20 of them, and still only a value."""
+    def word(i):
+        return "".join(chr(97 + int(d)) for d in str(i))
+
+    texts = [f"session closed for client {word(i % names)} near {word(i // names + i % names)}\nown {word(i)}" for i in range(documents)]
+    # Of four places after the opening, these have what is fixed at one only.
+    other = ["session closed for visitor bob near rome", "session closed for client eve beside oslo"]
+    texts += other
+    left = _without_lines(spark, texts)
+    assert left[:documents] == [f"own {word(i)}" for i in range(documents)]
+    assert left[documents:] == other
+
+
+def test_a_word_changed_in_a_busy_line(spark):
+    busy = "please sign in again before you open the shared folder"
+    words = busy.split()
+    changed = [" ".join([*words[:k], "zebra", *words[k + 1 :]]) for k in range(line_templates.LEADING, len(words))]
+    assert _without_lines(spark, [f"{busy}\nnote {chr(97 + i)}" for i in range(12)] + changed) == [f"note {chr(97 + i)}" for i in range(12)] + [""] * len(changed)
+
+
+def test_short_lines_that_share_only_their_opening_stay(spark):
+    words = ["apples", "bridges", "candles", "doors", "engines", "fences", "gates"]
+    texts = [f"How to mend {w}\nWas it not {w} or {w[::-1]}\n12 34 5{i}" for i, w in enumerate(words)]
+    assert _without_lines(spark, [t + "\nRead more here" for t in texts]) == texts
+
+
 def test_secret_spans(spark):
     secret = "Zz9" + "Qw3" * 8
     texts = [
