@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sourcelore.functions import paths, text
+from sourcelore.functions import lexical_extract, paths, text
 from sourcelore.functions.fixed import LANGUAGES
 from sourcelore.operators import files
 
@@ -383,3 +383,16 @@ def test_deep_brackets_take_little_longer_than_flat_ones(facts_of):
     rows = facts_of({"deep.js": deep, "open.js": "a(" * 20_000 + "function f() {}", "both.js": ")" * 20_000 + "(" * 20_000, "names.js": names})
     assert rows["deep.js"]["exports"] == ["a", "k", "last"] and len(rows["names.js"]["functions"]) == 3000
     assert time.time() - start < 20
+
+
+def test_texts_with_few_levels_are_not_counted_bracket_by_bracket(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("(){}[]a,<>= \n", k=rng.randint(0, 60))) for _ in range(200)]
+    texts += ["(" * n + ")" * n for n in range(20)] + [")" * 9 + "(()" * 3, "(" * 30]
+    rows = spark.createDataFrame([(t,) for t in texts], "bare string")
+    depths = [r[0] for r in rows.select(F.expr(lexical_extract.nesting("bare"))).collect()]
+    assert depths[texts.index("()")] == lexical_extract.LEVELS and depths[texts.index("(" * 9 + ")" * 9)] == 9
+    found = [r[0] for r in rows.select(F.expr(lexical_extract.flat_text("bare"))).collect()]
+    brackets = f"regexp_replace(bare, {lexical_extract.literal(lexical_extract.NO_BRACKET)}, '')"
+    monkeypatch.setattr(lexical_extract, "nesting", lambda _: lexical_extract._counted_levels(brackets))
+    assert found == [r[0] for r in rows.select(F.expr(lexical_extract.flat_text("bare"))).collect()]
