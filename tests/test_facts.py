@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sourcelore.functions import lexical_extract, paths, text
 from sourcelore.functions.fixed import LANGUAGES
 from sourcelore.operators import files
+from sourcelore.plans import bridge
 
 BAKERY_JS = """
 const flour = require('flour-mill');
@@ -396,3 +397,18 @@ def test_texts_with_few_levels_are_not_counted_bracket_by_bracket(spark, monkeyp
     brackets = f"regexp_replace(bare, {lexical_extract.literal(lexical_extract.NO_BRACKET)}, '')"
     monkeypatch.setattr(lexical_extract, "nesting", lambda _: lexical_extract._counted_levels(brackets))
     assert found == [r[0] for r in rows.select(F.expr(lexical_extract.flat_text("bare"))).collect()]
+
+
+def test_texts_grow_in_many_tasks_where_the_join_is_shuffled(spark, tmp_path):
+    fields = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+    parts = [(i, f"name {i}", f"Brand#{i % 3 + 11}", "SMALL TIN", 2) for i in range(60)]
+    spark.createDataFrame(parts, fields).write.parquet(f"{tmp_path}/part.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for size in ("-1", limit):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+            for view in (bridge.layout_files, bridge.code_files, bridge.brand_files, bridge.single_files):
+                files = view(spark, str(tmp_path))
+                assert files.count() == 60 and files.rdd.getNumPartitions() >= 32
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
