@@ -31,23 +31,7 @@ def enrich_files(
     if frequency is not None:
         joined = joined.join(frequency.select(*key, "change_frequency"), key, "left")
     joined = joined.join(degrees, key, "left")
-    partner = "array<struct<file:string,count:bigint,correlation:double>>"
-    if top_partners is None:
-        joined = joined.withColumn("co_changed_files", F.array().cast(partner))
-    else:
-        entry = F.struct("rank", "file", "count", "correlation")
-        listed = top_partners.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("ranked"))
-        listed = listed.select(
-            *key,
-            F.transform(
-                "ranked",
-                lambda p: F.struct(p["file"].alias("file"), p["count"].alias("count"), p["correlation"].alias("correlation")),
-            ).alias("co_changed_files"),
-        )
-        joined = joined.join(listed, key, "left").withColumn(
-            "co_changed_files", F.coalesce("co_changed_files", F.array().cast(partner))
-        )
-    return joined.select(
+    enriched = joined.select(
         *facts.columns,
         F.coalesce("primary_author", F.lit("Unknown")).alias("primary_author"),
         _zero("total_commits"),
@@ -55,7 +39,28 @@ def enrich_files(
         F.coalesce("change_frequency", F.lit(0.0)).alias("change_frequency"),
         _zero("incoming"),
         _zero("outgoing"),
-        "co_changed_files",
+    )
+    return with_partners(enriched, top_partners)
+
+
+def with_partners(enriched: DataFrame, top_partners: DataFrame | None = None) -> DataFrame:
+    """Files with the list ``co_changed_files`` of their strongest partners (ranked, a few per file), instead of any they have."""
+    key = ["repo_id", "path"]
+    joined = enriched.drop("co_changed_files")
+    partner = "array<struct<file:string,count:bigint,correlation:double>>"
+    if top_partners is None:
+        return joined.withColumn("co_changed_files", F.array().cast(partner))
+    entry = F.struct("rank", "file", "count", "correlation")
+    listed = top_partners.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("ranked"))
+    listed = listed.select(
+        *key,
+        F.transform(
+            "ranked",
+            lambda p: F.struct(p["file"].alias("file"), p["count"].alias("count"), p["correlation"].alias("correlation")),
+        ).alias("co_changed_files"),
+    )
+    return joined.join(listed, key, "left").withColumn(
+        "co_changed_files", F.coalesce("co_changed_files", F.array().cast(partner))
     )
 
 

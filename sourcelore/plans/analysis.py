@@ -91,14 +91,22 @@ def analyze(
 
     degrees = graph.degrees(facts, edges)
     partners = None
+    measures = enriched = summary.enrich_files(facts, history.file_states(states), None, degrees)
     if include_co_change:
         partners = _keep(cochange.top_co_change(log, targets=facts), workdir, "co_change")
-    enriched = summary.enrich_files(facts, history.file_states(states), None, degrees, partners)
+        if workdir is None:
+            # Kept apart, so that what shows no partners never waits for them.
+            measures = _keep(enriched.drop("co_changed_files"), workdir, "measures")
+        enriched = summary.with_partners(measures, partners)
     enriched = _keep(enriched, workdir, "files")
+    if partners is None or workdir is not None:
+        measures = enriched.drop("co_changed_files")
     known = files.select("repo_id") if repositories is None else repositories.select("repo_id")
     tables = {
         "repositories": known.distinct(),
         "files": enriched,
+        # The same files without partners, for what shows none.
+        "measures": measures,
         "file_facts": facts,
         "edges": edges,
         "call_graph": graph.call_graph(edges),

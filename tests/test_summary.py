@@ -265,3 +265,16 @@ def test_listed_files_come_in_batches(spark, tmp_path, monkeypatch):
     listed = spark.createDataFrame([("r", f"f{i}.js") for i in range(42)], "repo_id string, path string").coalesce(1)
     found = {r["path"]: r["content"] for r in file_sources.read_listed_files(listed, str(tmp_path)).collect()}
     assert found == {f"f{i}.js": "x" * (i % 30) for i in range(40)}
+
+
+def test_reports_do_not_wait_for_partners(spark, source_files):
+    rows = [("r", f"c{i}", f, "Ann", None, i) for i in range(4) for f in ("a.js", "b.js")]
+    log = spark.createDataFrame(rows, "repo_id string, hash string, file string, author string, ts timestamp, log_pos long")
+    analysis = analyze(source_files({"a.js": "export const a = 1;", "b.js": "if (x) {}"}), log, use_config=False)
+    shown = [onboarding(analysis)["overview"], architecture_map(analysis)["core_files"], risk_report(analysis)["summary"]]
+    for table in shown:
+        # The persisted partners would stand in the plan.
+        assert "co_changed_files" not in table._jdf.queryExecution().withCachedData().toString()
+        assert "correlation" not in table._jdf.queryExecution().withCachedData().toString()
+    assert {r.path: [p.file for p in r.co_changed_files] for r in analysis["files"].collect()} == {"a.js": ["b.js"], "b.js": ["a.js"]}
+    analysis.release()
