@@ -8,7 +8,6 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +23,9 @@ SHORT = 96
 #: Words of one length that are scanned side by side.
 ABREAST = 4096
 #: Bytes, roughly, that the ids of short words which a task remembers may take.
-MEMORY = 48 << 20
+MEMORY = 24 << 20
 #: What a remembered word takes, and each of its ids.
-A_WORD, AN_ID = 250, 36
+A_WORD, AN_ID = 210, 4
 #: Characters of text that are cut into words at a time (a longer text alone).
 CHUNK = 1 << 20
 #: Texts without a character from here on (Latin letters and their accents end here) are cut by the plain pattern.
@@ -95,7 +94,8 @@ class ByteBPE:
         # The same for texts of western letters only, whose classes are short enough to spell out.
         self.western_words = re.compile(_word_pattern(*(_spelled_out(c, WESTERN) for c in classes))).findall
         self.other_letter = re.compile(rf"[^\0-{chr(WESTERN - 1)}]").search
-        self.known: dict[str, list[int]] = {}
+        #: Ids of words as 32-bit integers side by side: a list of numbers takes several times that.
+        self.known: dict[str, bytes] = {}
         self.held = 0
         self.made_by = np.array(self.made, np.int64)
         pairs = np.array([left << ID_BITS | right for left, right in self.ranks], np.int64)
@@ -109,7 +109,7 @@ class ByteBPE:
         at = self.pairs.searchsorted(wanted)
         return np.where(self.pairs[at] == wanted, self.rank_of_pair[at], NONE)
 
-    def _scan(self, words: list[bytes]) -> list[list[int]]:
+    def _scan(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of one length, a row each: their tokens and, beside them, the ranks of neighbours.
 
         Repeatedly each row is scanned for its smallest rank, that boundary is deleted and the ranks on both sides
@@ -117,15 +117,16 @@ class ByteBPE:
         """
         given = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
         ids, ranks = self.byte_ids[given], self.byte_ranks[given[:, :-1], given[:, 1:]]
-        out: list[list[int]] = [[]] * len(words)
+        out = [b""] * len(words)
         rows = np.arange(len(words))
         while len(rows):
             parts = ids.shape[1]
             at = ranks.argmin(1) if parts > 1 else np.zeros(len(rows), np.int64)
             best = ranks[np.arange(len(rows)), at] if parts > 1 else np.full(len(rows), NONE)
             done = best == NONE
-            for row, final in zip(rows[done].tolist(), ids[done].tolist(), strict=True):
-                out[row] = final
+            final, width = ids[done].astype(np.int32).tobytes(), AN_ID * parts
+            for i, row in enumerate(rows[done].tolist()):
+                out[row] = final[i * width : (i + 1) * width]
             rows, ids, ranks, at, best = rows[~done], ids[~done], ranks[~done], at[~done], best[~done]
             if not len(rows):
                 break
@@ -175,13 +176,13 @@ class ByteBPE:
         for length, places in of_length.items():
             if length > SHORT:
                 long += [new[i] for i in places]
-                self.known.update((new[i], self._long([self.byte_ids.item(b) for b in raw[i]])) for i in places)
+                self.known.update((new[i], array("i", self._long([self.byte_ids.item(b) for b in raw[i]])).tobytes()) for i in places)
                 continue
             for start in range(0, len(places), ABREAST):
                 some = places[start : start + ABREAST]
                 found = self._scan([raw[i] for i in some])
                 self.known.update(zip([new[i] for i in some], found, strict=True))
-                self.held += sum(A_WORD + AN_ID * len(ids) for ids in found)
+                self.held += sum(map(len, found)) + A_WORD * len(found)
         return long
 
     def _pieces(self, text: str) -> list[int | list[str]]:
@@ -205,7 +206,7 @@ class ByteBPE:
                 if isinstance(piece, int):
                     ids.append(piece)
                 else:
-                    ids.extend(chain.from_iterable(map(self.known.__getitem__, piece)))
+                    ids.frombytes(b"".join(map(self.known.__getitem__, piece)))
             out.append(ids)
         for word in long:
             del self.known[word]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import sys
 import weakref
 
 import pandas as pd
@@ -310,3 +311,13 @@ def test_formulas_and_drawings_keep_their_words():
 
 def test_all_queries_are_there():
     assert [name.split("_")[0] for name in build()] == [f"op{n}" for n in range(1, 14)]
+
+
+def test_remembered_words_take_little_room():
+    model = bpe.ByteBPE(bpe._described(None))
+    texts = [" ".join(f"w{i}x{j}" for i in range(300)) for j in range(20)]
+    alone = [model.encode(text) for text in texts]
+    assert [ids.tolist() for ids in bpe.ByteBPE(bpe._described(None)).encode_some(texts)] == alone
+    assert [model.decode(ids) for ids in alone] == texts
+    # A list takes 8 bytes for each id, and as much as 32 for the number itself.
+    assert max(map(sys.getsizeof, model.known.values())) <= sys.getsizeof(b"") + 4 * max(map(len, model.known))
