@@ -188,6 +188,30 @@ def test_groups_are_candidates_by_their_smallest_bulk_commits_only(spark):
     assert got.count() == cochange.co_change(table, 0.6, bulk_size=1000).count() > 0
 
 
+def test_pairs_of_groups_are_counted_where_they_meet(spark):
+    """Each pair comes once with its count, and no pair is shuffled to be counted or told from its repetitions."""
+    table = _many_bulk_commits(spark)
+    touches = cochange._touches(table, 5)
+    groups = cochange._groups(touches, cochange._per_file(touches, None), 0.6)
+    sets = {r["bulk_group"]: {c["commit"] for c in r["bulk"]} for r in groups.collect()}
+    pairs = cochange._group_candidates(groups)
+    got = {(r["path_group"], r["file_group"]): r["bulk_shared"] for r in pairs.collect()}
+    assert len(got) == pairs.count() and got == {(a, b): len(sets[a] & sets[b]) for a, b in got}
+    above = pairs._jdf.queryExecution().sparkPlan().toString().split("Join")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_files_in_bulk_commits_only_and_in_both_kinds(spark):
+    """The full list over two commits of 600 files, more than a row of a group brings along, and ordinary ones."""
+    rows = [(f"q{k}", f"f{i:03}") for k in range(2) for i in range(600)] + [("c", "f000"), ("c", "f001"), ("d", "f000"), ("d", "f600")]
+    table = spark.createDataFrame([("r", h, f) for h, f in rows], "repo_id string, hash string, file string")
+    got = {(r["path"], r["file"]): r["count"] for r in cochange.co_change(table, 0.5).collect()}
+    names = [f"f{i:03}" for i in range(600)]
+    expected = {(a, b): 2 for a in names for b in names if a != b}
+    expected |= {("f000", "f001"): 3, ("f001", "f000"): 3, ("f600", "f000"): 1}
+    assert got == expected
+
+
 def test_a_bulk_commit_beside_many_small_ones_yields_no_candidates(spark):
     rows = [("import", f"f{i:03}") for i in range(500)] + [(f"c{i}-{k}", f"f{i:03}") for i in range(500) for k in range(4)]
     table = spark.createDataFrame([("r", h, f) for h, f in rows], "repo_id string, hash string, file string")
