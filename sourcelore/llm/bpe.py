@@ -8,6 +8,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,11 @@ SHORT = 96
 #: Words of one length that are scanned side by side.
 ABREAST = 4096
 #: Bytes, roughly, that the ids of short words which a task remembers may take.
-MEMORY = 24 << 20
+MEMORY = 12 << 20
 #: What a remembered word takes, and each of its ids.
 A_WORD, AN_ID = 210, 4
 #: Characters of text that are cut into words at a time (a longer text alone).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Texts without a character from here on (Latin letters and their accents end here) are cut by the plain pattern.
 WESTERN = 0x250
 NONE, ID_BITS = 1 << 60, 24
@@ -76,13 +77,12 @@ class ByteBPE:
         vocabulary, symbols = parts["model"]["vocab"], byte_symbols()
         of_symbol = {s: b for b, s in enumerate(symbols)}
         self.byte_ids = np.array([vocabulary[s] for s in symbols], np.int64)
-        self.ranks: dict[tuple[int, int], int] = {}
-        #: The token that the merge of each rank makes.
-        self.made: list[int] = []
+        ranks: dict[tuple[int, int], int] = {}
+        made: list[int] = []
         for rank, pair in enumerate(parts["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocabulary[left], vocabulary[right]] = rank
-            self.made.append(vocabulary[left + right])
+            ranks[vocabulary[left], vocabulary[right]] = rank
+            made.append(vocabulary[left + right])
         self.bytes_of = _Bytes({i: bytes(of_symbol[c] for c in piece) for piece, i in vocabulary.items()})
         self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.bytes_of.update({i: t.encode() for t, i in self.special.items()})
@@ -97,12 +97,23 @@ class ByteBPE:
         #: Ids of words as 32-bit integers side by side: a list of numbers takes several times that.
         self.known: dict[str, bytes] = {}
         self.held = 0
-        self.made_by = np.array(self.made, np.int64)
-        pairs = np.array([left << ID_BITS | right for left, right in self.ranks], np.int64)
-        order = pairs.argsort()
-        self.pairs, self.rank_of_pair = np.append(pairs[order], NONE), np.append(order, NONE)
+        #: The token that the merge of each rank makes.
+        self.made_by = np.array(made, np.int64)
+        pairs = np.array([left << ID_BITS | right for left, right in ranks], np.int64)
+        order, places = pairs.argsort(), np.array(list(ranks.values()), np.int64)
+        self.pairs, self.rank_of_pair = np.append(pairs[order], NONE), np.append(places[order], NONE)
         self.byte_ranks = self._ranks(self.byte_ids[:, None], self.byte_ids[None, :])
 
+    @cached_property
+    def ranks(self) -> dict[tuple[int, int], int]:
+        """The merges one by one, for long words only: they take many times the room of the arrays."""
+        pairs, ranks = self.pairs[:-1], self.rank_of_pair[:-1]
+        return dict(zip(zip((pairs >> ID_BITS).tolist(), (pairs & (1 << ID_BITS) - 1).tolist(), strict=True), ranks.tolist(), strict=True))
+
+    @cached_property
+    def made(self) -> list[int]:
+        return self.made_by.tolist()
+
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the merge of each pair of tokens, NONE where there is none."""
         wanted = left << ID_BITS | right
@@ -240,14 +251,18 @@ class ByteBPE:
 
 
 def _described(path: str | None) -> str:
-    """The vocabulary file is read once, by the driver, and travels with the tasks."""
     with open(path or default_vocabulary(), encoding="utf-8") as file:
         return file.read()
 
 
-def _with(rows: DataFrame, source, carried: list[str], added: str, kind: T.DataType, described: str, method: str) -> DataFrame:
+def _model(path: str | None) -> ByteBPE:
+    """The vocabulary file is read once, by the driver; tasks get its arrays and never hold the file and what parsing it leaves."""
+    return ByteBPE(_described(path))
+
+
+def _with(rows: DataFrame, source, carried: list[str], added: str, kind: T.DataType, model: ByteBPE, method: str) -> DataFrame:
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = getattr(ByteBPE(described), method)
+        step = getattr(model, method)
         for batch in batches:
             # A few rows at a time: ids take more room than their texts.
             for start in range(0, batch.num_rows, 200):
@@ -266,12 +281,12 @@ def encoded(docs: DataFrame, text_name: str = "text", vocabulary: str | None = N
     A null text counts as empty.
     """
     carried = [c for c in docs.columns if c != text_name] if carried is None else carried
-    return _with(docs, text_of(text_name), carried, "ids", T.ArrayType(T.IntegerType()), _described(vocabulary), "encode_all")
+    return _with(docs, text_of(text_name), carried, "ids", T.ArrayType(T.IntegerType()), _model(vocabulary), "encode_all")
 
 
 def decoded(rows: DataFrame, ids_name: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """The rows (as struct ``row``) with ``decoded``, the text of their ids; null ids give null."""
-    return _with(rows, column(ids_name), rows.columns, "decoded", T.StringType(), _described(vocabulary), "decode_all")
+    return _with(rows, column(ids_name), rows.columns, "decoded", T.StringType(), _model(vocabulary), "decode_all")
 
 
 def round_trip(docs: DataFrame, text_name: str = "text", vocabulary: str | None = None, carried: list[str] | None = None) -> DataFrame:
@@ -280,10 +295,11 @@ def round_trip(docs: DataFrame, text_name: str = "text", vocabulary: str | None
     Only one copy of the vocabulary is held for each core, and neither ids nor texts go through Python twice.
     """
     carried = [c for c in docs.columns if c != text_name] if carried is None else carried
-    described = _described(vocabulary)
+    model = _model(vocabulary)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ByteBPE(described)
+        # A worker that served other steps before still holds what their batches took.
+        pa.default_memory_pool().release_unused()
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)

@@ -321,3 +321,18 @@ def test_remembered_words_take_little_room():
     assert [model.decode(ids) for ids in alone] == texts
     # A list takes 8 bytes for each id, and as much as 32 for the number itself.
     assert max(map(sys.getsizeof, model.known.values())) <= sys.getsizeof(b"") + 4 * max(map(len, model.known))
+
+
+def test_a_task_gets_arrays_of_the_vocabulary_only():
+    """What travels to a task holds no table of merges; long words make one, and it gives what the arrays say."""
+    import json
+    import pickle
+
+    model = pickle.loads(pickle.dumps(bpe._model(None)))
+    assert "ranks" not in model.__dict__ and "made" not in model.__dict__
+    word = "pneumono" * 20
+    short = model.encode("a plain word")
+    assert "ranks" not in model.__dict__
+    assert model.decode(model.encode(word)) == word and model.decode(short) == "a plain word"
+    merges = json.loads(bpe._described(None))["model"]["merges"]
+    assert len(model.ranks) == len(model.made) == len(merges) and sorted(model.ranks.values()) == list(range(len(merges)))
