@@ -41,6 +41,9 @@ def _code(target: str) -> str:
 
 # The texts are built from one small file; spread its rows before they grow.
 SPREAD = "/*+ REPARTITION(32) */"
+#: Texts that one task makes and reads: more texts make more tasks, not longer ones. Whoever scans a kept table while its
+#: last tasks run makes their rows again elsewhere, so these should be a small part of all.
+TEXTS_PER_TASK = 5000
 PART_FIELDS = f"""p_partkey as pk, cast(p_partkey as varchar(20)) as k, p_size, p_brand as brand,
   lower(p_type) as dir, {STEM} as stem, {EXTENSION} as ext, {PATH} as path, {CATEGORY_PATH} as category_path"""
 
@@ -186,6 +189,8 @@ def _view(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     joined = r"\nfrom (\(select " + re.escape(SPREAD) + r".*? p\njoin .*)"
     structs = ", ".join(f"struct({side}.*) as {side}" for side in ("p", "q"))
     tasks = max(32, 4 * spark.sparkContext.defaultParallelism)
+    if re.search(joined, query, re.S):
+        tasks = max(tasks, -(-table(spark, sf_dir, "part").count() // TEXTS_PER_TASK))
     query = re.sub(joined, lambda m: f"\nfrom (select /*+ REPARTITION({tasks}) */ {structs} from {m[1]})", query, flags=re.S)
     return spark.sql(re.sub(r"\b(from|join) (part|orders|lineitem)\b", rf"\1 parquet.`{sf_dir}/\2.parquet` \2", query))
 
