@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import complexity_label
 from ..session import ensure_checkpoint_dir
+from .summary import may_be
 
 
 def top_per(rows: DataFrame, keys: list[str], order: list[Column | str], limit: int) -> DataFrame:
@@ -91,7 +92,7 @@ def key_dependencies(files: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def core_files(categorized: DataFrame, limit: int = 10) -> DataFrame:
-    core = categorized.filter(F.col("category") == "core").select(
+    core = categorized.filter(may_be("core") & (F.col("category") == "core")).select(
         "repo_id",
         "path",
         "incoming",
@@ -104,7 +105,7 @@ def core_files(categorized: DataFrame, limit: int = 10) -> DataFrame:
 
 def entry_points(categorized: DataFrame, limit: int | None = None) -> DataFrame:
     """Entry points with owner and complexity label: all of them, or the first few ranked."""
-    listed = categorized.filter(F.col("category") == "entryPoints").select(
+    listed = categorized.filter(may_be("entryPoints") & (F.col("category") == "entryPoints")).select(
         "repo_id", "path", "language", "lines", "primary_author", complexity_label(F.col("complexity")).alias("complexity_label")
     )
     return listed if limit is None else top_per(listed, ["repo_id"], ["path"], limit)

@@ -142,6 +142,11 @@ def category(path: Column, incoming: Column) -> Column:
     )
 
 
+def may_be(wanted: str) -> Column:
+    """Whether a path alone leaves a category open. It follows from the category, and goes ahead of joins and texts."""
+    return category(F.col("path"), F.lit(4 if wanted == "core" else 0)) == wanted
+
+
 def categorize(files: DataFrame) -> DataFrame:
     return files.withColumn("category", category(F.col("path"), F.col("incoming")))
 
@@ -172,7 +177,7 @@ def test_directories(categorized: DataFrame) -> DataFrame:
     """Directories that hold test files; ``.`` is the root."""
     folder = paths.dirname(F.col("path"))
     return (
-        categorized.filter(F.col("category") == "tests")
+        categorized.filter(may_be("tests") & (F.col("category") == "tests"))
         .select("repo_id", F.when(folder == "", ".").otherwise(folder).alias("directory"))
         .distinct()
     )
