@@ -70,17 +70,23 @@ def analyze(
 
     Facts, edges, the log's columns, authors, partners and enriched files, which the other tables are made from, are
     written to ``workdir``, a folder the whole cluster reaches. Without one they are
-    persisted when first used, until ``Analysis.release``.
+    persisted when first used, until ``Analysis.release``; but of the facts only imports are, and each table takes the
+    others that it shows from the texts, so that one table costs no more than it needs. Give a ``workdir`` to read all.
     """
-    facts = file_ops.file_facts(file_ops.filter_ignored(files, file_ops.ignore_patterns(ignore)), mode)
-    facts = _keep(facts, workdir, "file_facts")
+    analysed = file_ops.filter_ignored(files, file_ops.ignore_patterns(ignore))
+    facts = file_ops.file_facts(analysed, mode)
+    if workdir is not None:
+        facts = _keep(facts, workdir, "file_facts")
+    links = facts.select("repo_id", "path", "imports")
+    if workdir is None:
+        links = _keep(links, workdir, "imports")
     existing = files.select("repo_id", "path") if repo_paths is None else repo_paths
     config = aliases = None
     if use_config:
         chain = configs.config_chain(files, existing)
         config = configs.path_config(chain)
         aliases = configs.path_aliases(chain, config)
-    edges = imports.import_edges(imports.resolve_imports(facts, existing, config, aliases), facts)
+    edges = imports.import_edges(imports.resolve_imports(links, existing, config, aliases), links)
     edges = _keep(edges, workdir, "edges")
     # Whatever parses the log does so once: all that is made from it starts at these columns.
     log = commit_files.select("repo_id", "hash", "file", "author", "ts", "log_pos")
@@ -101,12 +107,20 @@ def analyze(
     enriched = _keep(enriched, workdir, "files")
     if partners is None or workdir is not None:
         measures = enriched.drop("co_changed_files")
+    # Files as often as they are in `files`, for what shows paths and languages only and needs no text, log or graph.
+    key = ["repo_id", "path"]
+    paths = measures.select(*key, "language")
+    if workdir is None:
+        named = file_ops.with_language(analysed).select(*key, "language")
+        paths = named.join(named.select(*key), key, "left")
     known = files.select("repo_id") if repositories is None else repositories.select("repo_id")
     tables = {
         "repositories": known.distinct(),
         "files": enriched,
         # The same files without partners, for what shows none.
         "measures": measures,
+        "paths": paths,
+        "imports": links,
         "file_facts": facts,
         "edges": edges,
         "call_graph": graph.call_graph(edges),

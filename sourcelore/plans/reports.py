@@ -13,7 +13,7 @@ from ..operators import listings, summary
 def analysis_summary(analysis: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Sections of the plain analysis report."""
     return {
-        "overview": summary.overview(analysis["measures"], analysis["dead_code"], analysis["repositories"]),
+        "overview": summary.overview(analysis["paths"], analysis["dead_code"], analysis["repositories"]),
         "languages": analysis["languages"],
         "top_contributors": listings.top_contributors(analysis["contributors"], 5),
         "dead_code": listings.dead_code_listing(analysis["dead_code"]),
@@ -23,14 +23,14 @@ def analysis_summary(analysis: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 def architecture_map(analysis: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Categories, features, graph and the most imported files."""
     categorized = summary.categorize(analysis["measures"])
-    grouped = summary.feature_files(analysis["measures"])
+    grouped = summary.feature_files(analysis["paths"])
     return {
-        "overview": summary.overview(analysis["measures"], analysis["dead_code"], analysis["repositories"]),
+        "overview": summary.overview(analysis["paths"], analysis["dead_code"], analysis["repositories"]),
         "categories": summary.categorize(analysis["files"]),
         "category_counts": summary.category_counts(categorized),
         "entry_points": listings.entry_points(categorized),
         "core_files": listings.core_files(categorized, 10),
-        "features": summary.features(analysis["measures"]),
+        "features": summary.features(analysis["paths"]),
         "feature_files": listings.feature_listing(grouped),
         "key_dependencies": listings.key_dependencies(analysis["measures"]),
         "call_graph": analysis["call_graph"],
@@ -42,11 +42,11 @@ def onboarding(analysis: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     categorized = summary.categorize(analysis["measures"])
     tests = categorized.filter(F.col("category") == "tests")
     return {
-        "overview": summary.overview(analysis["measures"], analysis["dead_code"], analysis["repositories"]),
+        "overview": summary.overview(analysis["paths"], analysis["dead_code"], analysis["repositories"]),
         "languages": summary.language_percentages(analysis["languages"]),
         "entry_points": listings.entry_points(categorized, 5),
         "core_files": listings.core_files(categorized, 5),
-        "features": listings.first_features(summary.features(analysis["measures"])),
+        "features": listings.first_features(summary.features(analysis["paths"])),
         "top_contributors": listings.top_contributors(analysis["contributors"], 5),
         "test_files": tests.groupBy("repo_id").agg(F.count("*").alias("test_files")),
         "test_directories": summary.test_directories(categorized),

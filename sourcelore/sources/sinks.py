@@ -29,12 +29,12 @@ def document_tables(analysis: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     A file's few co-changed files are a list in its row. Contributors, neighbours in the import graph and the files of a
     feature may be very many, so they are tables of their own with one row per item, by the key of what they belong to.
     """
-    files, measures = analysis["files"], analysis["measures"]
+    files, listed = analysis["files"], analysis["paths"]
     key = ["repo_id", "path"]
     facts = [c for c in files.columns if c not in (*key, "primary_author", "total_commits")]
     owner = F.struct(F.col("primary_author").alias("primary"), "total_commits")
-    analysed = measures.select(*key)
-    grouped = feature_files(measures)
+    analysed = listed.select(*key)
+    grouped = feature_files(listed)
     return {
         "files": files.select(*key, *facts, owner.alias("ownership")),
         "contributors": analysis["file_authors"].join(analysed, key, "left_semi").select(*key, "rank", "author", "commits"),

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from checks.registry import Tables
+from sourcelore import analyze
 from sourcelore.operators import files as file_ops
 from sourcelore.operators import listings, summary
-from sourcelore.plans import bridge
+from sourcelore.plans import bridge, reports
 
 PATHS = ["main_a.js", "lib/pay/b.ts", "tests/c.py", "lib/pay/d.go", "notes.txt", "lib/pay/b.ts"]
 
@@ -15,6 +17,34 @@ def tree(spark, readable="false"):
     return rows.withColumn("content", F.expr(f"if({readable}, 'import x', cast(raise_error(concat('read ', path)) as string))"))
 
 
+def log(spark):
+    return spark.createDataFrame([], "repo_id string, hash string, file string, author string, ts timestamp_ntz, log_pos bigint")
+
+
+def test_features_need_no_text(spark):
+    analysis = analyze(tree(spark), log(spark), use_config=False, include_co_change=False)
+    # The enriched files hold a file that is given twice four times, and so does this list.
+    wanted = [("pay", "lib/pay/b.ts")] * 4 + [("pay", "lib/pay/d.go")]
+    tables = [analysis.documents()["feature_files"], reports.architecture_map(analysis)["feature_files"]]
+    assert sorted((r["name"], r["path"]) for r in tables[0].collect()) == wanted
+    assert [r["path"] for r in tables[1].orderBy("rank").collect()] == [path for _, path in wanted]
+    analysis.release()
+
+
+def test_graph_keeps_imports_only(spark):
+    analysis = analyze(tree(spark, "true"), log(spark), use_config=False, include_co_change=False)
+    assert analysis["imports"].columns == ["repo_id", "path", "imports"]
+    assert analysis["imports"].storageLevel.useMemory
+    assert not analysis["file_facts"].storageLevel.useMemory
+    assert analysis["paths"].count() == analysis["measures"].count() == 7
+    analysis.release()
+    tables = Tables(spark, "")
+    tables.known[("view", "layout_files")] = tree(spark, "true")
+    assert tables.links().columns == ["repo_id", "path", "imports"]
+    assert sorted(tables.links().collect()) == sorted(tables.facts().select("repo_id", "path", "imports").collect())
+    tables.links().unpersist()
+
+
 def categorized(spark, readable):
     facts = file_ops.file_facts(tree(spark, readable))
     owners = spark.createDataFrame([("r", PATHS[1], "Ann", 2, 1, 0.0)], "repo_id string, path string, primary_author string, total_commits long, contributor_count long, change_frequency double")
