@@ -42,7 +42,7 @@ def _code(target: str) -> str:
 # The texts are built from one small file; spread its rows before they grow.
 SPREAD = "/*+ REPARTITION(32) */"
 #: Texts that one task makes and reads: more texts make more tasks, not longer ones. Whoever scans a kept table while its
-#: last tasks run makes their rows again elsewhere, so these should be a small part of all.
+#: last tasks run makes their rows again elsewhere, so these should be a small part of all; but each has a cost of its own.
 TEXTS_PER_TASK = 20_000
 PART_FIELDS = f"""p_partkey as pk, cast(p_partkey as varchar(20)) as k, p_size, p_brand as brand,
   lower(p_type) as dir, {STEM} as stem, {EXTENSION} as ext, {PATH} as path, {CATEGORY_PATH} as category_path"""
