@@ -2,6 +2,9 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from sourcelore import analyze
 from sourcelore.operators import cochange
 
 
@@ -36,3 +39,14 @@ def test_pairs_that_share_too_little_get_no_paths(spark):
 def test_few_branches_read_the_log(spark):
     # 72 before: each of them is a shuffle of the log wherever Spark does not see that they are the same.
     assert 0 < plan_of(cochange.top_co_change(log(spark))).count("Scan ") <= 22
+
+
+def test_log_is_not_persisted_without_a_workdir(spark, source_files, tmp_path):
+    """Spark shuffles a persisted log anew for each branch of a plan."""
+    commits = log(spark).select("*", F.lit("Ann").alias("author"), F.lit(None).cast("timestamp").alias("ts"), F.lit(0).cast("bigint").alias("log_pos"))
+    code = source_files({f"f{i}": "" for i in range(7)}, "a")
+    analysis = analyze(code, commits, use_config=False)
+    assert not analysis["commit_files"].storageLevel.useMemory
+    analysis.release()
+    analyze(code, commits, use_config=False, workdir=str(tmp_path))
+    assert (tmp_path / "commit_files" / "_SUCCESS").exists()
