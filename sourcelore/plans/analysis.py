@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import cochange, files as file_ops, graph, history, imports, summary
 from ..sources import config as configs
@@ -70,9 +71,9 @@ def analyze(
 
     Facts, edges, the log's columns, authors, partners and enriched files, which the other tables are made from, are
     written to ``workdir``, a folder the whole cluster reaches. Without one they are
-    persisted when first used, until ``Analysis.release``; but the log is not, and of the facts only imports are, and each
-    table takes the others that it shows from the texts, so that one table costs no more than it needs. Give a
-    ``workdir`` to read all.
+    persisted when first used, until ``Analysis.release``; but the log is not, and of the facts only imports are (with
+    exports, where unused files are shown), and each table takes the others that it shows from the texts, so that one
+    table costs no more than it needs. Give a ``workdir`` to read all.
     """
     analysed = file_ops.filter_ignored(files, file_ops.ignore_patterns(ignore))
     facts = file_ops.file_facts(analysed, mode)
@@ -89,6 +90,11 @@ def analyze(
         aliases = configs.path_aliases(chain, config)
     edges = imports.import_edges(imports.resolve_imports(links, existing, config, aliases), links)
     edges = _keep(edges, workdir, "edges")
+    exporting, named_in = facts, edges
+    if workdir is None:
+        # Unused files take imports and exports from one pass over the texts, and then need neither table above.
+        exporting = _keep(facts.select("repo_id", "path", "imports", "exports"), workdir, "exporting")
+        named_in = imports.import_edges(imports.resolve_imports(exporting, existing, config, aliases), exporting)
     # With a workdir, whatever parses the log does so once: all that is made from it starts at these columns. A persisted
     # log is another matter, as Spark shuffles it anew for each branch of the plans above it.
     log = commit_files.select("repo_id", "hash", "file", "author", "ts", "log_pos")
@@ -113,8 +119,10 @@ def analyze(
     key = ["repo_id", "path"]
     paths = measures.select(*key, "language")
     if workdir is None:
-        named = file_ops.with_language(analysed).select(*key, "language")
-        paths = named.join(named.select(*key), key, "left")
+        # Each of n equal files meets n of them, as in a join of the files with themselves, where no null meets any.
+        paths = file_ops.with_language(analysed).groupBy(*key, "language").agg(F.count("*").alias("n"))
+        times = F.when(F.col("repo_id").isNull(), F.col("n")).otherwise(F.col("n") * F.col("n"))
+        paths = paths.select(*key, "language", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("at")).drop("at")
     known = files.select("repo_id") if repositories is None else repositories.select("repo_id")
     tables = {
         "repositories": known.distinct(),
@@ -127,7 +135,8 @@ def analyze(
         "edges": edges,
         "call_graph": graph.call_graph(edges),
         "degrees": degrees,
-        "dead_code": graph.dead_code(facts, edges, include_tests),
+        "exporting": exporting,
+        "dead_code": graph.dead_code(exporting, named_in, include_tests),
         "file_authors": authors,
         "ownership": history.ownership_of(facts, authors),
         "languages": summary.language_stats(facts),

@@ -50,3 +50,24 @@ def test_log_is_not_persisted_without_a_workdir(spark, source_files, tmp_path):
     analysis.release()
     analyze(code, commits, use_config=False, workdir=str(tmp_path))
     assert (tmp_path / "commit_files" / "_SUCCESS").exists()
+
+
+def test_unused_files_take_one_pass_over_the_texts(spark, source_files):
+    commits = spark.createDataFrame([], "repo_id string, hash string, file string, author string, ts timestamp, log_pos long")
+    analysis = analyze(source_files({"a.js": "export const a = 1;", "b.js": "import './a';\nexport const b = 1;"}), commits, use_config=False)
+    assert analysis["exporting"].storageLevel.useMemory
+    assert re.search(r"InMemoryTableScan \[repo_id#\d+, path#\d+, exports#\d+", plan_of(analysis["dead_code"]))
+    assert [(r["path"], r["exports"]) for r in analysis["dead_code"].collect()] == [("b.js", ["b"])]
+    analysis.release()
+
+
+def test_paths_read_the_files_once(spark):
+    rows = [("r", "a.js")] * 3 + [("r", "b.py"), (None, "a.js"), (None, "a.js"), ("r", "notes.txt"), ("r", None)]
+    code = spark.createDataFrame(rows, "repo_id string, path string").withColumn("content", F.lit(""))
+    commits = spark.createDataFrame([], "repo_id string, hash string, file string, author string, ts timestamp, log_pos long")
+    analysis = analyze(code, commits, use_config=False, include_co_change=False)
+    named = analysis["paths"]
+    assert plan_of(named).count("Scan ") == 1
+    # As a join of the files with themselves has them: equal files meet each other, and null meets nothing.
+    assert sorted((r["repo_id"] or "", r["path"]) for r in named.collect()) == [("", "a.js")] * 2 + [("r", "a.js")] * 9 + [("r", "b.py")]
+    analysis.release()
